@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, packing, quality, sentencepiece_codec, sharding, token_counts
+from . import fingerprints, language_id, ngram_join, packing, quality, sentencepiece_codec, sharding, token_counts
 from .common import documents
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
@@ -40,7 +44,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op3_packing, op4_token_counts, op5_fingerprints, op6_sentencepiece, op8_language_id, op9_sharding)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_packing, op4_token_counts, op5_fingerprints, op6_sentencepiece, op8_language_id, op9_sharding)
 }
 
 ORACLES: dict[str, str] = {}
