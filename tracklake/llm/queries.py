@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, ngram_join, packing, quality, sentencepiece_codec, sharding, token_counts
+from . import fingerprints, language_id, ngram_join, packing, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts
 from .common import documents
 
 
@@ -35,6 +35,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trips(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(documents(spark, sf_dir))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(documents(spark, sf_dir))
 
@@ -44,7 +48,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_packing, op4_token_counts, op5_fingerprints, op6_sentencepiece, op8_language_id, op9_sharding)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_packing, op4_token_counts, op5_fingerprints, op6_sentencepiece, op7_suffix_dedup, op8_language_id, op9_sharding)
 }
 
 ORACLES: dict[str, str] = {}
