@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, ngram_join, packing, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts
+from . import fingerprints, language_id, ngram_join, packing, pii, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts
 from .common import documents
 
 
@@ -47,8 +47,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir))
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogate_report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_packing, op4_token_counts, op5_fingerprints, op6_sentencepiece, op7_suffix_dedup, op8_language_id, op9_sharding)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_packing, op4_token_counts, op5_fingerprints, op6_sentencepiece, op7_suffix_dedup, op8_language_id, op9_sharding, op10_pii_surrogates)
 }
 
 ORACLES: dict[str, str] = {}
