@@ -332,7 +332,7 @@ def clock_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.table(spark, sf_dir, "events").select("event_id", names.frame_at(F.date_format("ts", "HH:mm:ss"), F.lit("01:00:00"), 29.97).alias("frame"))
 
 
-@query(sql("clips") + " select video, clip, round(loop_start_frame_ffmpeg/fps-0.5/fps,6) pts_from, round(loop_end_frame_ffmpeg/fps+0.5/fps,6) pts_to, loop_end_frame_ffmpeg-loop_start_frame_ffmpeg+1 expected_frames, round((loop_end_frame_ffmpeg-loop_start_frame_ffmpeg+1)/fps/60,6) "minutes" from clips")
+@query(sql("clips") + " select video, clip, round(loop_start_frame_ffmpeg/fps-0.5/fps,6) pts_from, round(loop_end_frame_ffmpeg/fps+0.5/fps,6) pts_to, loop_end_frame_ffmpeg-loop_start_frame_ffmpeg+1 expected_frames, round((loop_end_frame_ffmpeg-loop_start_frame_ffmpeg+1)/fps/60,6) \"minutes\" from clips")
 def clip_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = fixtures.clips(spark, sf_dir)
     n = names.clip_length("loop_start_frame_ffmpeg", "loop_end_frame_ffmpeg")
@@ -415,7 +415,7 @@ def past_future_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.past_future_counts(fixtures.observations(spark, sf_dir), KEYS)
 
 
-@query(sql("clips") + " select video, count(*) n_clips, max(loop_end_frame_ffmpeg) n_frames, round(max(loop_end_frame_ffmpeg)/min(fps)/60,6) "minutes", round((max(loop_end_frame_ffmpeg)-1)/min(fps)/3600,6) hours from clips group by video")
+@query(sql("clips") + " select video, count(*) n_clips, max(loop_end_frame_ffmpeg) n_frames, round(max(loop_end_frame_ffmpeg)/min(fps)/60,6) \"minutes\", round((max(loop_end_frame_ffmpeg)-1)/min(fps)/3600,6) hours from clips group by video")
 def video_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = analysis.video_durations(store.clip_frames(fixtures.clips(spark, sf_dir)))
     return d.select("video", "n_clips", "n_frames", r6("minutes").alias("minutes"), r6("hours").alias("hours"))
