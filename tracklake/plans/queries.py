@@ -415,7 +415,7 @@ def past_future_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.past_future_counts(fixtures.observations(spark, sf_dir), KEYS)
 
 
-@query(sql("clips") + " select video, count(*) n_clips, max(loop_end_frame_ffmpeg) n_frames, round(max(loop_end_frame_ffmpeg)/min(fps)/60,6) \"minutes\", round((max(loop_end_frame_ffmpeg)-1)/min(fps)/3600,6) hours from clips group by video")
+@query(sql("clips") + " select video, count(*) n_clips, max(loop_end_frame_ffmpeg) n_frames, round(max(loop_end_frame_ffmpeg)/min(fps)/60,6) \"minutes\", round((max(loop_end_frame_ffmpeg)-1)/min(fps)/3600,6) \"hours\" from clips group by video")
 def video_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = analysis.video_durations(store.clip_frames(fixtures.clips(spark, sf_dir)))
     return d.select("video", "n_clips", "n_frames", r6("minutes").alias("minutes"), r6("hours").alias("hours"))
