@@ -38,11 +38,9 @@ LENGTH, GRAM = 400, 64
 BEFORE = LENGTH - GRAM
 COLUMNS = BEFORE + LENGTH
 #: Bytes of a long document that are looked at together.
-PIECE = 4 << 20
-#: Contexts that are indexed together, at least one group.
-BLOCK = 24_000
-#: Up to how many documents are joined by a broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 400_000
+PIECE = 1 << 20
+#: Contexts that are indexed together, at least one group (about 5 kB of memory each).
+BLOCK = 12_000
 LOWEST = -(2**63)
 FACTOR = 0x9E3779B97F4A7C15
 BYTES = mix(np.arange(1, 257, dtype=np.uint64))
@@ -172,7 +170,7 @@ CONTEXTS = "anchor long, doc_id long, th long, place long, left int, whole boole
 
 
 def _contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, limit=2 << 20):
+    for batch in slices(batches, limit=1 << 20):
         rows = []
         for kid, th, text, marks in zip(*(batch.column(c).to_pylist() for c in ("kid", "th", "text", "marks")), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
@@ -287,10 +285,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("kid"), text.alias("text"), F.xxhash64(text).alias("th"))
 
 
-def _few(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """kid, th, spans (sorted start, stop): the repeated bytes of each distinct document that has some."""
     rows = _keyed(docs)
@@ -300,7 +294,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     met = met.withColumnRenamed("doc_id", "kid")
     whole = met.filter("whole").select("kid", "th", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("stop"))
     marks = met.filter("anchor is not null").groupBy("kid", "th").agg(F.collect_list(F.struct("anchor", "place", "left", "right", "whole")).alias("marks"))
-    marks = _few(written(marks, "marks"))
+    marks = written(marks, "marks")
     contexts = rows.join(marks, ["kid", "th"]).select("kid", "th", "text", "marks").mapInArrow(_contexts, CONTEXTS)
     part = contexts.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_repeated, "kid long, th long, start long, stop long")
     every = whole.union(part).groupBy("kid", "th").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
@@ -339,7 +333,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4])], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    return _keyed(docs).join(_few(repeated_spans(docs)), ["kid", "th"], "left").select("kid", "text", "spans").mapInArrow(run, RESULT)
+    return _keyed(docs).join(repeated_spans(docs), ["kid", "th"], "left").select("kid", "text", "spans").mapInArrow(run, RESULT)
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -354,7 +348,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
             names = [c for c in batch.schema.names if c != spans]
             yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field("text").type) if c == "text" else batch.column(c) for c in names], names=names)
 
-    found = _few(repeated_spans(docs).toDF(kid, th, spans))
+    found = repeated_spans(docs).toDF(kid, th, spans)
     rows = docs.withColumn(kid, F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))).withColumn(th, F.xxhash64(F.col("text").cast("string")))
     out = rows.join(found, [kid, th], "left").select(*docs.columns, spans).mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
