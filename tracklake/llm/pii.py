@@ -33,8 +33,8 @@ BROADCAST_ROWS = 200_000
 #: Attempts after which a corpus has more keys of a type than there are surrogates.
 ATTEMPTS = 64
 
-MALE = "Mr|Herr|Monsieur|Señor|Sr|г-н"
-FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|г-жа"
+MALE = "Mr|MR|Herr|HERR|Monsieur|MONSIEUR|Señor|Sr|г-н"
+FEMALE = "Mrs|MRS|Ms|MS|Miss|MISS|Frau|FRAU|Madame|MADAME|Mme|Señora|Sra|г-жа"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}"
 SECRET = (
