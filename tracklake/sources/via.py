@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import names
 from ..functions.boxes import xywh_to_xyxy, xyxy_to_center
@@ -20,6 +19,10 @@ PROJECT = (
 )
 
 
+def _struct(columns: str) -> str:
+    return "struct<" + ",".join(f"{c.split(' ', 1)[0]}:{c.split(' ', 1)[1]}" for c in columns.split(", ")) + ">"
+
+
 def track_id(text: Column | str) -> Column:
     """Ids are written as numbers with a fraction at times: "2.0" is 2."""
     c = F.col(text) if isinstance(text, str) else text
@@ -118,10 +121,13 @@ def combined_project(projects: DataFrame, default_dir: str | None = None, projec
         F.struct((F.lit(default_dir.rstrip("/") + "/") if default_dir else F.col("_via_settings.core.default_filepath")).alias("default_filepath")).alias("core"),
         F.struct((F.lit(project_name) if project_name else F.col("_via_settings.project.name")).alias("name")).alias("project"),
     )
-    entry = F.struct("first", F.struct("key", F.struct("filename", F.lit(None).cast("long").alias("size"), "regions").alias("value")).alias("e"))
-    pictures = combine(projects).agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"])).alias("_via_img_metadata"))
+    # maps don't order, so images are sorted by place and number alone and looked up again
+    placed = combine(projects).withColumn("value", F.to_json(F.struct("filename", "regions")))
+    listed = placed.agg(F.array_sort(F.collect_list(F.struct("first", "key", "value"))).alias("l"))
+    value = _struct("filename string, size long, regions array<" + REGION + ">")
+    pictures = listed.select(F.map_from_entries(F.transform("l", lambda x: F.struct(x["key"].alias("key"), F.from_json(x["value"], value).alias("value")))).alias("_via_img_metadata"))
     ids = projects.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("file", "_via_image_id_list"))), lambda x: x["_via_image_id_list"])).alias("_via_image_id_list"))
-    return first.withColumn("_via_settings", settings).join(F.broadcast(ids)).join(F.broadcast(pictures)).select(*(f.name for f in T._parse_datatype_string(PROJECT)))
+    return first.withColumn("_via_settings", settings).join(F.broadcast(ids)).join(F.broadcast(pictures)).select(*(c.split()[0] for c in PROJECT.split(", ")))
 
 
 def coco_rows(pictures: DataFrame, order: list[str], category: str = "crab") -> tuple[DataFrame, DataFrame, DataFrame]:
