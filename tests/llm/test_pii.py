@@ -1,0 +1,70 @@
+import re
+from collections import Counter
+
+from tracklake.llm import pii
+
+from .fixtures import documents
+
+ROWS = [
+    "Write to Jane.Doe+x@mail7.example.com or JANE.DOE+X@MAIL7.EXAMPLE.COM, or bob@mail7.example.com.",
+    "Call +1 (017) 555-7713, then +1 017 555 7713, then +1 (974) 555-3436.",
+    "Cards 4539 1488 0343 6467 and 4539148803436467 and 4485275742308327; host 10.2.33.4 and 10.2.33.5",
+    'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" password: Sup3rSecret!',
+    "Mrs Anna Schmidt met Mr. Peter Schmidt; Frau Schmidt left. г-н Иванов и г-жа Анна Иванова. MR. PETER SCHMIDT.",
+    "SSN 123-45-6789, mac 00:1a:2b:3c:4d:5e, ip6 2001:0db8:85a3:0000:0000:8a2e:0370:7334, IBAN DE89 3704 0044 0532 0130 00",
+    "Nothing here but 12 and 3.5 and 2024-05-06.",
+    "+1 (017) 555-7713",
+    None,
+    "",
+]
+
+
+def texts(spark, rows=ROWS):
+    docs = documents(spark, rows)
+    return docs, {r.doc_id: r.text for r in pii.surrogates(docs).collect()}
+
+
+def luhn(s):
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
+
+
+def test_surrogates_are_consistent_distinct_and_in_format(spark):
+    docs, out = texts(spark)
+    a, b, c = re.findall(r"[\w.+]+@[\w.]+\w", out[0])
+    assert a.lower() == b.lower() and b.isupper() and c != a and a.split("@")[1] == c.split("@")[1] and a.endswith(".com")
+    phones = re.findall(r"\+\d[\d ()-]+\d", out[1])
+    digits = [re.sub(r"\D", "", p) for p in phones]
+    assert digits[0] == digits[1] != digits[2] and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", phones[0]) and out[7] == phones[0]
+    cards = re.findall(r"\d{4}(?: ?\d{4}){3}", out[2])
+    assert cards[0].replace(" ", "") == cards[1] != cards[2]
+    assert [luhn(x) for x in cards] == [luhn("4539148803436467")] * 2 + [luhn("4485275742308327")]
+    ips = re.findall(r"\d+\.\d+\.\d+\.\d+", out[2])
+    assert len(set(ips)) == 2 and all(0 < int(o) < 256 for i in ips for o in i.split("."))
+    assert re.search(r'token = "[0-9a-f]{40}"', out[3]) and "04dbebab" not in out[3] and "Sup3rSecret" not in out[3]
+    women, men = re.findall(r"Mrs (\w+) (\w+)", out[4])[0], re.findall(r"Mr\. (\w+) (\w+)", out[4])[0]
+    assert women[1] == men[1] and women[0].endswith("na") and men[0].endswith("n") and f"Frau {men[1]} left" in out[4]
+    assert f"MR. {men[0].upper()} {men[1].upper()}" in out[4]
+    assert re.search(r"г-н [А-Я][а-я]+ и г-жа [А-Я][а-я]+на [А-Я][а-я]+", out[4])
+    assert re.search(r"SSN \d{3}-\d\d-\d{4}, mac (?:[0-9a-f]{2}:){5}[0-9a-f]{2}, ip6 (?:[0-9a-f]{4}:){7}[0-9a-f]{4}, IBAN DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d", out[5])
+    for i in (0, 1, 2, 3, 5):
+        assert out[i] != ROWS[i]
+    assert (out[6], out[8], out[9]) == (ROWS[6], None, "")
+
+
+def test_collisions_are_drawn_again(spark):
+    # more two-digit-free addresses than a short format has at once: shapes of two letters collide
+    rows = [f"{a}{b}@x.example.com" for a in "abcdefghij" for b in "abcdefghij"]
+    _, out = texts(spark, rows)
+    assert len({out[i] for i in range(len(rows))}) == len(rows)
+    assert not {out[i] for i in range(len(rows))} & set(rows)
+
+
+def test_rows_and_columns_stay(spark):
+    docs = documents(spark)
+    out = pii.surrogates(docs)
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter((r.doc_id, r.text) for r in docs.collect())
+    assert pii.surrogates(documents(spark, [])).collect() == []
+    other = {r.doc_id: r.text for r in pii.surrogates(documents(spark, ROWS), "another key").collect()}
+    assert other[1] != texts(spark)[1][1]
