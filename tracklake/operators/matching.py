@@ -40,12 +40,11 @@ def grid_pairs(truth: DataFrame, predictions: DataFrame, keys: list[str], cell:
     return t.join(p, [*on, "gx", "gy"]).filter(first).withColumn("iou", shared).filter(F.col("iou") > threshold).select(*on, "gt_id", "pred_id", "score", "iou")
 
 
-def _split_plain(pairs: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Pairs whose two boxes have no other partner, and all others; one exchange on the frame serves both counts."""
+def _with_alone(pairs: DataFrame, on: list[str]) -> DataFrame:
+    """Marks pairs whose two boxes have no other partner; one exchange on the frame serves both counts and what follows."""
     of = lambda c: F.count("*").over(Window.partitionBy(*on, c))
     counted = pairs.repartition(*on).withColumn("__g", of("gt_id")).withColumn("__p", of("pred_id"))
-    alone = (F.col("__g") == 1) & (F.col("__p") == 1)
-    return counted.filter(alone).drop("__g", "__p"), counted.filter(~alone).drop("__g", "__p")
+    return counted.withColumn("alone", (F.col("__g") == 1) & (F.col("__p") == 1)).drop("__g", "__p")
 
 
 def greedy_match(pairs: DataFrame, keys: list[str], pred_order: str = "pred_id", gt_order: str = "gt_id") -> DataFrame:
@@ -54,19 +53,17 @@ def greedy_match(pairs: DataFrame, keys: list[str], pred_order: str = "pred_id",
     Boxes with one partner only need no order; the others of a frame are folded over in one row.
     """
     on = [*keys, "frame"]
-    plain, rest = _split_plain(pairs, on)
-    entry = F.struct(F.col(pred_order).alias("po"), (-F.col("iou")).alias("worse"), F.col(gt_order).alias("go"), "gt_id", "pred_id", "score", "iou")
-    listed = rest.groupBy(*on).agg(F.array_sort(F.collect_list(entry)).alias("ps"))
-    kind = dict(pairs.dtypes)
-    empty = F.from_json(F.lit("[]"), f"array<struct<gt_id:{kind['gt_id']},pred_id:{kind['pred_id']},score:double,iou:double>>")
+    match = F.struct("gt_id", "pred_id", F.col("score").cast("double").alias("score"), "iou")
+    entry = F.struct(F.col(pred_order).alias("po"), (-F.col("iou")).alias("worse"), F.col(gt_order).alias("go"), match.alias("m"))
+    plain, crowded = F.collect_list(F.when(F.col("alone"), match)), F.collect_list(F.when(~F.col("alone"), entry))
+    listed = _with_alone(pairs, on).groupBy(*on).agg(plain.alias("plain"), F.array_sort(crowded).alias("ps"))
 
     def step(taken, x):
-        used = F.exists(taken, lambda y: (y["gt_id"] == x["gt_id"]) | (y["pred_id"] == x["pred_id"]))
-        one = F.array(F.struct(x["gt_id"].alias("gt_id"), x["pred_id"].alias("pred_id"), x["score"].cast("double").alias("score"), x["iou"].alias("iou")))
-        return F.when(used, taken).otherwise(F.concat(taken, one))
+        used = F.exists(taken, lambda y: (y["gt_id"] == x["m"]["gt_id"]) | (y["pred_id"] == x["m"]["pred_id"]))
+        return F.when(used, taken).otherwise(F.concat(taken, F.array(x["m"])))
 
-    chosen = listed.select(*on, F.explode(F.aggregate("ps", empty, step)).alias("m")).select(*on, "m.*")
-    return plain.select(*on, "gt_id", "pred_id", F.col("score").cast("double").alias("score"), "iou").unionByName(chosen)
+    none = F.slice("plain", 1, 0)
+    return listed.select(*on, F.explode(F.concat("plain", F.aggregate("ps", none, step))).alias("m")).select(*on, "m.*")
 
 
 def optimal_match(pairs: DataFrame, keys: list[str], threshold: float = 0.0, pooled: bool = False) -> DataFrame:
@@ -77,7 +74,8 @@ def optimal_match(pairs: DataFrame, keys: list[str], threshold: float = 0.0, poo
     in Python.
     """
     on = list(keys) if pooled else [*keys, "frame"]
-    plain, rest = _split_plain(pairs, on)
+    marked = _with_alone(pairs, on)
+    plain, rest = marked.filter("alone").drop("alone"), marked.filter("not alone").drop("alone")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         g, gi = np.unique(pdf.gt_id.to_numpy(), return_inverse=True)

@@ -22,17 +22,14 @@ def identity_switches(matched: DataFrame, keys: list[str]) -> DataFrame:
     to another true box in the frame evaluated before. A clean exchange of two ids counts four times.
     """
     ordinal = F.dense_rank().over(Window.partitionBy(*keys).orderBy("frame"))
-    ranked = matched.withColumn("ord", ordinal)
     of_truth = Window.partitionBy(*keys, "gt_id").orderBy("ord")
     of_pred = Window.partitionBy(*keys, "pred_id").orderBy("ord")
     known = F.last("pred_id", ignorenulls=True).over(of_truth.rowsBetween(Window.unboundedPreceding, -1))
-    ranked = ranked.withColumn("known", known)
-    ranked = ranked.withColumn("reid", F.when(F.col("pred_id") != F.col("known"), 1).otherwise(0))
-    hit = ranked.filter("pred_id is not null")
-    moved = (F.lag("ord").over(of_pred) == F.col("ord") - 1) & (F.lag("gt_id").over(of_pred) != F.col("gt_id"))
-    hit = hit.withColumn("swap", F.when(moved, 1).otherwise(0))
-    missed = ranked.filter("pred_id is null").withColumn("swap", F.lit(0))
-    return hit.unionByName(missed).drop("known", "ord")
+    before = F.lag(F.struct("ord", "gt_id")).over(of_pred)
+    ranked = matched.withColumn("ord", ordinal).withColumn("known", known).withColumn("before", before)
+    moved = F.col("pred_id").isNotNull() & (F.col("before.ord") == F.col("ord") - 1) & (F.col("before.gt_id") != F.col("gt_id"))
+    reid, swap = F.when(F.col("pred_id") != F.col("known"), 1).otherwise(0), F.when(moved, 1).otherwise(0)
+    return ranked.withColumn("reid", reid).withColumn("swap", swap).drop("known", "ord", "before")
 
 
 def matched_truth(truth: DataFrame, predictions: DataFrame, keys: list[str], threshold: float = 0.1, predicted_frames: DataFrame | None = None, pred_order: str = "pred_id", gt_order: str = "gt_id") -> DataFrame:
@@ -46,19 +43,21 @@ def matched_truth(truth: DataFrame, predictions: DataFrame, keys: list[str], thr
 def mota_per_frame(truth: DataFrame, predictions: DataFrame, keys: list[str], threshold: float = 0.1, predicted_frames: DataFrame | None = None) -> DataFrame:
     """Counts and accuracy of each frame that has true boxes and a prediction entry."""
     on = [*keys, "frame"]
+    # all windows and the counts need a sequence's rows together: one exchange serves them
     switched = identity_switches(matched_truth(truth, predictions, keys, threshold, predicted_frames), keys)
+    switched = switched.withColumn("first", F.min("frame").over(Window.partitionBy(*keys)))
     frames = switched.groupBy(*on).agg(
         F.count("*").alias("total_ground_truth"),
         F.count("pred_id").alias("true_positives"),
         F.sum("reid").alias("reid"),
         F.sum("swap").alias("swap"),
+        F.first("first").alias("first"),
     )
     shown = predictions.groupBy(*on).agg(F.count("*").alias("n_pred"))
     out = frames.join(shown, on, "left").withColumn("false_positives", F.coalesce("n_pred", F.lit(0)) - F.col("true_positives"))
     out = out.withColumn("missed_detections", F.col("total_ground_truth") - F.col("true_positives")).withColumn("switches", F.col("reid") + F.col("swap"))
     lost = F.col("missed_detections") + F.col("false_positives") + F.col("switches")
-    first = F.min("frame").over(Window.partitionBy(*keys))
-    return out.withColumn("mota", 1 - lost / F.col("total_ground_truth")).withColumn("frame_index", F.col("frame") - first).drop("n_pred")
+    return out.withColumn("mota", 1 - lost / F.col("total_ground_truth")).withColumn("frame_index", F.col("frame") - F.col("first")).drop("n_pred", "first")
 
 
 def mota_overall(per_frame: DataFrame, keys: list[str] | None = None) -> DataFrame:
