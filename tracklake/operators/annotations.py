@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,6 +29,21 @@ def merged(old: DataFrame, new: DataFrame, key: str = "video", value: str = "fra
     return old.join(n, key, "full_outer").select(key, F.when(F.col("__is"), F.col("__new")).otherwise(F.col(value)).alias(value))
 
 
+def selection_document(selected: DataFrame, video: str = "video", value: str = "frames") -> DataFrame:
+    """The selection as one JSON object, videos in order: a column `value` for a text writer."""
+    entry = F.struct(F.col(video).alias("k"), F.col(value).alias("v"))
+    return selected.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value"))
+
+
+def read_selection(spark: SparkSession, path: str, video: str = "video", value: str = "frames") -> DataFrame:
+    """Rows of a selection's JSON object; none if the path doesn't exist."""
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException:
+        return spark.createDataFrame([], f"{video} string, {value} array<int>")
+    return text.select(F.explode(F.from_json("value", "map<string,array<int>>")).alias(video, value))
+
+
 def united(a: DataFrame, b: DataFrame, key: str = "video", value: str = "frames") -> DataFrame:
     """Both frame lists of a key as one set."""
     e = lambda d: d.select(key, F.explode(value).alias("__f"))

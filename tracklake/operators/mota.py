@@ -64,3 +64,25 @@ def mota_overall(per_frame: DataFrame, keys: list[str] | None = None) -> DataFra
     """The mean of the frames' accuracies, and the accuracy of the sums."""
     lost = F.sum(F.col("missed_detections") + F.col("false_positives") + F.col("switches"))
     return per_frame.groupBy(*(keys or [])).agg(F.count("*").alias("n_frames"), F.avg("mota").alias("mean_mota"), (1 - lost / F.sum("total_ground_truth")).alias("aggregated_mota"))
+
+
+#: Columns of a written metrics table.
+METRICS = {
+    "frame": "Frame Number",
+    "frame_index": "Frame Index",
+    "total_ground_truth": "Total Ground Truth",
+    "true_positives": "True Positives",
+    "missed_detections": "Missed Detections",
+    "false_positives": "False Positives",
+    "switches": "Number of Switches",
+    "mota": "MOTA",
+}
+
+
+def metrics_table(per_frame: DataFrame, keys: list[str]) -> DataFrame:
+    """Frames in order, with the columns of a written metrics table after the keys."""
+    return per_frame.orderBy(*keys, "frame").select(*keys, *(F.col(c).alias(name) for c, name in METRICS.items()))
+
+
+def write_metrics(per_frame: DataFrame, keys: list[str], path: str, **options) -> None:
+    metrics_table(per_frame, keys).write.option("header", True).csv(path, **options)

@@ -53,7 +53,7 @@ def centers(images: DataFrame, annotations: DataFrame) -> DataFrame:
     return named.select("dataset_idx", "image_id", "file_name", (x + w / 2).alias("x"), (y + h / 2).alias("y"), w.alias("w"), h.alias("h"))
 
 
-def of_boxes(boxes: DataFrame, category: str = "crab") -> tuple[DataFrame, DataFrame, DataFrame]:
+def of_boxes(boxes: DataFrame, category: str = "animal") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows of boxes(image_idx, det_idx, x1..y2, and file_name or none): ids from 1, names by number where there are none."""
     name = F.col("file_name") if "file_name" in boxes.columns else F.format_string("frame_%04d.png", F.col("image_idx").cast("int"))
     named = boxes.withColumn("file_name", name)

@@ -130,7 +130,7 @@ def combined_project(projects: DataFrame, default_dir: str | None = None, projec
     return first.withColumn("_via_settings", settings).join(F.broadcast(ids)).join(F.broadcast(pictures)).select(*(c.split()[0] for c in PROJECT.split(", ")))
 
 
-def coco_rows(pictures: DataFrame, order: list[str], category: str = "crab") -> tuple[DataFrame, DataFrame, DataFrame]:
+def coco_rows(pictures: DataFrame, order: list[str], category: str = "animal") -> tuple[DataFrame, DataFrame, DataFrame]:
     """COCO images, annotations and categories of images(filename, regions): ids from 1 in order, size 0 by 0, area of the box."""
     numbered = with_row_number(pictures, order, "id")
     image = numbered.select("id", F.lit(0).alias("width"), F.lit(0).alias("height"), F.col("filename").alias("file_name"))
