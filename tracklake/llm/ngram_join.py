@@ -12,14 +12,14 @@ its partners. A plan chosen by cost gives every band one of these forms:
   neighbourhood  one segment with all its subsets that lack one element, where H is at most 1
   segments       m segments, where by chance none has too few non-empty ones (see `plan`)
   elements       every element is a segment; always enough, but popular elements cost candidates
-A set that is signed in the next band needs to show only H + 1 of its segments and shows those with
-most elements. A set in its own band all whose partners it must meet shows all.
 
 Equal signatures meet by hash range: tasks send packed blocks of signatures, not rows. Signatures
-with the same members become one group with a weight. A set stays a candidate only if the weight
-of what it shares reaches (its segments) - H, which the pigeonhole principle gives as well. Then
+with the same members become one group with a weight. A set stays a candidate in a band only if the
+weight of what it shares there reaches (its segments) - H, which follows from the same principle. Then
 each member is verified against a leader of its groups first; only groups that still hold more than
-one component go on to pairs across components. Sets of candidates are compared exactly.
+one component go on to pairs across components, each set looking for larger ones in its smallest
+groups, as many as the principle asks for. Pairs whose sketches (parities of hashed elements) differ
+in more than H bits differ in more than H elements and are left out; the rest is compared exactly.
 
 Equal sets (128-bit sums of their elements' hashes) are one class and are signed and verified once.
 
@@ -141,13 +141,13 @@ def set_hashes(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def signatures(tokens: np.ndarray, bounds: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures (the low six bits are the band) and their set's number; per set: own band, what it must share there, and whether it has too few segments."""
+    """Signatures (the low six bits are the band) and their set's number; per set: own band, what it must share there and in the next one, and whether it has too few segments."""
     n = np.diff(bounds)
     ends = band_ends()
     highs = np.array([h for _, h in ends])
     lows = np.array([low for low, _ in ends] + [1 << 62])
     own = np.searchsorted(highs, n)
-    need, short = np.ones(len(n), np.int64), np.zeros(len(n), bool)
+    need, short = np.ones((2, len(n)), np.int64), np.zeros(len(n), bool)
     sigs, owners = [], []
     salted = mix(tokens ^ mix(np.array([seed], np.uint64)))
     for role in (0, 1):
@@ -170,7 +170,7 @@ def signatures(tokens: np.ndarray, bounds: np.ndarray, seed: int) -> tuple[np.nd
                 owner = np.r_[chosen, doc]
             else:
                 if kind == "elements":
-                    sig, owner, held = mix(x + tag), doc, np.ones(len(doc), np.int64)
+                    sig, owner = mix(x + tag), doc
                 else:
                     m = np.array([forms.get(b, ("", 1))[1] or 1 for b in range(BANDS + 1)], np.uint64)[band[doc]]
                     segment = (x >> np.uint64(32)) * m >> np.uint64(32)
@@ -178,18 +178,11 @@ def signatures(tokens: np.ndarray, bounds: np.ndarray, seed: int) -> tuple[np.nd
                     o = np.argsort(key, kind="stable")
                     key = key[o]
                     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                    held = np.diff(np.r_[first, len(key)])
                     owner = doc[o][first]
                     sig = mix(np.add.reduceat(mix(x[o]), first) + mix(segment[o][first] + tag[o][first]))
                 count = np.bincount(owner, minlength=len(n))
                 short[chosen] |= count[chosen] < limit[chosen]
-                if role == 0:
-                    need[chosen] = np.maximum(1, count[chosen] - limit[chosen] + 1)
-                else:  # those with most elements
-                    o = np.lexsort((-held, owner))
-                    rank = np.arange(len(o)) - np.repeat(np.r_[0, np.cumsum(count[count > 0])[:-1]], count[count > 0])
-                    o = o[rank < limit[owner[o]]]
-                    sig, owner = sig[o], owner[o]
+                need[role, chosen] = np.maximum(1, count[chosen] - limit[chosen] + 1)
             sigs.append(sig << np.uint64(6) | band[owner].astype(np.uint64))
             owners.append(owner)
     if not sigs:
@@ -197,8 +190,8 @@ def signatures(tokens: np.ndarray, bounds: np.ndarray, seed: int) -> tuple[np.nd
     return np.concatenate(sigs), np.concatenate(owners), own, need, short
 
 
-SENT = "bucket int, doc_id long, th long, n long, hi long, lo long, own int, need long, short boolean, sigs binary, nodes binary, counts binary"
-FOUND = "doc_id long, th long, n long, hi long, lo long, own int, need long, short boolean, gid long, band int, node long, weight long"
+SENT = "bucket int, doc_id long, th long, n long, hi long, lo long, own int, need long, need_next long, short boolean, sigs binary, nodes binary, counts binary"
+FOUND = "doc_id long, th long, n long, hi long, lo long, own int, need long, need_next long, short boolean, gid long, band int, node long, weight long"
 
 
 def _signed(buckets: int, seed: int):
@@ -221,7 +214,7 @@ def _signed(buckets: int, seed: int):
             cols = list(zip(*rows, strict=True))
             n = len(rows)
             return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32()), *(pa.nulls(n, pa.int64()) for _ in range(5)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), *(pa.array(c, pa.binary()) for c in cols[1:])],
+                [pa.array(cols[0], pa.int32()), *(pa.nulls(n, pa.int64()) for _ in range(5)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), *(pa.array(c, pa.binary()) for c in cols[1:])],
                 names=[x.split()[0] for x in SENT.split(", ")],
             )
 
@@ -240,7 +233,7 @@ def _signed(buckets: int, seed: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array((hi % np.uint64(buckets)).astype(np.int32)), batch.column("doc_id"), batch.column("th"), pa.array(n), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)),
-                    pa.array(own.astype(np.int32)), pa.array(need), pa.array(short), *(pa.nulls(k, pa.binary()) for _ in range(3)),
+                    pa.array(own.astype(np.int32)), pa.array(need[0]), pa.array(need[1]), pa.array(short), *(pa.nulls(k, pa.binary()) for _ in range(3)),
                 ],
                 names=[x.split()[0] for x in SENT.split(", ")],
             )
@@ -287,7 +280,7 @@ def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.repeat(start[first] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
         n = len(at)
         full = pa.RecordBatch.from_arrays(
-            [*(pa.nulls(n, pa.int64()) for _ in range(5)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array(np.repeat(gid[first], size).view(np.int64)), pa.array(np.repeat(band[first], size).astype(np.int32)), pa.array(node[at].view(np.int64)), pa.array(np.repeat(weight, size))],
+            [*(pa.nulls(n, pa.int64()) for _ in range(5)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array(np.repeat(gid[first], size).view(np.int64)), pa.array(np.repeat(band[first], size).astype(np.int32)), pa.array(node[at].view(np.int64)), pa.array(np.repeat(weight, size))],
             names=names,
         )
         for i in range(0, n, 20_000):
@@ -298,7 +291,7 @@ def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = batch.filter(pa.array(kind))
         if len(docs):
             k = len(docs)
-            yield pa.RecordBatch.from_arrays([*(docs.column(c) for c in names[:8]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([*(docs.column(c) for c in names[:9]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
         for i in np.flatnonzero(~kind).tolist():
             if buckets[i] != bucket and blocks:
                 yield from groups()
@@ -309,11 +302,31 @@ def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from groups()
 
 
+SKETCH = [f"b{i}" for i in range(16)]
+
+
+def sketches(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Parities of the elements' numbers in 1024 buckets: two sets differ in at least as many elements as their sketches do in bits."""
+    width = 64 * len(SKETCH)
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    counts = np.bincount(owner * width + (tokens >> np.uint64(20)).astype(np.int64) % width, minlength=(len(bounds) - 1) * width)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(len(bounds) - 1, width), axis=1).view(np.int64)
+
+
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, limit=2 << 20):
         tokens, bounds = shingles(batch.column("text"))
         hi, lo = set_hashes(tokens, bounds)
-        yield pa.RecordBatch.from_arrays([pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(tokens.view(np.int64))).cast(pa.list_(pa.int64()))], names=["hi", "lo", "tokens"])
+        bits = sketches(tokens, bounds)
+        listed = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(tokens.view(np.int64))).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(np.diff(bounds)), listed, *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(SKETCH)))], names=["hi", "lo", "n", "tokens", *SKETCH])
+
+
+def _may_link(p: str, q: str):
+    """Whether sizes and sketches of two sets allow a link."""
+    n, m = F.col(f"{p}n"), F.col(f"{q}n")
+    bits = sum((F.bit_count(F.col(f"{p}{b}").bitwiseXOR(F.col(f"{q}{b}"))) for b in SKETCH[1:]), F.bit_count(F.col(f"{p}{SKETCH[0]}").bitwiseXOR(F.col(f"{q}{SKETCH[0]}"))))
+    return (4 * n >= 3 * m) & (4 * m >= 3 * n) & (7 * bits <= n + m)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -341,19 +354,27 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         seed += 1  # a set has too few non-empty segments (odds of 1e-14 each): split the universe anew
     cls = F.concat(F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0"))
-    every = met.filter("n is not null").select("doc_id", "th", "n", F.when(F.col("n") > 0, cls).alias("cls"), "hi", "own", "need")
-    nodes = every.filter("n > 0").groupBy("hi").agg(F.max("own").alias("own"), F.min("need").alias("need"), F.min("n").alias("n"))
+    every = met.filter("n is not null").select("doc_id", "th", "n", F.when(F.col("n") > 0, cls).alias("cls"), "hi", "own", "need", "need_next")
+    nodes = every.filter("n > 0").groupBy("hi").agg(F.max("own").alias("own"), F.min("need").alias("need"), F.min("need_next").alias("need_next"), F.min("n").alias("n"))
     groups = met.filter("gid is not null").groupBy("gid", "band", "node").agg(F.sum("weight").alias("weight"))
     groups = groups.join(nodes.withColumnRenamed("hi", "node"), "node").withColumn("is_own", F.col("band") == F.col("own"))
+    groups = groups.withColumn("need", F.when(F.col("is_own"), F.col("need")).otherwise(F.col("need_next"))).drop("need_next", "own")
     groups = written(groups, "groups")
-    enough = groups.groupBy("node", "band").agg(F.sum("weight").alias("w"), F.first("need").alias("need"), F.first("is_own").alias("is_own")).filter("not is_own or w >= need").select("node", "band")
-    groups = groups.join(enough, ["node", "band"])
-    leader = F.min(F.when(F.col("is_own"), F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"), F.col("n").alias("n")))).alias("leader")
-    led = groups.groupBy("gid").agg(leader, F.count("*").alias("size")).filter("size > 1 and leader is not null")
-    groups = written(groups.join(led, "gid").select("gid", "node", "n", "is_own", "need", "weight", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n")), "groups")
-
-    def alike(a: str, b: str):
-        return (4 * F.col(a) >= 3 * F.col(b)) & (4 * F.col(b) >= 3 * F.col(a))
+    for _ in range(2):  # sets that share too little, then groups that lack a partner; again without those
+        enough = groups.groupBy("node", "band").agg(F.sum("weight").alias("w"), F.first("need").alias("need")).filter("w >= need").select("node", "band")
+        groups = groups.join(enough, ["node", "band"])
+        led = groups.groupBy("gid").agg(F.count("*").alias("size"), F.count_if("is_own").alias("n_own")).filter("size > 1 and n_own > 0").select("gid", "size")
+        groups = written(groups.drop("size").join(led, "gid"), "groups")
+    # a group's leader is the set that shares most with all others: the one that the others are copies of, if it is there
+    known = groups.groupBy("node").agg(F.sum(F.col("weight") * (F.col("size") - 1)).alias("known"))
+    groups = groups.join(known, "node")
+    leader = F.max(F.when(F.col("is_own"), F.struct("known", F.col("node").alias("node")))).alias("leader")
+    groups = groups.join(groups.groupBy("gid").agg(leader), "gid")
+    # of a set's signatures all but H may be left aside: it looks for partners in its smallest groups only
+    of_set = Window.partitionBy("node", "band")
+    before = F.sum("weight").over(of_set.orderBy("size", "gid")) - F.col("weight")
+    looks = before < F.sum("weight").over(of_set) - F.col("need") + 1
+    groups = written(groups.select("gid", "node", "n", "is_own", "weight", looks.alias("looks"), F.col("leader.node").alias("leader")), "groups")
 
     # the candidates' texts are read again for their sets: by a broadcast of few ids, or by a join
     wanted = groups.select(F.col("node").alias("hi")).distinct()
@@ -361,12 +382,14 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     few = homes.select("doc_id", "th").distinct()
     few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
     at_home = rows.alias("r").join(few.alias("f"), F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & F.col("r.th").eqNullSafe(F.col("f.th")), "left_semi").select("text")
-    sets = at_home.mapInArrow(_sets, "hi long, lo long, tokens array<long>").withColumn("cls", cls)
-    sets = written(sets.dropDuplicates(["cls"]).select("hi", "cls", "tokens"), "sets")
+    kinds = "hi long, lo long, n long, tokens array<long>, " + ", ".join(f"{b} long" for b in SKETCH)
+    sets = written(at_home.mapInArrow(_sets, kinds).withColumn("cls", cls).dropDuplicates(["cls"]).drop("lo"), "sets")
+    bits = sets.select(F.col("hi").alias("node"), "n", *SKETCH)
 
     # a member with the leader that it shares most with, first
-    stars = groups.filter("node <> leader").filter(alike("n", "leader_n")).groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.sum("weight").alias("w"))
-    stars = written(stars, "stars")
+    stars = groups.filter("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.sum("weight").alias("w"))
+    stars = stars.join(bits.select(F.col("node").alias("a"), *(F.col(c).alias(f"a_{c}") for c in ["n", *SKETCH])), "a").join(bits.select(F.col("node").alias("b"), *(F.col(c).alias(f"b_{c}") for c in ["n", *SKETCH])), "b")
+    stars = written(stars.filter(_may_link("a_", "b_")).select("a", "b", "w").distinct(), "stars")
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a"))
     links = written(_verified(best.select("a", "b"), sets), "links")
     labels = components(links.select(F.col("a"), F.col("b")))
@@ -380,14 +403,15 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     more = written(_verified(rest, sets), "links")
     links = links.union(more)
     labels = components(links.select("a", "b"))
-    # groups that still hold several components: pairs across them, if they share enough
+    # groups that still hold several components: each set that looks there, with the larger ones of other components
     marked = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = marked.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("gid")
-    marked = written(marked.join(mixed, "gid").select("gid", "node", "n", "is_own", "need", "weight", "label"), "mixed")
-    one, two = marked.filter("is_own").alias("p"), marked.alias("q")
-    across = one.join(two, (F.col("p.gid") == F.col("q.gid")) & (F.col("p.label") != F.col("q.label")) & (~F.col("q.is_own") | (F.col("p.node") < F.col("q.node"))) & (4 * F.col("p.n") >= 3 * F.col("q.n")) & (4 * F.col("q.n") >= 3 * F.col("p.n")))
-    across = across.groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b")).agg(F.sum("p.weight").alias("w"), F.max("p.need").alias("need"), F.max(F.when(F.col("q.is_own"), F.col("q.need")).otherwise(1)).alias("other"))
-    across = across.filter("w >= need and w >= other").join(stars.select("a", "b"), ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    mixed = marked.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count_if("looks").alias("n_looks")).filter("x <> y and n_looks > 0").select("gid")
+    marked = written(marked.join(mixed, "gid").select("gid", "node", "is_own", "looks", "label").join(bits, "node"), "mixed")
+    one, two = marked.filter("looks").alias("p"), marked.filter("is_own").alias("q")
+    larger = (F.col("q.n") > F.col("p.n")) | (F.col("q.n") == F.col("p.n")) & (F.col("q.node") != F.col("p.node"))
+    across = one.join(two, (F.col("p.gid") == F.col("q.gid")) & (F.col("p.label") != F.col("q.label")) & larger & _may_link("p.", "q."))
+    across = across.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+    across = across.join(stars.select("a", "b"), ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     last = written(_verified(across.select("a", "b"), sets), "links")
     edges = links.union(last).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
     linked = components(edges).withColumnRenamed("node", "cls")

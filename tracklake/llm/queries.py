@@ -12,11 +12,11 @@ from .common import documents
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(documents(spark, sf_dir))
+    return ngram_join.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(documents(spark, sf_dir))
+    return quality.quality(documents(spark, sf_dir)).drop("n_long_repeat_words", "longest_repeat")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +55,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_packing, op4_token_counts, op5_fingerprints, op6_sentencepiece, op7_suffix_dedup, op8_language_id, op9_sharding, op10_pii_surrogates)
 }
 
-ORACLES: dict[str, str] = {}
+WORDS = r"""regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"""
+LOWER = "translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": f"""with recursive w as (select doc_id, {WORDS.format(text=LOWER)} w from documents),
+ s as (select distinct doc_id, case when len(w) >= 5 then array_to_string(w[i:i+4],' ') else array_to_string(w,' ') end s from w, unnest(range(1, greatest(1, len(w)-4)+1)) t(i) where len(w) > 0),
+ n as (select doc_id, count(*) n from s group by doc_id),
+ p as (select a.doc_id a, b.doc_id b, count(*) k from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all),
+ e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100*k >= 75*(x.n+y.n-k)),
+ both_ways as (select a, b from e union all select b, a from e),
+ r as (select doc_id, doc_id c from documents union select g.b, r.c from r join both_ways g on r.doc_id = g.a)
+ select d.doc_id, coalesce(n.n, 0) n_shingles, c.c component_id from documents d left join n on n.doc_id = d.doc_id join (select doc_id, min(c) c from r group by doc_id) c on c.doc_id = d.doc_id""",
+    "op2_quality_rules": f"""with w as (select doc_id, coalesce(text,'') text, {WORDS.format(text="coalesce(text,'')")} w from documents),
+ k as (select unnest([{quality.WINDOW}, {quality.LONG_WORDS}, {quality.MAX_REPEAT + 1}]) k),
+ v as (select doc_id, k, i, hash(w[i:i+k-1]) h from w, k, unnest(range(1, greatest(0, len(w)-k+1)+1)) t(i)),
+ twice as (select doc_id, k, i from (select *, count(*) over (partition by doc_id, k, h) c from v) where c > 1),
+ gone as (select doc_id, k, sum(least(k, coalesce(later-i, k))) n from (select *, lead(i) over (partition by doc_id, k order by i) later from twice) group by doc_id, k),
+ lines as (select doc_id, count(*)-count(distinct l) n from (select doc_id, unnest(string_split(text, chr(10))) l from w) where regexp_matches(l, '[^\\x20\\x09-\\x0D]') group by doc_id),
+ m as (select doc_id, len(w) n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) word_chars, length(text)-length(translate(text,'#*$%&|<>','')) n_symbols,
+  coalesce((select n from lines where lines.doc_id = w.doc_id), 0) n_dup_lines,
+  coalesce((select n from gone g where g.doc_id = w.doc_id and k = {quality.WINDOW}), 0) n_repeat_words, coalesce((select n from gone g where g.doc_id = w.doc_id and k = {quality.LONG_WORDS}), 0) far, coalesce((select n from gone g where g.doc_id = w.doc_id and k = {quality.MAX_REPEAT + 1}), 0) too_long from w)
+ select doc_id, n_words, cast(word_chars as bigint) word_chars, n_symbols, n_dup_lines, cast(n_repeat_words as bigint) n_repeat_words, n_words < {quality.MIN_WORDS} or 100*n_repeat_words > {quality.BASE_PERCENT}*n_words base_failed,
+  not (n_words < {quality.MIN_WORDS} or 100*n_repeat_words > {quality.BASE_PERCENT}*n_words) and 100*far <= {quality.LONG_PERCENT}*n_words and too_long = 0 kept from m""",
+}
