@@ -69,8 +69,20 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+#: Bytes of an Arrow batch that Spark hands to a Python worker, where the session has no value of its own.
+BATCH_KEY, BATCH_DEFAULT, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", {None, "67108864", "67108864b", "64MB", "64m"}, str(4 << 20)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; lets its session hand rows over in small batches, which bounds the memory of workers and of the hand-over."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY, None) in BATCH_DEFAULT:
+        conf.set(BATCH_KEY, BATCH)
+    return df
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def word_codes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, slices, texts_of
+from .common import free_name, slices, small_batches, texts_of
 
 SAMPLE, SAMPLE_CHARS = 120, 12_000
 FEATURES = 1 << 16
@@ -257,7 +257,7 @@ def predict(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
                 names=["doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 2).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 2).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

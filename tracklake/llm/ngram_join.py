@@ -41,12 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, mix, partitions, slices, word_codes, written
+from .common import free_name, mix, partitions, slices, small_batches, word_codes, written
 from .components import components
 
 WIDTH = 5
 #: Signatures that a task gathers before it sends them.
-GATHERED = 1_500_000
+GATHERED = 500_000
+#: Sets that a task remembers as signed.
+REMEMBERED = 500_000
 #: Up to how many candidate documents are found in the texts by a broadcast; more are found by a join.
 BROADCAST_ROWS = 500_000
 #: How much a signature of one element counts: it meets every set with that element.
@@ -199,6 +201,7 @@ def _signed(buckets: int, seed: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        done: set[int] = set()
         n_held = 0
 
         def blocks() -> pa.RecordBatch:
@@ -221,10 +224,12 @@ def _signed(buckets: int, seed: int):
         for batch in slices(batches, limit=2 << 20):
             tokens, bounds = shingles(batch.column("text"))
             hi, lo = set_hashes(tokens, bounds)
-            # equal sets of a slice are signed once
+            # equal sets are signed once in a task (or once in REMEMBERED different ones)
             _, first = np.unique(hi, return_index=True)
             once = np.zeros(len(hi), bool)
-            once[first] = True
+            once[[i for i in first.tolist() if int(hi[i]) not in done]] = True
+            done = set() if len(done) > REMEMBERED else done
+            done.update(hi[once].tolist())
             sig, owner, own, need, short = signatures(tokens, bounds, seed)
             keep = once[owner]
             held.append((sig[keep], hi[owner[keep]]))
@@ -346,7 +351,7 @@ def _first_seed(rows: DataFrame, buckets: int, seed: int) -> DataFrame:
 def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every row (doc_id, th, n, cls), and the label (least doc_id, by class) of classes linked with another."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("th"))
     seed = 11
     while True:
         met = _first_seed(rows, 3 * partitions(spark), seed)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, slices, word_codes
+from .common import id_and_text, slices, small_batches, word_codes
 
 WINDOW, MIN_WORDS, BASE_PERCENT = 5, 10, 20
 LONG_WORDS, LONG_PERCENT, MAX_REPEAT = 20, 15, 200
@@ -145,4 +145,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
             kept &= (100 * m["n_long_repeat_words"] <= LONG_PERCENT * m["n_words"]) & (m["longest_repeat"] <= MAX_REPEAT)
             yield batch.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
