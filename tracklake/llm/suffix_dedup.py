@@ -4,7 +4,8 @@
    equal strings select equal grams at equal places (winnowing). Only selected grams, the anchors,
    are looked at: about one in 170 bytes. An anchor's context, LENGTH - GRAM bytes before it to LENGTH
    bytes from its start, holds every string of LENGTH bytes that selects it.
-2. Anchors meet by hash range as packed blocks. A context that occurs twice is repeated as a whole and
+2. Anchors meet by hash range as packed blocks; of equal contexts in one task one is sent, so whole
+   copies and common passages don't pile up. A context that occurs twice is repeated as a whole and
    needs no text. Of anchors with different contexts, one occurrence of each goes on.
 3. Their contexts are read and grouped by anchor. A block of groups is indexed: the Burrows-Wheeler
    transform of the contexts, each byte tagged with its anchor and its place relative to it, built
@@ -14,8 +15,7 @@
    LENGTH bytes or more marks a repeat. Tags keep a place of a document from matching itself.
 4. The marked spans of a document are united and cut from its bytes.
 
-A group of contexts is held in one task (736 bytes each); whole copies and whole common contexts
-count once there.
+The distinct contexts of one anchor are held in one task (about 5 kB each).
 
 Null or empty text: no bytes, nothing removed. Repeated rows are repeats of each other. A null doc_id
 is kept as such. Extra columns are ignored by repeated_bytes() and kept by cut_repeats(), which
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, mix, partitions, slices, written
+from .common import free_name, mix, partitions, slices, small_batches, written
 
 LENGTH, GRAM = 400, 64
 BEFORE = LENGTH - GRAM
@@ -91,12 +91,38 @@ def pieces(raw: list[bytes]) -> Iterator[tuple[bytes, list[tuple[int, int]], np.
             yield part, [(i, lo)], np.array([0, len(part)]), np.array([at - lo]), np.array([at - lo + PIECE])
 
 
-SENT = "bucket int, anchors binary, contexts binary, places binary, lefts binary, rights binary, docs binary, texts binary, counts binary"
+SENT = "bucket int, known boolean, anchors binary, contexts binary, places binary, lefts binary, rights binary, wholes binary, docs binary, texts binary, counts binary"
 MET = "doc_id long, th long, place long, left int, right int, anchor long, whole boolean"
+#: Anchors that a task gathers before it sends them.
+GATHERED = 200_000
 
 
 def _anchored(buckets: int):
+    """Blocks of anchors for each bucket. Of equal contexts of a task one is sent; all of them are known as repeated (blocks `known`)."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        n_held = 0
+
+        def blocks() -> pa.RecordBatch:
+            gram, context, place, left, right, kid, th = (np.concatenate(c) for c in zip(*held, strict=True))
+            o = np.lexsort((th, kid, context, gram))
+            gram, context, place, left, right, kid, th = (x[o] for x in (gram, context, place, left, right, kid, th))
+            first = np.r_[True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])]
+            whole = ~(first & np.r_[first[1:], True])
+            bucket = (gram % np.uint64(buckets)).astype(np.int32)
+            rows = []
+            for known, chosen in ((False, np.flatnonzero(first)), (True, np.flatnonzero(whole))):
+                chosen = chosen[np.lexsort((th[chosen], kid[chosen], bucket[chosen]))]
+                start = np.flatnonzero(np.r_[True, bucket[chosen][1:] != bucket[chosen][:-1]]) if len(chosen) else []
+                for i, a in enumerate(start):
+                    c = chosen[a : start[i + 1] if i + 1 < len(start) else len(chosen)]
+                    head = np.flatnonzero(np.r_[True, (kid[c][1:] != kid[c][:-1]) | (th[c][1:] != th[c][:-1])])
+                    cells = (gram[c], context[c], place[c], left[c].astype(np.uint16), right[c].astype(np.uint16), whole[c].astype(np.uint8), kid[c][head], th[c][head], np.diff(np.r_[head, len(c)]).astype(np.uint32))
+                    rows.append((int(bucket[c[0]]), known, *(x.tobytes() for x in cells)))
+            cols = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1]), *(pa.array(c, pa.binary()) for c in cols[2:])], names=[x.split()[0] for x in SENT.split(", ")])
+
         for batch in slices(batches, limit=PIECE):
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             ids, th = batch.column("kid").to_numpy(), batch.column("th").to_numpy()
@@ -110,58 +136,60 @@ def _anchored(buckets: int):
                 continue
             doc, place, gram, context, left, right = map(np.concatenate, zip(*parts, strict=True))
             _, once = np.unique(doc << 40 | place, return_index=True)  # an anchor of two parts of a long document
-            bucket = gram[once] % np.uint64(buckets)
-            once = once[np.argsort(bucket, kind="stable")]
-            bucket = gram[once] % np.uint64(buckets)
-            start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            rows = []
-            for a, b in zip(start.tolist(), [*start[1:].tolist(), len(once)], strict=True):
-                o = once[a:b]
-                head = np.flatnonzero(np.r_[True, doc[o][1:] != doc[o][:-1]])
-                owner = doc[o][head]
-                cells = (gram[o], context[o], place[o].astype(np.int64), left[o].astype(np.uint16), right[o].astype(np.uint16), ids[owner], th[owner], np.diff(np.r_[head, b - a]).astype(np.uint32))
-                rows.append((int(bucket[a]), *(x.tobytes() for x in cells)))
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=[x.split()[0] for x in SENT.split(", ")])
+            held.append((gram[once], context[once], place[once], left[once], right[once], ids[doc[once]], th[doc[once]]))
+            n_held += len(once)
+            if n_held >= GATHERED:
+                yield blocks()
+                held, n_held = [], 0
+        if n_held:
+            yield blocks()
 
     return run
 
 
 def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of anchors that occur twice: contexts that do too (whole), and one of each context of anchors with several."""
+    """Repeated contexts (whole), and of anchors with several contexts one of each, to be compared."""
     names = [x.split()[0] for x in MET.split(", ")]
     bucket, blocks = None, []
 
+    def columns(some: list[list[bytes]]) -> list[np.ndarray]:
+        kinds = (np.uint64, np.uint64, np.int64, np.uint16, np.uint16, np.bool_)
+        cols = [np.concatenate([np.frombuffer(b[i], k) for b in some]) for i, k in enumerate(kinds)]
+        return cols + [np.concatenate([np.repeat(np.frombuffer(b[i], np.int64), np.frombuffer(b[8], np.uint32)) for b in some]) for i in (6, 7)]
+
+    def table(place, left, right, kid, th, anchor, whole) -> Iterator[pa.RecordBatch]:
+        full = pa.RecordBatch.from_arrays([pa.array(kid), pa.array(th), pa.array(place), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), anchor, pa.array(whole)], names=names)
+        for i in range(0, len(full), 20_000):
+            yield full.slice(i, 20_000)
+
     def groups() -> Iterator[pa.RecordBatch]:
-        kinds = (np.uint64, np.uint64, np.int64, np.uint16, np.uint16)
-        cols = [np.concatenate([np.frombuffer(b[i], k) for b in blocks]) for i, k in enumerate(kinds)]
-        for i in (5, 6):
-            cols.append(np.concatenate([np.repeat(np.frombuffer(b[i], np.int64), np.frombuffer(b[7], np.uint32)) for b in blocks]))
+        cols = columns(blocks)
         o = np.lexsort((cols[1], cols[0]))
-        anchor, context, place, left, right, ids, th = (c[o] for c in cols)
+        anchor, context, place, left, right, known, kid, th = (c[o] for c in cols)
         fresh = np.r_[True, anchor[1:] != anchor[:-1]]
         inner = fresh | np.r_[True, context[1:] != context[:-1]]
         head = np.flatnonzero(inner)
         size = np.diff(np.r_[head, len(anchor)])
         group = np.cumsum(fresh) - 1
         several = np.bincount(group[head])[group] > 1  # of the anchor's contexts
-        twice = np.repeat(size > 1, size)
-        out = np.flatnonzero(twice | (several & inner))
-        # whole: the span is repeated; anchor is null where no comparison is needed
-        compare = pa.array(anchor[out].view(np.int64), mask=~(several & inner)[out])
-        full = pa.RecordBatch.from_arrays(
-            [pa.array(ids[out]), pa.array(th[out]), pa.array(place[out]), pa.array(left[out].astype(np.int32)), pa.array(right[out].astype(np.int32)), compare, pa.array(twice[out])], names=names
-        )
-        for i in range(0, len(full), 20_000):
-            yield full.slice(i, 20_000)
+        twice = np.repeat((size > 1) | np.logical_or.reduceat(known, head), size)
+        compared = several & inner
+        out = np.flatnonzero(twice | compared)
+        # anchor is null where no comparison is needed
+        yield from table(place[out], left[out], right[out], kid[out], th[out], pa.array(anchor[out].view(np.int64), mask=~compared[out]), twice[out])
 
     for batch in batches:
         for row in batch.to_pylist():
+            cells = [row[x.split()[0]] for x in SENT.split(", ")[2:]]
+            if row["known"]:
+                _, _, place, left, right, whole, kid, th = columns([cells])
+                yield from table(place, left, right, kid, th, pa.nulls(len(place), pa.int64()), whole)
+                continue
             if row["bucket"] != bucket and blocks:
                 yield from groups()
                 blocks = []
             bucket = row["bucket"]
-            blocks.append([row[x.split()[0]] for x in SENT.split(", ")[1:]])
+            blocks.append(cells)
     if blocks:
         yield from groups()
 
@@ -282,7 +310,7 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("kid"), text.alias("text"), F.xxhash64(text).alias("th"))
+    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("kid"), text.alias("text"), F.xxhash64(text).alias("th"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
