@@ -6,7 +6,7 @@ number, lower-case address, each word of a name), so mentions in another format
 surrogate is drawn from keyed hashes (SHA-256 of a secret, the type, the key and the attempt):
   numbers     digits for digits; a phone's and a card's first digit stay, a valid card number stays valid
   addresses   an e-mail's domain is drawn from its domain alone, so one domain stays one; octets stay octets
-  secrets     letter for letter of the same case, hexadecimal ones stay hexadecimal
+  secrets     letter for letter of the same case, hexadecimal ones stay hexadecimal; the prefix of a kind of key stays
   names       syllables of the same script, given names with an ending of the gender of the form of
               address; given name and surname are keys of their own, so "Mr X" and "Mr A X" agree
 A mention is written in its own format: its punctuation and its case.
@@ -51,7 +51,7 @@ CARD = r"(?<!\d)(?:\d{4}[ -]?){3}\d{1,7}(?!\d)"
 PHONE = r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
 PATTERN = "|".join([EMAIL, SECRET, NAME, MAC, IPV6, IPV4, IBAN, SSN, CARD, PHONE])
 #: What a text with an entity has.
-HINT = rf"[0-9@]|token|secret|passw|key|TOKEN|SECRET|PASSW|KEY|(?:{MALE}|{FEMALE})\.? "
+HINT = rf"[0-9@]|token|secret|passw|key|TOKEN|SECRET|PASSW|KEY|AKIA|gh[pousr]_|sk-|[A-Fa-f]:[A-Fa-f]|[A-Fa-f]-[A-Fa-f]{{2}}-|(?:{MALE}|{FEMALE})\.? "
 
 
 def lit(text: str) -> Column:
@@ -162,7 +162,8 @@ def syllables(hexes: Column, n: Column, consonants: str, vowels: str) -> Column:
 def surrogate(type_: Column, key: Column, attempt: Column, secret: str) -> Column:
     hexes = stream(secret, type_, attempt.cast("string"), key)
     hexadecimal = type_.isin("mac", "ipv6") | key.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
-    fixed = F.when(type_.isin("phone", "card"), 1).when(type_ == "iban", 2).otherwise(0)
+    prefix = F.length(F.regexp_extract(key, "^(AKIA|gh[pousr]_|sk-)", 1))
+    fixed = F.when(type_.isin("phone", "card"), 1).when(type_ == "iban", 2).when(type_ == "secret", prefix).otherwise(0)
     plain = shaped(key, hexes, fixed, hexadecimal)
     card = F.substring(plain, F.lit(1), F.length(plain) - 1)
     valid = F.concat(card, ((10 - checksum(F.concat(card, lit("0"))) % 10) % 10).cast("string"))
@@ -256,8 +257,9 @@ def replaced(docs: DataFrame, secret: str = "corpus") -> tuple[DataFrame, str]:
     by_doc = F.broadcast(by_doc) if by_doc.count() <= BROADCAST_ROWS else by_doc
     rows = docs.withColumn(kid, F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))).withColumn(th, F.xxhash64(F.col("text").cast("string")))
     joined = rows.join(by_doc, [kid, th], "left")
-    between = F.split(F.col("text"), PATTERN, -1)
-    whole = F.array_join(F.concat(F.transform(F.col(tos), lambda x, i: F.concat(between[i], x)), F.array(F.element_at(between, -1))), "")
+    # null where nothing is to be replaced: such texts aren't searched a second time, and others once
+    between = F.split(F.when(F.col(tos).isNotNull(), F.col("text")), PATTERN, -1)
+    whole = F.array_join(F.zip_with(between, F.concat(F.col(tos), F.array(F.lit(""))), lambda kept, to: F.concat(kept, to)), "")
     n = free_name(docs, "n_entities")
     out = joined.withColumn(n, F.coalesce(F.size(tos), F.lit(0)).cast("long")).withColumn("text", F.when(F.col(tos).isNull(), F.col("text")).otherwise(whole))
     out = out.withColumn(n, F.greatest(F.col(n), F.lit(0)).cast("long"))
