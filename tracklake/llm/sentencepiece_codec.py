@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, slices, texts_of
+from .common import id_and_text, slices, small_batches, texts_of
 
 MARK = "▁"
 #: How much less than the least piece an unknown character scores (the library's fixed value).
@@ -69,7 +69,7 @@ class DoubleArray:
                 if base < 1:
                     base = used.index(0, heads[0][0] + 1) - heads[0][0]
             else:
-                base = max(1, top - 2048 - heads[0][0])
+                base = max(1, top - 32 - heads[0][0])
                 while any(used[base + c] for c, _, _ in heads):
                     base += 1
             self.base[state] = base
@@ -232,7 +232,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [shared.value.decode(np.frombuffer(r or b"", "<u4").tolist()) for r in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return small_batches(encoded).select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def round_trips(docs: DataFrame, path: str, scores: str = "zipf") -> DataFrame:
