@@ -1,7 +1,8 @@
 """Surrogates for personal data, with DataFrame functions only.
 
 Entities: e-mail addresses, phone and card numbers, social security numbers, IBANs, IPv4, IPv6 and
-MAC addresses, secrets, and names after a form of address. Each is reduced to a key (digits of a
+MAC addresses, secrets (to the end of their token), and names after a form of address (all capitalised
+words that follow; the last is the surname). Each is reduced to a key (digits of a
 number, lower-case address, each word of a name), so mentions in another format share it. A key's
 surrogate is drawn from keyed hashes (SHA-256 of a secret, the type, the key and the attempt):
   numbers     digits for digits; a phone's and a card's first digit stay, a valid card number stays valid
@@ -9,7 +10,7 @@ surrogate is drawn from keyed hashes (SHA-256 of a secret, the type, the key and
   secrets     letter for letter of the same case, hexadecimal ones stay hexadecimal; the prefix of a kind of key stays
   names       syllables of the same script, given names with an ending of the gender of the form of
               address; given name and surname are keys of their own, so "Mr X" and "Mr A X" agree
-A mention is written in its own format: its punctuation and its case.
+A mention is written in its own format: its punctuation and its case; an IPv6 address in full.
 
 Collision checks over all keys of the corpus: a surrogate that another key has, or that is itself a
 key found in the corpus, is drawn again with the next attempt (names get longer), until none is
@@ -37,21 +38,34 @@ MALE = "Mr|MR|Herr|HERR|Monsieur|MONSIEUR|Señor|Sr|г-н"
 FEMALE = "Mrs|MRS|Ms|MS|Miss|MISS|Frau|FRAU|Madame|MADAME|Mme|Señora|Sra|г-жа"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}"
+# a value runs to the end of its token, whatever its length; the first lookbehind is the cheap one
 SECRET = (
-    r"(?<=(?:token|secret|password|passwd|api_key|apikey|access_key|TOKEN|SECRET|PASSWORD|API_KEY)['\"]{0,1}\s{0,2}[=:]\s{0,2}['\"]{0,1})[A-Za-z0-9+/_-]{8,256}+={0,2}"
-    r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])"
+    r"(?<=[=:\s'\"])(?<=(?i:token|secret|password|passwd|(?:api|access|secret)[_-]{0,1}key)['\"]{0,1}\s{0,2}[=:]\s{0,2}['\"]{0,1})(?![=*])[\p{L}\p{N}+/_.~!@#$%^*?:=-]{8,}(?<![.?:])"
+    r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])"
 )
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE})\.? \p{{Lu}}[\p{{L}}'-]{{1,30}}(?: \p{{Lu}}[\p{{L}}'-]{{1,30}})?"
+# possessive, so that the matcher's stack doesn't grow with the number of words
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE})\.?(?: \p{{Lu}}[\p{{L}}\p{{M}}'’-]++)++"
 MAC = r"(?<![0-9A-Fa-f:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:-])"
-IPV6 = r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
+# a compressed address starts with a group of the global, local or multicast space, which a::b in a program doesn't
+IPV6 = (
+    r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
+    r"|(?<![\p{L}\p{N}:_])(?:[23][0-9A-Fa-f]{3}|[Ff](?:[CcDdFf][0-9A-Fa-f]|[Ee][89ABab])[0-9A-Fa-f])(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![\p{L}\p{N}:_])"
+)
 IPV4 = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-CARD = r"(?<!\d)(?:\d{4}[ -]?){3}\d{1,7}(?!\d)"
-PHONE = r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
-PATTERN = "|".join([EMAIL, SECRET, NAME, MAC, IPV6, IPV4, IBAN, SSN, CARD, PHONE])
+CARD = r"(?<!\d)(?:\d{4}[ -]?){3}\d{1,7}(?!\d)|(?<!\d)\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d)"
+PHONE = (
+    r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
+    r"|\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|[ .-]\d)(?:[ .-]?\d{2,4}){2,5}(?!\d)"
+    r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,6}(?!\d)"
+    r"|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
+    r"|(?<![\d.,+-])(?<!\d )(?:[2-9]\d{2} \d{3} \d{4}|0[1-9]\d{0,3}(?: \d{2,4}){2,4})(?! ?\d|[.,-]\d)"
+)
+# secrets first: a value may hold what looks like another entity
+PATTERN = "|".join([SECRET, EMAIL, NAME, MAC, IPV6, IPV4, IBAN, SSN, CARD, PHONE])
 #: What a text with an entity has.
-HINT = rf"[0-9@]|token|secret|passw|key|TOKEN|SECRET|PASSW|KEY|AKIA|gh[pousr]_|sk-|[A-Fa-f]:[A-Fa-f]|[A-Fa-f]-[A-Fa-f]{{2}}-|(?:{MALE}|{FEMALE})\.? "
+HINT = rf"[0-9@]|(?i:token|secret|passw|key)|AKIA|gh[pousr]_|sk-|[A-Fa-f]:[A-Fa-f]|[A-Fa-f]-[A-Fa-f]{{2}}-|(?:{MALE}|{FEMALE})\.? "
 
 
 def lit(text: str) -> Column:
@@ -61,7 +75,7 @@ def lit(text: str) -> Column:
 def kind(m: Column) -> Column:
     whole = lambda p: m.rlike(f"^(?:{p})$")
     return (
-        F.when(m.contains("@"), "email")
+        F.when(whole(EMAIL), "email")
         .when(whole(NAME), "name")
         .when(whole(MAC), "mac")
         .when(whole(IPV6), "ipv6")
@@ -78,8 +92,17 @@ def digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
+def full_ipv6(address: Column) -> Column:
+    """Eight groups of four."""
+    groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+    left = groups(F.substring_index(address, "::", 1))
+    right = F.when(address.contains("::"), groups(F.substring_index(address, "::", -1))).otherwise(F.array().cast("array<string>"))
+    zeros = F.array_repeat(lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0)))
+    return F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0")), ":")
+
+
 def keys(m: Column, type_: Column) -> Column:
-    """The keys of a mention: structs of type and key; two for an e-mail (local part at domain, domain) or a full name."""
+    """The keys of a mention: structs of type and key; two for an e-mail (local part at domain, domain), one for each word of a name."""
 
     def key(t: Column | str, k: Column) -> Column:
         return F.struct((lit(t) if isinstance(t, str) else t).alias("type"), k.alias("key"))
@@ -88,13 +111,14 @@ def keys(m: Column, type_: Column) -> Column:
     words = F.split(F.regexp_replace(m, r"^\S+ ", ""), " ")
     gender = F.when(m.rlike(rf"^(?:{FEMALE})\.? "), "f").otherwise("m")
     surname = key("surname", F.lower(F.element_at(words, -1)))
-    given = key(F.concat(lit("given_"), gender), F.lower(words[0]))
+    given = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w: key(F.concat(lit("given_"), gender), F.lower(w)))
     return (
         F.when(type_ == "email", F.array(key("email", low), key("domain", F.substring_index(low, "@", -1))))
-        .when(type_ == "name", F.when(F.size(words) > 1, F.array(given, surname)).otherwise(F.array(surname)))
+        .when(type_ == "name", F.concat(given, F.array(surname)))
         .when(type_.isin("phone", "card", "ssn"), F.array(key(type_, digits(m))))
         .when(type_ == "iban", F.array(key("iban", F.regexp_replace(m, " ", ""))))
-        .when(type_.isin("mac", "ipv6"), F.array(key(type_, low)))
+        .when(type_ == "mac", F.array(key("mac", low)))
+        .when(type_ == "ipv6", F.array(key("ipv6", full_ipv6(low))))
         .otherwise(F.array(key(type_, m)))
     )
 
@@ -122,8 +146,9 @@ CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
 def shaped(key: Column, hexes: Column, fixed: Column, hexadecimal: Column) -> Column:
     """The key with each letter and digit after the first `fixed` characters drawn anew in its own class."""
 
-    def one(i: Column) -> Column:
-        c, r = F.substring(key, i, F.lit(1)), drawn(hexes, i)
+    def one(c: Column, at: Column) -> Column:
+        i = at + 1
+        r = drawn(hexes, i)
         return (
             F.when(i <= fixed, c)
             .when(c.rlike("[0-9]"), (r % 10).cast("string"))
@@ -137,7 +162,7 @@ def shaped(key: Column, hexes: Column, fixed: Column, hexadecimal: Column) -> Co
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(key), F.lit(1))), one), "")
+    return F.array_join(F.transform(F.split(key, ""), one), "")
 
 
 def checksum(number: Column) -> Column:
