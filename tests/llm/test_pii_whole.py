@@ -47,3 +47,19 @@ def test_programs_stay(spark):
     rows = ["std::vector a[1::2] Face::Bad feed::ab", "token == other", "tokens: a, b"]
     _, out = texts(spark, rows)
     assert list(out.values()) == rows
+
+
+def test_full_shapes_get_surrogates(spark):
+    rows = [f"{c}.com" for c in "abcdefghijklmnopqrstuvwxyz"]
+    rows = [f"me@{r}" for r in rows] + [f"{c}@full.example.org" for c in "abcdefghijklmnopqrstuvwxyz0123456789"] + ["__@full.example.org"] + [f"token={'-' * 7}{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    _, out = texts(spark, [" , ".join(rows)])
+    new = out[0].split(" , ")
+    assert len(set(new)) == len(new) == len(rows) and not set(new) & set(rows)
+
+
+def test_crowded_phones_get_surrogates(spark):
+    rows = [f"+1{i:04d}" for i in range(9_000)]
+    _, out = texts(spark, [" , ".join(rows), "+10001"])
+    new = out[0].split(" , ")
+    assert len(set(new)) == len(rows) and not set(new) & set(rows) and out[1] == new[1]
+    assert all(re.fullmatch(r"\+\d{5,}", x) for x in new)

@@ -13,8 +13,8 @@ surrogate is drawn from keyed hashes (SHA-256 of a secret, the type, the key and
 A mention is written in its own format: its punctuation and its case; an IPv6 address in full.
 
 Collision checks over all keys of the corpus: a surrogate that another key has, or that is itself a
-key found in the corpus, is drawn again with the next attempt (names get longer), until none is
-left. So distinct entities stay distinct and equal ones stay equal, in all documents.
+key found in the corpus, is drawn again with the next attempt (names get longer; from the fourth on
+addresses, secrets and short phone numbers too, and a phone's first digit is drawn), until none is left. So distinct entities stay distinct and equal ones stay equal, in all documents.
 
 Null text stays null. Texts without an entity stay as they are. Repeated rows get the same text;
 extra columns are kept by surrogates(). An empty table gives no rows. The texts are only read; a
@@ -31,7 +31,9 @@ from .common import free_name, written
 LOWEST = -(2**63)
 #: Up to how many documents with entities are joined by a broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-#: Attempts after which a corpus has more keys of a type than there are surrogates.
+#: The attempt from which addresses, secrets and short phone numbers get longer, so that no shape runs out.
+WIDER = 3
+#: Attempts after which a corpus has more keys of a fixed length (IBANs, SSNs, cards, IP and MAC addresses) than there are surrogates.
 ATTEMPTS = 64
 
 MALE = "Mr|MR|Herr|HERR|Monsieur|MONSIEUR|Señor|Sr|г-н"
@@ -188,15 +190,19 @@ def surrogate(type_: Column, key: Column, attempt: Column, secret: str) -> Colum
     hexes = stream(secret, type_, attempt.cast("string"), key)
     hexadecimal = type_.isin("mac", "ipv6") | key.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
     prefix = F.length(F.regexp_extract(key, "^(AKIA|gh[pousr]_|sk-)", 1))
-    fixed = F.when(type_.isin("phone", "card"), 1).when(type_ == "iban", 2).when(type_ == "secret", prefix).otherwise(0)
+    wide = attempt >= WIDER
+    fixed = F.when(((type_ == "phone") & ~wide) | (type_ == "card"), 1).when(type_ == "iban", 2).when(type_ == "secret", prefix).otherwise(0)
     plain = shaped(key, hexes, fixed, hexadecimal)
     card = F.substring(plain, F.lit(1), F.length(plain) - 1)
     valid = F.concat(card, ((10 - checksum(F.concat(card, lit("0"))) % 10) % 10).cast("string"))
     octets = F.concat_ws(".", *((drawn(hexes, i) % 199 + 11 if i == 1 else drawn(hexes, i) % 254 + 1).cast("string") for i in range(1, 5)))
+    extra = F.transform(F.sequence(F.lit(1), F.greatest(attempt - WIDER + 1, F.lit(1))), lambda i: drawn(hexes, i + 42))
+    letters = F.when(wide, F.array_join(F.transform(extra, lambda r: pick(LOWER, r)), "")).otherwise("")
+    numbers = F.when(wide, F.array_join(F.transform(extra, lambda r: (r % 10).cast("string")), "")).otherwise("")
     local = F.substring_index(key, "@", 1)
     last = F.length(F.substring_index(key, ".", -1)) + 1  # the top-level domain stays
     body = F.substring(key, F.lit(1), F.length(key) - last)
-    domain = F.concat(shaped(body, hexes, F.lit(0), F.lit(False)), F.substring(key, F.length(key) - last + 1, last))
+    domain = F.concat(shaped(body, hexes, F.lit(0), F.lit(False)), letters, F.substring(key, F.length(key) - last + 1, last))
     longer = F.lit(2) + attempt
     latin = syllables(hexes, longer, "bcdfghjklmnprstvz", "aeiou")
     cyrillic = syllables(hexes, longer, "бвгдклмнпрст", "аеиоу")
@@ -205,9 +211,10 @@ def surrogate(type_: Column, key: Column, attempt: Column, secret: str) -> Colum
     return (
         F.when(type_.isin("surname", "given_f", "given_m"), F.concat(name, ending))
         .when(type_ == "ipv4", octets)
-        .when(type_ == "email", shaped(local, hexes, F.lit(0), F.lit(False)))
+        .when(type_ == "email", F.concat(shaped(local, hexes, F.lit(0), F.lit(False)), letters))
         .when(type_ == "domain", domain)
         .when((type_ == "card") & (checksum(key) % 10 == 0), valid)
+        .when((type_ == "secret") | ((type_ == "phone") & (F.length(key) < 10)), F.concat(plain, numbers))
         .otherwise(plain)
     )
 
@@ -244,12 +251,12 @@ def in_format(m: Column, cores: Column, type_: Column) -> Column:
     def cased(x: Column) -> Column:
         return F.when(upper, F.upper(x)).otherwise(x)
 
-    # a mention's digits (or letters and digits) one after another
+    # a mention's digits (or letters and digits) one after another, and what the surrogate has more
     def refilled(pattern: str) -> Column:
         sign = F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: F.substring(m, i, F.lit(1)))
         start = F.struct(F.lit(1).alias("at"), lit("").alias("out"))
         step = lambda a, c: F.when(c.rlike(pattern), F.struct((a["at"] + 1).alias("at"), F.concat(a["out"], F.substring(core, a["at"], F.lit(1))).alias("out"))).otherwise(F.struct(a["at"].alias("at"), F.concat(a["out"], c).alias("out")))
-        return F.aggregate(sign, start, step, lambda a: a["out"])
+        return F.aggregate(sign, start, step, lambda a: F.concat(a["out"], F.substring(core, a["at"], F.length(core))))
 
     return (
         F.when(type_ == "email", cased(F.concat(core, lit("@"), cores[1])))
