@@ -88,31 +88,43 @@ def assign(lengths: list[int], capacity: int, linear: float, quadratic: float) -
             room.append(bit)
             left -= bit
     limit = list(room)
-    heap = [(cost(capacity - r), i) for i, r in enumerate(room)]
-    heap.sort()
-    spent = [c if r < capacity else 0.0 for (c, _), r in zip(sorted(heap, key=lambda x: x[1]), room, strict=True)]
+    spent = [cost(capacity - r) if r < capacity else 0.0 for r in room]
+    # a heap of (cost, sequence) for each room, and the cheapest of any stretch of rooms in a binary tree
+    leaves, none = 1 << capacity.bit_length(), (float("inf"), -1)
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(leaves)]
+    cheapest = [none] * (2 * leaves)
+
+    def renew(r: int) -> None:
+        at = leaves + r
+        cheapest[at] = heaps[r][0] if heaps[r] else none
+        while at > 1:
+            at //= 2
+            cheapest[at] = min(cheapest[2 * at], cheapest[2 * at + 1])
+
+    for i, r in enumerate(room):
+        heappush(heaps[r], (cost(capacity - r), i))
+    for r in set(room):
+        renew(r)
     late: list[tuple[int, int, int]] = []
     for n, d, start in rest:
-        tried, to = [], -1
-        while heap:
-            c, i = heappop(heap)
-            if room[i] >= n:
-                to = i
-                break
-            if room[i]:
-                tried.append((c, i))
-            if len(tried) >= 64:
-                break
+        at = leaves + n
+        best = cheapest[at]
+        while at > 1:  # all rooms of n or more
+            if at % 2 == 0:
+                best = min(best, cheapest[at + 1])
+            at //= 2
+        to = best[1]
         if to < 0:
             late.append((n, d, start))
-        else:
-            pieces.append((d, start, n, n_seq + to, limit[to] - room[to]))
-            room[to] -= n
-            spent[to] += cost(n)
-            if room[to]:
-                heappush(heap, (spent[to], to))
-        for x in tried:
-            heappush(heap, x)
+            continue
+        pieces.append((d, start, n, n_seq + to, limit[to] - room[to]))
+        heappop(heaps[room[to]])
+        renew(room[to])
+        room[to] -= n
+        spent[to] += cost(n)
+        if room[to]:
+            heappush(heaps[room[to]], (spent[to], to))
+            renew(room[to])
     gaps = sorted((i for i, r in enumerate(room) if r), key=lambda i: room[i])
     for n, d, start in late:  # cut over the sequences with most room
         while n:
