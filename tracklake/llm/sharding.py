@@ -1,12 +1,14 @@
 """Proportional stratified interleaving with DataFrame functions only.
 
 Rows of each source are ranked in a seeded random order; a row's fractional rank is
-(rank - 1/2) / rows of its source. Sorted by it, every stretch of rows holds the sources in their
+(rank - u) / rows of its source, with u in (0, 1) drawn from a seeded hash of the source, so that
+many sources of a few rows don't share a fraction. Sorted by it, every stretch of rows holds the sources in their
 proportions, so cutting the order into equal parts makes every shard match the mixture.
 
 No task holds a source: a source's rows are split by the leading bits of the seeded hash, ranked
 within each part, and shifted by the counts of the parts before. The global order is cut the same
-way, by equal parts of the fraction, which are equally full by construction. Only a hash, a size
+way, by equal parts of the fraction, which are about equally full: a source of n rows has n times a
+part's length in each part, give or take one row, and u spreads small sources over all parts. Only a hash, a size
 and a checksum of each row travel, never its text.
 
 Law `rows`: shards differ by one row at most. Null text has 0 bytes and the checksum of no bytes; a
@@ -47,7 +49,8 @@ def shards(docs: DataFrame, n_shards: int = 24, seed: int = 17, parts: int = 102
     rows = rows.withColumn("__part", F.pmod(F.shiftright("__h", 20), F.lit(parts)).cast("int"))
     rows = written(rows, "shards")  # the texts are read once; what follows are a few numbers a row
     rows = _ranked(rows, ["stratum"], "__part", [F.col("__h"), F.col("doc_id"), F.col("text_crc32"), F.col("size")], "__rank", "__n")
-    rows = rows.withColumn("__f", (F.col("__rank") - 0.5) / F.col("__n")).drop("__part", "__h", "__n")
+    u = (F.pmod(F.xxhash64(F.lit(seed), "stratum"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    rows = rows.withColumn("__f", (F.col("__rank") - u) / F.col("__n")).drop("__part", "__h", "__n")
     rows = rows.withColumn("__whole", F.lit(0)).withColumn("__cut", F.floor(F.col("__f") * parts).cast("int"))
     placed = _ranked(rows, ["__whole"], "__cut", [F.col("__f"), F.col("stratum"), F.col("__rank")], "__place", "__n")
     placed = placed.withColumn("__place", F.col("__place") - 1).withColumn("shard", F.expr(f"cast((__place * {n_shards}) div __n as int)"))
