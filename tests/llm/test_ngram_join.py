@@ -105,3 +105,50 @@ def test_shingles_of_short_texts():
     tokens, bounds = ngram_join.shingles(pa.array([None, "", "a", "a b", "A B", "a b c d e", "a b c d e f"]))
     assert np.diff(bounds).tolist() == [0, 0, 1, 1, 1, 1, 2]
     assert tokens[bounds[3]] == tokens[bounds[4]]
+
+
+def near_copies(rng, n):
+    """Copies of one text with so many edits that some are linked with it, some only with each other, most of the rest with nothing; and chains."""
+    base = words(rng, 150)
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 4, 5, 6, 7, 9])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        if i % 3 == 0:
+            at = rng.randrange(len(w))
+            w[at:at] = words(rng, rng.randrange(1, 25))
+        rows.append(" ".join(w))
+        if i % 10 == 0:  # a neighbour that shares its edits
+            w[rng.randrange(len(w))] = "other"
+            rows.append(" ".join(w))
+    return rows
+
+
+def test_one_group_of_hundreds_of_near_copies_in_many_components(spark):
+    docs = documents(spark, near_copies(random.Random(6), 400))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = brute(rows)
+    assert 20 < len({c for _, _, c in want}) < len(rows) - 20
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect())
+    assert got == want
+
+
+def test_candidates_of_a_mixed_group_are_no_pairs(spark):
+    """Sets of other components than their leader's are left out by counts of elements before any pair is formed."""
+    made = {}
+    for n in (100, 400):
+        rng = random.Random(7)
+        base = words(rng, 150)
+        rows = []
+        for _ in range(n):
+            w = list(base)
+            for _ in range(9):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            rows.append((" ".join(w),))
+        texts_ = pa.array([r[0] for r in rows])
+        tokens, bounds = ngram_join.shingles(texts_)
+        sets = spark.createDataFrame([(i, int(bounds[i + 1] - bounds[i]), tokens[bounds[i] : bounds[i + 1]].view(np.int64).tolist()) for i in range(n)], "hi long, n long, tokens array<long>")
+        nodes = sets.selectExpr("hi as node", "hi as label")
+        made[n] = ngram_join._partnered(nodes, sets).select("node").distinct().count()
+    assert made[400] < 40, made

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         least = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("least"))
         jump = labels.select(F.col("node").alias("least"), F.col("label").alias("far"))
-        after = written(least.join(jump, "least", "left").select("node", "old", F.least("least", "far").alias("label")), "labels")
-        labels = after.select("node", "label")
-        if not after.filter(F.col("old") != F.col("label")).limit(1).count():
-            return labels
+        labels = written(least.join(jump, "least", "left").select("node", "old", F.least("least", "far").alias("label")), "labels", [labels])
+        if not labels.filter(F.col("old") != F.col("label")).limit(1).count():
+            discard(both)
+            return labels.select("node", "label")

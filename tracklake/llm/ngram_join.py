@@ -16,10 +16,12 @@ its partners. A plan chosen by cost gives every band one of these forms:
 Equal signatures meet by hash range: tasks send packed blocks of signatures, not rows. Signatures
 with the same members become one group with a weight. A set stays a candidate in a band only if the
 weight of what it shares there reaches (its segments) - H, which follows from the same principle. Then
-each member is verified against a leader of its groups first; only groups that still hold more than
-one component go on to pairs across components, each set looking for larger ones in its smallest
-groups, as many as the principle asks for. Pairs whose sketches (parities of hashed elements) differ
-in more than H bits differ in more than H elements and are left out; the rest is compared exactly.
+each member is verified against a leader of its groups first. Of groups that still hold more than one
+component, only sets go on that can have a partner in another one: each counts, by size class, those
+of its elements that other components hold, which takes a row per element and no pair. What is left
+looks for larger sets in its smallest groups, as many as the principle asks for. Pairs whose sketches
+(parities of hashed elements) differ in more than H bits differ in more than H elements and are left
+out; the rest is compared exactly.
 
 Equal sets (128-bit sums of their elements' hashes) are one class and are signed and verified once.
 
@@ -49,11 +51,13 @@ WIDTH = 5
 GATHERED = 500_000
 #: Sets that a task remembers as signed.
 REMEMBERED = 500_000
-#: Up to how many candidate documents are found in the texts by a broadcast; more are found by a join.
-BROADCAST_ROWS = 500_000
+#: Candidate documents (two numbers each, in a hash table) are found in the texts by a broadcast of so many bytes, or by a join.
+HOME_BYTES, BROADCAST_BYTES = 96, 32 << 20
 #: How much a signature of one element counts: it meets every set with that element.
 POPULAR = 2.0
 BANDS = 64
+#: Width of a size class in which partners are counted.
+SIZE_RATIO = 1.05
 NOBODY = 2**63 - 1
 
 
@@ -327,6 +331,11 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(np.diff(bounds)), listed, *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(SKETCH)))], names=["hi", "lo", "n", "tokens", *SKETCH])
 
 
+def _size_class(n: str):
+    """Sizes in the ratio SIZE_RATIO or nearer."""
+    return F.floor(F.log(SIZE_RATIO, F.col(n))).cast("int")
+
+
 def _may_link(p: str, q: str):
     """Whether sizes and sketches of two sets allow a link."""
     n, m = F.col(f"{p}n"), F.col(f"{q}n")
@@ -334,6 +343,36 @@ def _may_link(p: str, q: str):
     return (4 * n >= 3 * m) & (4 * m >= 3 * n) & (7 * bits <= n + m)
 
 
+def _partnered(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of nodes with their labels, those that can have a partner of another label, by the partner's size class: node, label, size, partner_size.
+
+    A set of r elements shares 3 (r + s) / 7 with a partner of s elements or more, so it needs so many
+    elements that sets of another label and of that size class have. They are counted element by
+    element: no pair of sets is formed.
+    """
+    elements = sets.select(F.col("hi").alias("node"), "n", F.explode("tokens").alias("x")).join(nodes.select("node", "label"), "node").withColumn("size", _size_class("n"))
+    holders = elements.groupBy("x", "size").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"))
+    shared = elements.withColumnRenamed("size", "own_size").join(holders.withColumnRenamed("size", "partner_size"), "x")
+    shared = shared.filter("(low <> label or high <> label) and 4 * n >= 3 * least")
+    counted = shared.groupBy("node", "label", "n", "own_size", "partner_size").agg(F.count("*").alias("k"), F.min("least").alias("least"))
+    return counted.filter("7 * k >= 3 * (n + least)").select("node", "label", F.col("own_size").alias("size"), "partner_size")
+
+
+def _across(marked: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs a, b of nodes of different labels that can be linked; marked: gid, node, is_own, looks, label of mixed groups."""
+    able = marked.select("node", "label").distinct()
+    for _ in range(2):  # again without those that have no partner; what is left is exact after any number of turns
+        able = written(_partnered(able, sets), "partnered")
+    ends = able.select("node", "size", "partner_size")
+    bits = sets.select(F.col("hi").alias("node"), "n", *SKETCH)
+    one = marked.filter("looks").join(ends, "node").join(bits, "node").alias("p")
+    two = marked.filter("is_own").join(ends, "node").join(bits, "node").alias("q")
+    larger = (F.col("q.n") > F.col("p.n")) | (F.col("q.n") == F.col("p.n")) & (F.col("q.node") != F.col("p.node"))
+    fit = (F.col("p.gid") == F.col("q.gid")) & (F.col("p.partner_size") == F.col("q.size")) & (F.col("q.partner_size") == F.col("p.size"))
+    pairs = one.join(two, fit & (F.col("p.label") != F.col("q.label")) & larger & _may_link("p.", "q."))
+    return pairs.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs a, b of nodes, those that are linked, as classes."""
     left = pairs.join(sets.select(F.col("hi").alias("a"), F.col("cls").alias("cls_a"), F.col("tokens").alias("tokens_a")), "a")
@@ -366,10 +405,12 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = groups.withColumn("need", F.when(F.col("is_own"), F.col("need")).otherwise(F.col("need_next"))).drop("need_next", "own")
     groups = written(groups, "groups")
     for _ in range(2):  # sets that share too little, then groups that lack a partner; again without those
+        before = groups
         enough = groups.groupBy("node", "band").agg(F.sum("weight").alias("w"), F.first("need").alias("need")).filter("w >= need").select("node", "band")
         groups = groups.join(enough, ["node", "band"])
         led = groups.groupBy("gid").agg(F.count("*").alias("size"), F.count_if("is_own").alias("n_own")).filter("size > 1 and n_own > 0").select("gid", "size")
-        groups = written(groups.drop("size").join(led, "gid"), "groups")
+        groups = written(groups.drop("size").join(led, "gid"), "groups", [before])
+    groups_before = groups
     # a group's leader is the set that shares most with all others: the one that the others are copies of, if it is there
     known = groups.groupBy("node").agg(F.sum(F.col("weight") * (F.col("size") - 1)).alias("known"))
     groups = groups.join(known, "node")
@@ -379,13 +420,13 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     of_set = Window.partitionBy("node", "band")
     before = F.sum("weight").over(of_set.orderBy("size", "gid")) - F.col("weight")
     looks = before < F.sum("weight").over(of_set) - F.col("need") + 1
-    groups = written(groups.select("gid", "node", "n", "is_own", "weight", looks.alias("looks"), F.col("leader.node").alias("leader")), "groups")
+    groups = written(groups.select("gid", "node", "n", "is_own", "weight", looks.alias("looks"), F.col("leader.node").alias("leader")), "groups", [groups_before])
 
     # the candidates' texts are read again for their sets: by a broadcast of few ids, or by a join
     wanted = groups.select(F.col("node").alias("hi")).distinct()
     homes = written(every.filter("n > 0").join(wanted, "hi", "left_semi").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("home")).select("home.doc_id", "home.th", "cls"), "homes")
     few = homes.select("doc_id", "th").distinct()
-    few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+    few = F.broadcast(few) if few.count() * HOME_BYTES <= BROADCAST_BYTES else few
     at_home = rows.alias("r").join(few.alias("f"), F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & F.col("r.th").eqNullSafe(F.col("f.th")), "left_semi").select("text")
     kinds = "hi long, lo long, n long, tokens array<long>, " + ", ".join(f"{b} long" for b in SKETCH)
     sets = written(at_home.mapInArrow(_sets, kinds).withColumn("cls", cls).dropDuplicates(["cls"]).drop("lo"), "sets")
@@ -408,16 +449,12 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     more = written(_verified(rest, sets), "links")
     links = links.union(more)
     labels = components(links.select("a", "b"))
-    # groups that still hold several components: each set that looks there, with the larger ones of other components
+    # groups that still hold several components: sets that can have a partner in another one look for it
     marked = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = marked.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count_if("looks").alias("n_looks")).filter("x <> y and n_looks > 0").select("gid")
-    marked = written(marked.join(mixed, "gid").select("gid", "node", "is_own", "looks", "label").join(bits, "node"), "mixed")
-    one, two = marked.filter("looks").alias("p"), marked.filter("is_own").alias("q")
-    larger = (F.col("q.n") > F.col("p.n")) | (F.col("q.n") == F.col("p.n")) & (F.col("q.node") != F.col("p.node"))
-    across = one.join(two, (F.col("p.gid") == F.col("q.gid")) & (F.col("p.label") != F.col("q.label")) & larger & _may_link("p.", "q."))
-    across = across.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
-    across = across.join(stars.select("a", "b"), ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    last = written(_verified(across.select("a", "b"), sets), "links")
+    marked = written(marked.join(mixed, "gid").select("gid", "node", "is_own", "looks", "label"), "mixed")
+    across = _across(marked, sets)
+    last = written(_verified(across, sets), "links")
     edges = links.union(last).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
     linked = components(edges).withColumnRenamed("node", "cls")
     least = every.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
