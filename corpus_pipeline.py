@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs; its result is written as
 Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+A null, empty or blank text fails the quality rules and goes in the first stage; if a later stage leaves
+a text empty, the document stays and packs as its end id alone. Long texts pass every stage whole.
+Repeated rows and equal sets of shingles are one group, of which the least doc_id stays (of equal ones,
+any one row); a null doc_id comes after all others. Extra columns pass the first four stages unchanged,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts strings of 400 bytes or more that are found elsewhere in the corpus from the texts."""
-    return suffix_dedup.cut_repeats(docs)
+    """Cuts strings of PASSAGE (240) bytes or more, so passages of some 50 words, that are found elsewhere in the corpus from the texts."""
+    return suffix_dedup.cut_repeats(docs, suffix_dedup.PASSAGE)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
