@@ -1,24 +1,30 @@
 """Surrogates for personal data, with DataFrame functions only.
 
 Entities: e-mail addresses, phone and card numbers, social security numbers, IBANs, IPv4, IPv6 and
-MAC addresses, secrets (to the end of their token), and names after a form of address (all capitalised
-words that follow; the last is the surname). Each is reduced to a key (digits of a
-number, lower-case address, each word of a name), so mentions in another format share it. A key's
-surrogate is drawn from keyed hashes (SHA-256 of a secret, the type, the key and the attempt):
+MAC addresses, secrets (to the end of their token), and names by a form of address: before them (all
+capitalised words that follow, or two words of a script without capitals; the last is the surname) or
+behind them (Han, Kana and Hangul; the first character or two are the surname). Each is reduced to a key
+(digits of a number, lower-case address, each part of a name), so mentions in another format share it. A
+key's surrogate is drawn from keyed hashes (SHA-256 of a secret, the type, the key and the attempt):
   numbers     digits for digits; a phone's and a card's first digit stay, a valid card number stays valid
   addresses   an e-mail's domain is drawn from its domain alone, so one domain stays one; octets stay octets
   secrets     letter for letter of the same case, hexadecimal ones stay hexadecimal; the prefix of a kind of key stays
-  names       syllables of the same script, given names with an ending of the gender of the form of
-              address; given name and surname are keys of their own, so "Mr X" and "Mr A X" agree
-A mention is written in its own format: its punctuation and its case; an IPv6 address in full.
+  names       syllables of the same script (`SCRIPTS`), given names with an ending of the gender of the form
+              of address; given name and surname are keys of their own, so "Mr X" and "Mr A X" agree
+A mention is written in its own format: its punctuation and its case; an IPv6 address in full. A letter of a
+script that `SCRIPTS` doesn't list becomes a Latin one.
 
 Collision checks over all keys of the corpus: a surrogate that another key has, or that is itself a
 key found in the corpus, is drawn again with the next attempt (names get longer; from the fourth on
-addresses, secrets and short phone numbers too, and a phone's first digit is drawn), until none is left. So distinct entities stay distinct and equal ones stay equal, in all documents.
-
-Null text stays null. Texts without an entity stay as they are. Repeated rows get the same text;
-extra columns are kept by surrogates(). An empty table gives no rows. The texts are only read; a
-row per mention travels, and a mention that many documents share is split by adaptive execution.
+addresses, secrets and short phone numbers too, and a phone's first digit is drawn; from the thirty-third on
+every type gets digits appended, so that no format runs out), until none is left. So distinct entities stay
+distinct and equal ones stay equal, in all documents.
+
+Null text stays null. Texts without an entity, also empty ones, stay as they are; a long text is searched
+whole. Where two entities could begin at one place, the first of `PATTERN` is taken; of two keys with one
+surrogate, the lesser keeps it. Repeated rows get the same text; extra columns, whatever their names, are
+kept by surrogates(). An empty table gives no rows. The texts are only read; a row per mention travels, and a
+mention that many documents share is split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -26,27 +32,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import free_name, partitions, written
 
 LOWEST = -(2**63)
-#: Up to how many documents with entities are joined by a broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
-#: The attempt from which addresses, secrets and short phone numbers get longer, so that no shape runs out.
-WIDER = 3
-#: Attempts after which a corpus has more keys of a fixed length (IBANs, SSNs, cards, IP and MAC addresses) than there are surrogates.
-ATTEMPTS = 64
-
-MALE = "Mr|MR|Herr|HERR|Monsieur|MONSIEUR|Señor|Sr|г-н"
-FEMALE = "Mrs|MRS|Ms|MS|Miss|MISS|Frau|FRAU|Madame|MADAME|Mme|Señora|Sra|г-жа"
+#: Documents' surrogates are joined by a broadcast of up to so many bytes; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+#: The attempt from which addresses, secrets and short phone numbers get longer, and that from which all types do.
+WIDER, WIDEST = 3, 32
+
+# Forms of address, family names that stand before a Chinese form of address, letters of scripts.
+MALE = "Mr|MR|Herr|HERR|Monsieur|MONSIEUR|Señor|Sr|г-н|Κύριος|Κος"
+FEMALE = "Mrs|MRS|Ms|MS|Miss|MISS|Frau|FRAU|Madame|MADAME|Mme|Señora|Sra|г-жа|Κυρία|Κα"
+MALE_UNCASED = "السيد|מר|श्री"
+FEMALE_UNCASED = "السيدة|גברת|श्रीमती"
+MALE_BEHIND = "先生"
+FEMALE_BEHIND = "女士|小姐|太太"
+BEHIND = f"{MALE_BEHIND}|{FEMALE_BEHIND}|さん|様|씨|님"
+FAMILY = "王李张張刘劉陈陳杨楊黄黃赵趙周吴吳徐孙孫马馬朱胡郭何高林罗羅郑鄭梁谢謝宋唐许許韩韓冯馮邓鄧曹彭曾萧蕭田董袁潘于蒋蔣蔡余杜叶葉程苏蘇魏吕呂丁任沈姚卢盧姜崔钟鐘谭譚陆陸汪范金石"
+#: Script: letters; consonants and vowels of a name's syllables (signs without vowels are syllables themselves); endings of female and male given names.
+SCRIPTS = {
+    "Cyrillic": ("абвгдежзиклмнопрстуфхцчшэюя", "бвгдклмнпрст", "аеиоу", "на", "н"),
+    "Greek": ("αβγδεζηθικλμνξοπρστυφχψω", "βγδκλμνπρστ", "αειου", "α", "ς"),
+    "Arabic": ("ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "بتجدرسفقكلمن", "اوي", "ة", "د"),
+    "Hebrew": ("אבגדהוזחטיכלמנסעפצקרשת", "בגדכלמנפקרשת", "אוי", "ה", "ן"),
+    "Devanagari": ("अआइईउऊएऐओऔकखगघचछजझटठडढतथदधनपफबभमयरलवशसह", "कगचजतदनपबमरलवसह", "ािीुेो", "ना", "न"),
+    "Han": ("天地山川日月星林木水火土石玉雪雨云風春夏秋冬东西南北中平安康明光文武", "天山川日月星林木水土石玉雪雨云春夏秋冬东南北中平安康明文", "", "芳", "强"),
+    "Hiragana": ("あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ", "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ", "", "", ""),
+    "Katakana": ("アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ", "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ", "", "", ""),
+    "Hangul": ("가나다라마바사아자차카타파하고노도로모보소오조초코토포호구누두루무부수우주추쿠투푸후", "가나다라마바사아자차카타파하고노도로모보소오조초코토포호구누두루무부수우주추쿠투푸후", "", "", ""),
+    "Thai": ("กขคงจชซดตทนบปพมยรลวสห", "กขคงจชดตทนบปพมยรลวส", "าี", "", ""),
+    "Armenian": ("աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցփք", "բգդկլմնպռստ", "աեիոէ", "ա", "ն"),
+    "Georgian": ("აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ", "ბგდკლმნპრსტ", "აეიოუ", "ა", "ნ"),
+}
+
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}"
 # a value runs to the end of its token, whatever its length; the first lookbehind is the cheap one
 SECRET = (
-    r"(?<=[=:\s'\"])(?<=(?i:token|secret|password|passwd|(?:api|access|secret)[_-]{0,1}key)['\"]{0,1}\s{0,2}[=:]\s{0,2}['\"]{0,1})(?![=*])[\p{L}\p{N}+/_.~!@#$%^*?:=-]{8,}(?<![.?:])"
+    r"(?<=[=:\s'\"])(?<=[=:]['\"]{0,1}\s{0,2}['\"]{0,1})(?<=(?i:token|secret|password|passwd|(?:api|access|secret)[_-]{0,1}key)['\"]{0,1}\s{0,2}[=:]\s{0,2}['\"]{0,1})(?![=*])[\p{L}\p{N}+/_.~!@#$%^*?:=-]{8,}(?<![.?:])"
     r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])"
 )
 # possessive, so that the matcher's stack doesn't grow with the number of words
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE})\.?(?: \p{{Lu}}[\p{{L}}\p{{M}}'’-]++)++"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{MALE}|{FEMALE})\.?(?: \p{{Lu}}[\p{{L}}\p{{M}}'’-]++)++|(?:{MALE_UNCASED}|{FEMALE_UNCASED})(?: \p{{Lo}}[\p{{L}}\p{{M}}'’-]++){{1,2}}+)"
+NAME_BEHIND = (
+    rf"[{FAMILY}]\p{{IsHan}}{{0,2}}(?:{MALE_BEHIND}|{FEMALE_BEHIND})|(?<!\p{{IsHan}})\p{{IsHan}}{{2,4}}(?:さん|様)"
+    r"|(?<![\p{IsKatakana}ー])[\p{IsKatakana}ー]{2,12}(?:さん|様)|(?<!\p{IsHangul})\p{IsHangul}{3,4} ?(?:씨|님)"
+)
 MAC = r"(?<![0-9A-Fa-f:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:-])"
 # a compressed address starts with a group of the global, local or multicast space, which a::b in a program doesn't
 IPV6 = (
@@ -65,9 +96,12 @@ PHONE = (
     r"|(?<![\d.,+-])(?<!\d )(?:[2-9]\d{2} \d{3} \d{4}|0[1-9]\d{0,3}(?: \d{2,4}){2,4})(?! ?\d|[.,-]\d)"
 )
 # secrets first: a value may hold what looks like another entity
-PATTERN = "|".join([SECRET, EMAIL, NAME, MAC, IPV6, IPV4, IBAN, SSN, CARD, PHONE])
-#: What a text with an entity has.
-HINT = rf"[0-9@]|(?i:token|secret|passw|key)|AKIA|gh[pousr]_|sk-|[A-Fa-f]:[A-Fa-f]|[A-Fa-f]-[A-Fa-f]{{2}}-|(?:{MALE}|{FEMALE})\.? "
+# look-aheads keep most places from trying each of several patterns
+PATTERN = "|".join([SECRET, EMAIL, NAME, rf"(?=[0-9A-Fa-f]{{1,4}}[:-])(?:{MAC}|{IPV6})", IBAN, rf"(?=[0-9+(])(?:{IPV4}|{SSN}|{CARD}|{PHONE})"])
+#: What a text with an entity has, and one with a name in front of its form of address.
+HINT_BEHIND = rf"\p{{IsHan}}(?:{MALE_BEHIND}|{FEMALE_BEHIND})|[\p{{IsHan}}\p{{IsKatakana}}ー](?:さん|様)|\p{{IsHangul}} ?(?:씨|님)"
+HINT = rf"[0-9@]|(?i:token|secret|passw|key)|AKIA|gh[pousr]_|sk-|[A-Fa-f]:[A-Fa-f]|[A-Fa-f]-[A-Fa-f]{{2}}-|(?:{MALE}|{FEMALE}|{MALE_UNCASED}|{FEMALE_UNCASED})\.? |{HINT_BEHIND}"
+PATTERN_BEHIND = f"{PATTERN}|{NAME_BEHIND}"
 
 
 def lit(text: str) -> Column:
@@ -79,6 +113,7 @@ def kind(m: Column) -> Column:
     return (
         F.when(whole(EMAIL), "email")
         .when(whole(NAME), "name")
+        .when(whole(NAME_BEHIND), "name_behind")
         .when(whole(MAC), "mac")
         .when(whole(IPV6), "ipv6")
         .when(whole(IPV4), "ipv4")
@@ -111,12 +146,17 @@ def keys(m: Column, type_: Column) -> Column:
 
     low = F.lower(m)
     words = F.split(F.regexp_replace(m, r"^\S+ ", ""), " ")
-    gender = F.when(m.rlike(rf"^(?:{FEMALE})\.? "), "f").otherwise("m")
+    gender = F.when(m.rlike(rf"^(?:(?:{FEMALE})\.?|{FEMALE_UNCASED}) |(?:{FEMALE_BEHIND})$"), "f").when(m.rlike(r"(?:さん|様|씨|님)$"), "n").otherwise("m")
+    of_given = F.concat(lit("given_"), gender)
     surname = key("surname", F.lower(F.element_at(words, -1)))
-    given = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w: key(F.concat(lit("given_"), gender), F.lower(w)))
+    given = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w: key(of_given, F.lower(w)))
+    body = F.regexp_replace(m, f" ?(?:{BEHIND})$", "")
+    at = F.when(body.rlike(r"\p{IsKatakana}"), F.length(body)).when(F.length(body) > 3, 2).otherwise(1)
+    behind = F.array(key("surname", F.substring(body, F.lit(1), at)), key(of_given, F.substring(body, at + 1, F.length(body))))
     return (
         F.when(type_ == "email", F.array(key("email", low), key("domain", F.substring_index(low, "@", -1))))
         .when(type_ == "name", F.concat(given, F.array(surname)))
+        .when(type_ == "name_behind", F.filter(behind, lambda k: k["key"] != ""))
         .when(type_.isin("phone", "card", "ssn"), F.array(key(type_, digits(m))))
         .when(type_ == "iban", F.array(key("iban", F.regexp_replace(m, " ", ""))))
         .when(type_ == "mac", F.array(key("mac", low)))
@@ -142,29 +182,33 @@ def pick(letters: str, r: Column) -> Column:
 
 
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
+ASCII = r"^[\x00-\x7F]*$"
 
 
 def shaped(key: Column, hexes: Column, fixed: Column, hexadecimal: Column) -> Column:
     """The key with each letter and digit after the first `fixed` characters drawn anew in its own class."""
 
-    def one(c: Column, at: Column) -> Column:
+    def one(c: Column, at: Column, ascii_: bool) -> Column:
         i = at + 1
         r = drawn(hexes, i)
-        return (
+        out = (
             F.when(i <= fixed, c)
             .when(c.rlike("[0-9]"), (r % 10).cast("string"))
             .when(hexadecimal & c.rlike("[a-f]"), pick("abcdef", r))
             .when(hexadecimal & c.rlike("[A-F]"), pick("ABCDEF", r))
             .when(c.rlike("[a-z]"), pick(LOWER, r))
             .when(c.rlike("[A-Z]"), pick(UPPER, r))
-            .when(c.rlike(r"\p{IsCyrillic}"), pick(CYRILLIC, r))
-            .when(c.rlike(r"\p{Lu}"), pick(UPPER, r))
-            .when(c.rlike(r"\p{L}"), pick(LOWER, r))
-            .otherwise(c)
         )
+        if not ascii_:
+            for script, (letters, *_) in SCRIPTS.items():
+                drawn_ = pick(letters, r)
+                out = out.when(c.rlike(rf"[\p{{L}}&&\p{{Is{script}}}]"), F.when(c.rlike(r"\p{Lu}"), F.upper(drawn_)).otherwise(drawn_))
+            out = out.when(c.rlike(r"\p{Lu}"), pick(UPPER, r)).when(c.rlike(r"\p{L}"), pick(LOWER, r)).when(c.rlike(r"\p{N}"), (r % 10).cast("string"))
+        return out.otherwise(c)
 
-    return F.array_join(F.transform(F.split(key, ""), one), "")
+    letters = F.split(key, "")
+    plain = F.transform(letters, lambda c, at: one(c, at, True))
+    return F.array_join(F.when(key.rlike(ASCII), plain).otherwise(F.transform(letters, lambda c, at: one(c, at, False))), "")
 
 
 def checksum(number: Column) -> Column:
@@ -181,16 +225,28 @@ def checksum(number: Column) -> Column:
 def syllables(hexes: Column, n: Column, consonants: str, vowels: str) -> Column:
     def one(i: Column) -> Column:
         r = drawn(hexes, i)
-        return F.concat(pick(consonants, r), pick(vowels, F.floor(r / len(consonants)).cast("int")))
+        return F.concat(pick(consonants, r), pick(vowels, F.floor(r / len(consonants)).cast("int"))) if vowels else pick(consonants, r)
 
     return F.array_join(F.transform(F.sequence(F.lit(1), n), one), "")
 
 
-def surrogate(type_: Column, key: Column, attempt: Column, secret: str) -> Column:
-    hexes = stream(secret, type_, attempt.cast("string"), key)
+def name(type_: Column, key: Column, attempt: Column, hexes: Column) -> Column:
+    """A name of the key's script, longer with each attempt."""
+
+    def whole(consonants: str, vowels: str, female: str, male: str) -> Column:
+        n = F.lit(2) + attempt if vowels else F.length(key) + attempt
+        return F.concat(syllables(hexes, n, consonants, vowels), F.when(type_ == "given_f", female).when(type_ == "given_m", male).otherwise(""))
+
+    out = F.when(key.rlike(ASCII), whole("bcdfghjklmnprstvz", "aeiou", "na", "n"))
+    for script, (_, *parts) in SCRIPTS.items():
+        out = out.when(key.rlike(rf"\p{{Is{script}}}"), whole(*parts))
+    return out.otherwise(whole("bcdfghjklmnprstvz", "aeiou", "na", "n"))
+
+
+def surrogate(type_: Column, key: Column, attempt: Column, hexes: Column) -> Column:
     hexadecimal = type_.isin("mac", "ipv6") | key.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
     prefix = F.length(F.regexp_extract(key, "^(AKIA|gh[pousr]_|sk-)", 1))
-    wide = attempt >= WIDER
+    wide, widest = attempt >= WIDER, attempt >= WIDEST
     fixed = F.when(((type_ == "phone") & ~wide) | (type_ == "card"), 1).when(type_ == "iban", 2).when(type_ == "secret", prefix).otherwise(0)
     plain = shaped(key, hexes, fixed, hexadecimal)
     card = F.substring(plain, F.lit(1), F.length(plain) - 1)
@@ -198,35 +254,38 @@ def surrogate(type_: Column, key: Column, attempt: Column, secret: str) -> Colum
     octets = F.concat_ws(".", *((drawn(hexes, i) % 199 + 11 if i == 1 else drawn(hexes, i) % 254 + 1).cast("string") for i in range(1, 5)))
     extra = F.transform(F.sequence(F.lit(1), F.greatest(attempt - WIDER + 1, F.lit(1))), lambda i: drawn(hexes, i + 42))
     letters = F.when(wide, F.array_join(F.transform(extra, lambda r: pick(LOWER, r)), "")).otherwise("")
-    numbers = F.when(wide, F.array_join(F.transform(extra, lambda r: (r % 10).cast("string")), "")).otherwise("")
+    figures = F.array_join(F.transform(extra, lambda r: (r % 10).cast("string")), "")
     local = F.substring_index(key, "@", 1)
     last = F.length(F.substring_index(key, ".", -1)) + 1  # the top-level domain stays
     body = F.substring(key, F.lit(1), F.length(key) - last)
     domain = F.concat(shaped(body, hexes, F.lit(0), F.lit(False)), letters, F.substring(key, F.length(key) - last + 1, last))
-    longer = F.lit(2) + attempt
-    latin = syllables(hexes, longer, "bcdfghjklmnprstvz", "aeiou")
-    cyrillic = syllables(hexes, longer, "бвгдклмнпрст", "аеиоу")
-    name = F.when(key.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin)
-    ending = F.when(type_ == "given_f", F.when(key.rlike(r"\p{IsCyrillic}"), "на").otherwise("na")).when(type_ == "given_m", F.when(key.rlike(r"\p{IsCyrillic}"), "н").otherwise("n")).otherwise("")
-    return (
-        F.when(type_.isin("surname", "given_f", "given_m"), F.concat(name, ending))
+    longer = (wide & ((type_ == "secret") | ((type_ == "phone") & (F.length(key) < 10)))) | widest & type_.isin("phone", "card", "ssn", "iban", "ipv4", "ipv6", "mac")
+    core = (
+        F.when(type_.startswith("given_") | (type_ == "surname"), name(type_, key, attempt, hexes))
         .when(type_ == "ipv4", octets)
         .when(type_ == "email", F.concat(shaped(local, hexes, F.lit(0), F.lit(False)), letters))
         .when(type_ == "domain", domain)
         .when((type_ == "card") & (checksum(key) % 10 == 0), valid)
-        .when((type_ == "secret") | ((type_ == "phone") & (F.length(key) < 10)), F.concat(plain, numbers))
         .otherwise(plain)
     )
+    return F.concat(core, F.when(longer, figures).otherwise(""))
 
 
 def table_of_surrogates(found: DataFrame, secret: str) -> DataFrame:
     """type, key, core: a surrogate for each distinct key, none of which another key has or is itself a key found."""
-    drawn_ = found.select("type", "key").distinct().withColumn("attempt", F.lit(0))
-    # only digits and card numbers of mixed validity reach `checksum`
-    table = written(drawn_.withColumn("core", surrogate(F.col("type"), F.col("key"), F.col("attempt"), secret)), "surrogates")
+
+    def with_core(rows: DataFrame) -> DataFrame:
+        # the hashes as a column of their own, so that they are computed once a key
+        hexes = stream(secret, F.col("type"), F.col("attempt").cast("string"), F.col("key"))
+        rows = rows.withColumn("hexes", hexes).withColumn("core", surrogate(F.col("type"), F.col("key"), F.col("attempt"), F.col("hexes")))
+        return rows.select("type", "key", "attempt", "core")
+
+    # few bytes but much work: dealt out by an explicit count, which isn't coalesced
+    keys_ = found.select("type", "key").distinct().repartition(partitions(found.sparkSession), "type", "key")
+    table = written(with_core(keys_.withColumn("attempt", F.lit(0))), "surrogates")
     # an e-mail's local part must differ within a domain; all others within their type
     scope = F.when(F.col("type") == "email", F.substring_index("key", "@", -1)).otherwise(lit(""))
-    for _ in range(ATTEMPTS):
+    while True:
         taken = table.select("type", F.col("key").alias("real"), F.lit(True).alias("is_real"))
         same = F.row_number().over(Window.partitionBy("type", scope, "core").orderBy("attempt", "key"))
         judged = table.withColumn("turn", same).withColumn("real", F.when(F.col("type") == "email", F.concat("core", lit("@"), scope)).otherwise(F.col("core")))
@@ -234,13 +293,11 @@ def table_of_surrogates(found: DataFrame, secret: str) -> DataFrame:
         # characters of no class (or none drawn) can't change
         fixed = ~F.col("key").rlike(r"[\p{L}\p{N}]")
         bad = ((F.col("turn") > 1) | F.col("is_real").isNotNull()) & ~fixed
-        judged = written(judged.select("type", "key", "attempt", "core", bad.alias("bad")), "judged")
+        judged = written(judged.select("type", "key", "attempt", "core", bad.alias("bad")), "judged", [table])
         if not judged.filter("bad").limit(1).count():
             return judged.select("type", "key", "core")
-        again = judged.filter("bad").select("type", "key", (F.col("attempt") + 1).alias("attempt"))
-        again = again.withColumn("core", surrogate(F.col("type"), F.col("key"), F.col("attempt"), secret))
-        table = written(judged.filter("not bad").select("type", "key", "attempt", "core").union(again), "surrogates")
-    raise ValueError("a type has more distinct entities than surrogates of their format")
+        again = with_core(judged.filter("bad").select("type", "key", (F.col("attempt") + 1).alias("attempt")))
+        table = written(judged.filter("not bad").select("type", "key", "attempt", "core").union(again), "surrogates", [judged])
 
 
 def in_format(m: Column, cores: Column, type_: Column) -> Column:
@@ -260,6 +317,7 @@ def in_format(m: Column, cores: Column, type_: Column) -> Column:
 
     return (
         F.when(type_ == "email", cased(F.concat(core, lit("@"), cores[1])))
+        .when(type_ == "name_behind", F.concat(F.array_join(cores, ""), F.regexp_extract(m, f"( ?(?:{BEHIND}))$", 1)))
         .when(type_ == "name", F.concat(F.regexp_extract(m, r"^(\S+ )", 1), cased(F.initcap(F.array_join(cores, " ")))))
         .when(type_.isin("phone", "card", "ssn"), refilled("[0-9]"))
         .when(type_ == "iban", refilled("[A-Z0-9]"))
@@ -272,7 +330,8 @@ def mentions(docs: DataFrame) -> DataFrame:
     """kid, th, pos, mention, type: every entity of each distinct document, in order."""
     text = F.col("text").cast("string")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("kid"), F.xxhash64(text).alias("th"), text.alias("text")).filter(F.col("text").rlike(HINT))
-    found = rows.select("kid", "th", F.posexplode(F.regexp_extract_all("text", lit(PATTERN), F.lit(0))).alias("pos", "mention"))
+    each = F.when(F.col("text").rlike(HINT_BEHIND), F.regexp_extract_all("text", lit(PATTERN_BEHIND), F.lit(0))).otherwise(F.regexp_extract_all("text", lit(PATTERN), F.lit(0)))
+    found = rows.select("kid", "th", F.posexplode(each).alias("pos", "mention"))
     return found.withColumn("type", kind(F.col("mention")))
 
 
@@ -286,11 +345,14 @@ def replaced(docs: DataFrame, secret: str = "corpus") -> tuple[DataFrame, str]:
     by_doc = written(known.groupBy("kid", "th").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "to"))), lambda x: x["to"]).alias("tos")), "replaced")
     kid, th, tos = (free_name(docs, c) for c in ("kid", "th", "tos"))
     by_doc = by_doc.toDF(kid, th, tos)
-    by_doc = F.broadcast(by_doc) if by_doc.count() <= BROADCAST_ROWS else by_doc
+    # a row's strings and their headers, as a hash table holds them
+    weight = by_doc.select(F.sum(96 + F.aggregate(tos, F.lit(0).cast("long"), lambda n, x: n + 16 + F.octet_length(x))).alias("w")).first()["w"] or 0
+    by_doc = F.broadcast(by_doc) if weight <= BROADCAST_BYTES else by_doc
     rows = docs.withColumn(kid, F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))).withColumn(th, F.xxhash64(F.col("text").cast("string")))
     joined = rows.join(by_doc, [kid, th], "left")
     # null where nothing is to be replaced: such texts aren't searched a second time, and others once
-    between = F.split(F.when(F.col(tos).isNotNull(), F.col("text")), PATTERN, -1)
+    kept = F.when(F.col(tos).isNotNull(), F.col("text"))
+    between = F.when(kept.rlike(HINT_BEHIND), F.split(kept, PATTERN_BEHIND, -1)).otherwise(F.split(kept, PATTERN, -1))
     whole = F.array_join(F.zip_with(between, F.concat(F.col(tos), F.array(F.lit(""))), lambda kept, to: F.concat(kept, to)), "")
     n = free_name(docs, "n_entities")
     out = joined.withColumn(n, F.coalesce(F.size(tos), F.lit(0)).cast("long")).withColumn("text", F.when(F.col(tos).isNull(), F.col("text")).otherwise(whole))
