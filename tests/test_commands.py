@@ -55,3 +55,35 @@ def test_store_clips_and_frames(spark, tmp_path):
     main(["select-frames", str(tmp_path / "f"), "--merge", str(tmp_path / "old.json"), "--n-clusters", "3", "--per-cluster", "2", "--out", str(tmp_path / "sel")])
     chosen = json.loads(text(tmp_path / "sel", "txt"))
     assert chosen["w"] == [3] and len(chosen["v"]) == 6
+
+
+def evaluated(spark, tmp_path, name, tracked, true=range(10, 20), *more):
+    """The metrics of one box that stands still, in the true frames, with a track in the tracked ones."""
+    folder = tmp_path / name
+    folder.mkdir()
+    head = CSV.splitlines()[0]
+    shape = '"{""name"":""rect"",""x"":10,""y"":10,""width"":40,""height"":30}"'
+    lines = [f'frame_{f:08d}.png,1,"{{}}",1,0,{shape},"{{""track"":""1""}}"' for f in true]
+    (folder / "a-Loop01_tracks.csv").write_text("\n".join([head, *lines]))
+    rows = [("a", f, 0, 5, 10.0, 10.0, 50.0, 40.0, 0.9) for f in tracked]
+    spark.createDataFrame(rows, "video string, frame int, emit_idx int, track_id long, x1 double, y1 double, x2 double, y2 double, score double").write.parquet(str(tmp_path / f"{name}-tracks"))
+    main(["evaluate-tracks", str(folder), str(tmp_path / f"{name}-tracks"), "--out", str(tmp_path / f"{name}-out"), *more])
+    lines = text(tmp_path / f"{name}-out", "csv").splitlines()
+    table = [dict(zip(lines[0].split(","), x.split(","), strict=True)) for x in lines[1:]]
+    return [(int(r["Frame Number"]), int(r["Frame Index"]), int(r["True Positives"]), int(r["Missed Detections"]), float(r["MOTA"])) for r in table]
+
+
+def test_frames_before_the_first_track_are_misses(spark, tmp_path):
+    got = evaluated(spark, tmp_path, "late", range(5, 10))
+    assert got == [(10 + i, i, int(i >= 5), int(i < 5), float(i >= 5)) for i in range(10)]
+
+
+def test_a_gap_in_a_track_is_missed(spark, tmp_path):
+    got = evaluated(spark, tmp_path, "gap", [0, 1, 2, 6, 7, 8, 9])
+    assert [m for *_, m in got] == [1, 1, 1, 0, 0, 0, 1, 1, 1, 1]
+
+
+def test_frames_that_were_not_decoded_do_not_count(spark, tmp_path):
+    assert [i for _, i, *_ in evaluated(spark, tmp_path, "short", range(4), range(10, 20), "--n-frames", "6")] == [0, 1, 2, 3, 4, 5]
+    got = evaluated(spark, tmp_path, "later", range(3, 8), range(10, 15), "--first-frame", "3")
+    assert [m for *_, m in got] == [1.0] * 5

@@ -174,9 +174,9 @@ def test_analysis_edges(spark):
     assert analysis.track_lengths(obs, ["clip"]).first().n_samples == 2 and analysis.track_lengths(obs, ["clip"], any_of=True).first().n_samples == 4
     assert tuple(analysis.first_positions(obs, ["clip"]).select("x", "y").first()) == (2.0, 1.0)
     assert [(r.escape_state, r.start, r.length) for r in analysis.run_lengths(obs, ["clip"], "escape_state").orderBy("run").collect()] == [(0, 0, 2), (1, 2, 2)]
-    t = {r.t: (len(r.past), len(r.future)) for r in analysis.trajectories(obs, ["clip"]).collect()}
+    t = {r.t: (len(r.past), len(r.future)) for r in analysis.trajectories(obs, obs, ["clip"]).collect()}
     assert t == {0: (1, 3), 1: (2, 2), 2: (3, 1), 5: (4, 0)}
-    assert {r.t: (len(r.past), len(r.future)) for r in analysis.trajectories(obs, ["clip"], now_in_past=False).collect()} == {0: (0, 4), 1: (1, 3), 2: (2, 2), 5: (3, 1)}
+    assert {r.t: (len(r.past), len(r.future)) for r in analysis.trajectories(obs, obs, ["clip"], now_in_past=False).collect()} == {0: (0, 4), 1: (1, 3), 2: (2, 2), 5: (3, 1)}
     assert analysis.time_slice(spark.range(200).withColumnRenamed("id", "t"), 0, 100).count() == 101
     assert analysis.dense_grid(analysis.occupancy(obs, 10, 10, 4, 3), 4, 3).count() == 12
     assert analysis.long_tracks(obs, ["clip"], 2.5).count() == 0

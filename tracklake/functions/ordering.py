@@ -2,33 +2,26 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a default is set only where none is given."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def with_row_number(df: DataFrame, order: list[Column | str], name: str, start: int = 1, weight: str | None = None) -> DataFrame:
+    """Adds numbers in the given order. The sorted table is written once; each part's numbers then start after the rows before it.
 
-def with_row_number(df: DataFrame, order: list[Column | str], name: str, start: int = 1) -> DataFrame:
-    """Adds numbers in the given order. The sorted table is written once; each part's numbers then start after the rows before it."""
+    weight: a column whose sum over all rows before is added as `weight`_before.
+    """
     ordered = written(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("__at", 33)
-    sizes = ordered.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # a row for each part of the sort
-    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    amount = F.col(weight).cast("long") if weight else F.lit(0).cast("long")
+    sizes = ordered.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"), F.sum(amount).alias("__w"))  # a row for each part of the sort
+    parts = Window.orderBy("__part")
+    before = sizes.select("__part", (F.sum("__n").over(parts) - F.col("__n")).alias("__before"), (F.sum("__w").over(parts) - F.col("__w")).alias("__wb"))
     joined = ordered.withColumn("__part", part).join(F.broadcast(before), "__part")
-    return joined.withColumn(name, F.col("__before") + F.col("__at") - F.shiftleft("__part", 33) + start).drop("__at", "__part", "__before")
+    joined = joined.withColumn(name, F.col("__before") + F.col("__at") - F.shiftleft("__part", 33) + start)
+    if weight:
+        within = F.sum(amount).over(Window.partitionBy("__part").orderBy("__at")) - amount
+        joined = joined.withColumn(f"{weight}_before", F.col("__wb") + within)
+    return joined.drop("__at", "__part", "__before", "__wb")

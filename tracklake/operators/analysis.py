@@ -95,12 +95,20 @@ def run_lengths(series: DataFrame, keys: list[str], value: str, order: str = "t"
     return numbered.groupBy(*keys, "run").agg(F.first(value).alias(value), F.min(order).alias("start"), F.count("*").alias("length"))
 
 
-def trajectories(observations: DataFrame, keys: list[str], now_in_past: bool = True) -> DataFrame:
-    """Adds the past and future positions of an individual, which share no frame; the present one is in the past or in the future."""
-    w = Window.partitionBy(*keys, "individual").orderBy("t")
+def trajectories(observations: DataFrame, at: DataFrame, keys: list[str], now_in_past: bool = True) -> DataFrame:
+    """Past and future positions of individuals at the asked-for times at(keys..., individual, t), which share no frame; the present one is in the past or in the future.
+
+    Each asked-for row gathers one track, so the result grows with what is asked for and not with the
+    square of a track; past_future_counts() has the counts of all rows.
+    """
+    by = [*keys, "individual"]
     point = F.struct("t", "x", "y")
-    past, future = (w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)) if now_in_past else (w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing))
-    return observations.withColumn("past", F.collect_list(point).over(past)).withColumn("future", F.collect_list(point).over(future))
+    asked = at.select(*by, F.col("t").alias("__now")).distinct()
+    rows = asked.join(observations.select(*by, point.alias("__p")), by)
+    t = F.col("__p.t")
+    past = t <= F.col("__now") if now_in_past else t < F.col("__now")
+    listed = lambda which: F.array_sort(F.collect_list(F.when(which, F.col("__p"))))
+    return rows.groupBy(*by, F.col("__now").alias("t")).agg(listed(past).alias("past"), listed(~past).alias("future"))
 
 
 def past_future_counts(observations: DataFrame, keys: list[str]) -> DataFrame:

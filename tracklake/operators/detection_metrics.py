@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .matching import above_score, box_pairs, optimal_match
+from .matching import above_score, box_pairs, optimal_match, pooled_pairs
 
 
 def ratio(part: str, *rest: str):
@@ -24,6 +24,19 @@ def confusion(truth: DataFrame, predictions: DataFrame, keys: list[str], thresho
     return out.withColumn("precision", ratio("tp", "fp")).withColumn("recall", ratio("tp", "fn"))
 
 
+def batch_confusion(truth: DataFrame, predictions: DataFrame, batched: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
+    """Counts, precision and recall of each batch of batched(keys..., frame, batch), whose boxes are matched as one pool; batches without a box have zeros. mean_over() gives an epoch's figures."""
+    on = [*keys, "frame"]
+    frames = batched.select(*on, "batch")
+    t, p = (df.join(frames, on).withColumn("frame", F.struct(*on)) for df in (truth, predictions))
+    matches = optimal_match(pooled_pairs(t, p, ["batch"]), ["batch"], threshold, pooled=True)
+    zero, one = F.lit(0), F.lit(1)
+    parts = frames.select("batch", zero.alias("tp"), zero.alias("g"), zero.alias("p")).distinct()
+    parts = parts.unionAll(t.select("batch", zero, one, zero)).unionAll(p.select("batch", zero, zero, one)).unionAll(matches.select("batch", one, zero, zero))
+    out = parts.groupBy("batch").agg(F.sum("tp").alias("tp"), (F.sum("p") - F.sum("tp")).alias("fp"), (F.sum("g") - F.sum("tp")).alias("fn"))
+    return out.withColumn("precision", ratio("tp", "fp")).withColumn("recall", ratio("tp", "fn"))
+
+
 def by_threshold(truth: DataFrame, predictions: DataFrame, keys: list[str], thresholds: list[float], score: float | None = None) -> DataFrame:
     """Counts, precision and recall over all frames for each overlap threshold, from one assignment."""
     shown = above_score(predictions, score) if score is not None else predictions

@@ -24,6 +24,21 @@ def box_pairs(truth: DataFrame, predictions: DataFrame, keys: list[str], thresho
     return t.join(p, on).withColumn("iou", shared).filter(F.col("iou") > threshold).select(*on, "gt_id", "pred_id", "score", "iou")
 
 
+def pooled_pairs(truth: DataFrame, predictions: DataFrame, by: list[str], threshold: float = 0.0) -> DataFrame:
+    """Overlapping pairs of all boxes of a batch, also of different frames, as one pool: ids are numbers within the batch.
+
+    truth, predictions: with the columns `by`, frame, and gt_id or pred_id. For optimal_match(pooled=True).
+    """
+
+    def numbered(df: DataFrame, name: str) -> DataFrame:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy("frame", name)))
+
+    t = numbered(truth, "gt_id").select(*by, "gt_id", *(F.col(c).alias(f"t_{c}") for c in CORNERS))
+    p = numbered(predictions, "pred_id").select(*by, "pred_id", "score", *CORNERS)
+    shared = iou(tuple(f"t_{c}" for c in CORNERS), CORNERS)
+    return t.join(p, by).withColumn("iou", shared).filter(F.col("iou") > threshold).select(*by, "gt_id", "pred_id", "score", "iou")
+
+
 def grid_pairs(truth: DataFrame, predictions: DataFrame, keys: list[str], cell: float, threshold: float = 0.0, inclusive: bool = False) -> DataFrame:
     """box_pairs() for crowded frames: only boxes that touch a common cell of a grid meet, each pair in the first one it shares."""
     on = [*keys, "frame"]
@@ -69,8 +84,8 @@ def greedy_match(pairs: DataFrame, keys: list[str], pred_order: str = "pred_id",
 def optimal_match(pairs: DataFrame, keys: list[str], threshold: float = 0.0, pooled: bool = False) -> DataFrame:
     """One-to-one matches with the largest sum of overlaps, of which those above the threshold stay.
 
-    pairs: with all overlaps above 0. pooled: boxes of all frames of a sequence (a batch) compete, and
-    pairs must then hold pairs across frames. Only frames where a box has several partners are solved
+    pairs: with all overlaps above 0. pooled: boxes of all frames of a batch (keys) compete, and pairs
+    are those of pooled_pairs(). Only frames where a box has several partners are solved
     in Python.
     """
     on = list(keys) if pooled else [*keys, "frame"]

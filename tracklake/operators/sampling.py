@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import frame_at
 from ..functions.ordering import with_row_number
 
 
@@ -42,6 +43,16 @@ def first_frames(frames: DataFrame, n: int | None, column: str = "frame") -> Dat
     return frames if n is None else frames.filter(F.col(column) < n)
 
 
+def cut_by_clock(frames: DataFrame, clips: DataFrame, keys: list[str]) -> DataFrame:
+    """Frames of clips(keys..., clip_name, fps, video_start, clip_start, clip_end as HH:MM:SS), both ends included, numbered from 0 in each clip.
+
+    A frame in several clips is in each of them. A video's clips are few, so they are the equi-join's small side.
+    """
+    bounds = clips.select(*keys, "clip_name", frame_at(F.col("clip_start"), F.col("video_start"), F.col("fps")).alias("__from"), frame_at(F.col("clip_end"), F.col("video_start"), F.col("fps")).alias("__to"))
+    cut = frames.join(bounds, keys).filter(F.col("frame").between(F.col("__from"), F.col("__to")))
+    return cut.withColumn("clip_frame", F.col("frame") - F.col("__from")).drop("__from", "__to")
+
+
 def row_at(df: DataFrame, k: int, order: list[str]) -> DataFrame:
     """The row with a number (from 0), as a task of an array job picks its input."""
     return with_row_number(df, order, "__k", 0).filter(F.col("__k") == k).drop("__k")

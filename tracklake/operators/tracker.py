@@ -7,7 +7,7 @@ all tracks of a frame at once.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -174,7 +174,7 @@ def run_frames(tracker: Tracker, rows: pd.DataFrame, keys: Iterable[str], key: t
             if len(ids):
                 out.append(np.c_[np.full(len(ids), first + i), np.arange(len(ids)), ids, box, score])
     table = np.concatenate(out) if out else np.zeros((0, 8))
-    result = pd.DataFrame({k: [v] * len(table) for k, v in zip(keys, key, strict=True)})
+    result = pd.DataFrame({k: pd.Series([v] * len(table), dtype=object) for k, v in zip(keys, key, strict=True)})
     result["frame"], result["emit_idx"], result["track_id"] = table[:, 0].astype(np.int32), table[:, 1].astype(np.int32), table[:, 2].astype(np.int64)
     for i, c in enumerate(("x1", "y1", "x2", "y2", "score")):
         result[c] = table[:, 3 + i]
@@ -185,12 +185,46 @@ def track(detections: DataFrame, keys: list[str], settings: Settings = Settings(
     """Tracks of detections(keys..., frame, det_idx, x1..y2, score). Sequences run in parallel, frames of one in order.
 
     A null box marks a frame without detections; frames between a sequence's first and last row count as such.
+    A task reads its sequences sorted, batch by batch, and holds the live tracks and one frame.
     """
     if score is not None:
         detections = detections.filter((F.col("score") > score) | F.col("x1").isNull())
     columns = [*keys, "frame", "det_idx", "x1", "y1", "x2", "y2", "score"]
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return run_frames(Tracker(settings), rows, keys, key)
-
-    return detections.select(*columns).groupBy(*keys).applyInPandas(run, track_schema(detections, keys))
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: tuple | None = None
+        tracker, last, held = Tracker(settings), None, []
+
+        def feed(rows: list[pd.DataFrame]) -> pd.DataFrame:
+            nonlocal last
+            table = pd.concat(rows) if len(rows) > 1 else rows[0]
+            out = run_frames(tracker, table, keys, now, last)
+            last = int(table.frame.max())
+            return out
+
+        for pdf in batches:
+            same = pd.Series(True, pdf.index)
+            for k in keys:
+                same &= (pdf[k] == pdf[k].shift()) | (pdf[k].isna() & pdf[k].shift().isna())
+            starts = [0, *(i for i in np.flatnonzero(~same.to_numpy()).tolist() if i)] if len(pdf) else []
+            for i, j in zip(starts, [*starts[1:], len(pdf)], strict=True) if starts else ():
+                key = tuple(None if pd.isna(v) else v for v in (pdf[k].iloc[i] for k in keys))
+                if key != now:
+                    if held:
+                        yield feed(held)
+                    now, tracker, last, held = key, Tracker(settings), None, []
+                rows = pdf.iloc[i:j]
+                # the last frame may go on in the next batch
+                open_ = rows.frame.to_numpy() == rows.frame.iloc[-1]
+                if held and held[-1].frame.iloc[-1] != rows.frame.iloc[0] or held and not open_.all():
+                    whole = [*held, rows[~open_]] if not open_.all() else held
+                    yield feed(whole)
+                    held = []
+                elif not open_.all():
+                    yield feed([rows[~open_]])
+                held.append(rows[open_])
+        if held:
+            yield feed(held)
+
+    order = [*keys, "frame", "det_idx"]
+    return detections.select(*columns).repartition(*keys).sortWithinPartitions(*order).mapInPandas(run, track_schema(detections, keys))

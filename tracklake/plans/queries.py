@@ -142,21 +142,72 @@ def prediction_only_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.predictions(spark, sf_dir).select(*on).distinct().join(fixtures.truth(spark, sf_dir).select(*on).distinct(), on, "left_anti").agg(F.count("*").alias("n"))
 
 
-@query()
+def _crowd(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Boxes moved so near to each other that they overlap their neighbours."""
+    near = lambda d: d.withColumns({"x1": F.col("x1") / 16, "y1": F.col("y1") / 8, "x2": F.col("x1") / 16 + 80, "y2": F.col("y1") / 8 + 60})
+    return near(fixtures.truth(spark, sf_dir)), near(fixtures.predictions(spark, sf_dir))
+
+
+CROWD = ", ".join(f"{w} as (select * replace (x1/16 as x1, y1/8 as y1, x1/16+80 as x2, y1/8+60 as y2) from {v})" for w, v in (("wg", "gt"), ("wp", "pred")))
+
+
+#: The greedy match as a fold over a frame's predictions: each takes the first of its candidates that isn't taken.
+GREEDY = (
+    sql("gt", "pred").replace("with ", "with recursive ", 1)
+    + f""", {CROWD},
+ pairs as (select g.video,g.clip,g.frame,gt_id,pred_id, {OVER.format(e="1.0")} iou from wg g join wp p on {ON} where {OVER.format(e="1.0")} > 0.1),
+ turns as (select *, dense_rank() over (partition by video,clip,frame order by pred_id) k from pairs),
+ cand as (select video,clip,frame,k,pred_id, list({{'gt':gt_id,'iou':iou}} order by iou desc, gt_id) c from turns group by all),
+ r as (select distinct video,clip,frame, cast(0 as bigint) k, cast([] as int[]) taken, cast(null as int) pred_id, cast(null as int) gt_id, cast(null as double) iou from cand
+  union all select video,clip,frame,k, case when pick is null then taken else list_append(taken, pick.gt) end, pred_id, pick.gt, pick.iou
+  from (select c.video,c.clip,c.frame,c.k,c.pred_id,r.taken, list_filter(c.c, lambda x: not list_contains(r.taken, x.gt))[1] pick from r join cand c on c.video=r.video and c.clip=r.clip and c.frame=r.frame and c.k=r.k+1)),
+ greedy as (select video,clip,frame,gt_id,pred_id,iou from r where gt_id is not null)"""
+)
+
+
+@query(GREEDY + " select video,clip,frame,gt_id,pred_id, round(iou,6) iou from greedy")
 def greedy_match_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes four times as wide overlap their neighbours."""
-    wide = lambda d: d.withColumn("x2", F.col("x2") + 480).withColumn("y2", F.col("y2") + 360)
-    pairs = matching.box_pairs(wide(fixtures.truth(spark, sf_dir)), wide(fixtures.predictions(spark, sf_dir)), KEYS, 0.1, inclusive=True)
+    pairs = matching.box_pairs(*_crowd(spark, sf_dir), KEYS, 0.1, inclusive=True)
     return matching.greedy_match(pairs, KEYS).select(*KEYS, "frame", "gt_id", "pred_id", r6("iou").alias("iou"))
 
 
+@query(
+    GREEDY
+    + MOTA[MOTA.index(", shown as") :].replace(f"left join pred p on {ON} and {OVER.format(e='1.0')} > 0.1", "left join greedy p on g.video=p.video and g.clip=p.clip and g.frame=p.frame and g.gt_id=p.gt_id")
+    + " select video,clip,frame, total_ground_truth,true_positives,missed_detections,false_positives,switches, round(1-(missed_detections+false_positives+switches)/total_ground_truth,6) mota from per"
+)
+def mota_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy where boxes compete for their partners."""
+    per = mota.mota_per_frame(*_crowd(spark, sf_dir), KEYS)
+    return per.select(*KEYS, "frame", "total_ground_truth", "true_positives", "missed_detections", "false_positives", "switches", r6("mota").alias("mota"))
+
+
 @query()
 def optimal_match_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = lambda d: d.withColumn("x2", F.col("x2") + 480).withColumn("y2", F.col("y2") + 360)
-    pairs = matching.box_pairs(wide(fixtures.truth(spark, sf_dir)), wide(fixtures.predictions(spark, sf_dir)), KEYS)
+    pairs = matching.box_pairs(*_crowd(spark, sf_dir), KEYS)
     return matching.optimal_match(pairs, KEYS, 0.1).select(*KEYS, "frame", "gt_id", "pred_id", r6("iou").alias("iou"))
 
 
+#: Of all ways to match a frame's predictions one after another, with each set of taken true boxes only the best sum goes on.
+OPTIMUM = (
+    sql("gt", "pred").replace("with ", "with recursive ", 1)
+    + f""", {CROWD},
+ pairs as (select g.video,g.clip,g.frame,gt_id,pred_id, {OVER.format(e="0.0")} iou from wg g join wp p on {ON} where {OVER.format(e="0.0")} > 0),
+ ranked as (select *, dense_rank() over (partition by video,clip,frame order by pred_id) k from pairs),
+ ways as (select video,clip,frame,k,gt_id,iou from ranked union all select distinct video,clip,frame,k,cast(null as int),cast(0 as double) from ranked),
+ r as (select distinct video,clip,frame, cast(0 as bigint) k, cast([] as int[]) taken, cast(0 as double) total from pairs
+  union all select video,clip,frame,k,taken,max(total) total from
+  (select w.video,w.clip,w.frame,w.k, case when w.gt_id is null then r.taken else list_sort(list_append(r.taken, w.gt_id)) end taken, r.total+w.iou total from r join ways w on w.video=r.video and w.clip=r.clip and w.frame=r.frame and w.k=r.k+1 where w.gt_id is null or not list_contains(r.taken, w.gt_id)) group by video,clip,frame,k,taken)"""
+)
+
+
+@query(OPTIMUM + " select video,clip,frame, round(max(total),5) total from r where k > 0 group by video,clip,frame")
+def optimal_match_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest sum of overlaps of each crowded frame, which is one where its assignment may not be."""
+    matches = matching.optimal_match(matching.box_pairs(*_crowd(spark, sf_dir), KEYS), KEYS)
+    return matches.groupBy(*KEYS, "frame").agg(F.round(F.sum("iou"), 5).alias("total"))
+
+
 # detection
 
 LEVELS = [0.5, 0.6, 0.7, 0.75, 0.8, 0.9]
@@ -184,6 +235,23 @@ def precision_recall_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detection_metrics.mean_over(out, KEYS).select(*KEYS, "n", r6("precision").alias("precision"), r6("recall").alias("recall"))
 
 
+BATCHES = "b as (select distinct video, clip, frame, concat_ws('-', video, clip, frame-frame % 60+frame % 30) batch from base)"
+
+
+@query(
+    sql("gt", "pred")
+    + f""", {BATCHES}, {HITS}, c as (select b.batch, (select count(*) from hits h join b using (video, clip, frame) where b.batch=x.batch and iou > 0.5) tp,
+  (select count(*) from pred p join b using (video, clip, frame) where b.batch=x.batch) p, (select count(*) from gt g join b using (video, clip, frame) where b.batch=x.batch) g from (select distinct batch from b) x join b on b.batch=x.batch group by b.batch, x.batch)
+ select batch, tp, p-tp fp, g-tp fn, round(case when p=0 then 0 else tp/p end,6) as "precision", round(case when g=0 then 0 else tp/g end,6) recall from c"""
+)
+def batch_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two frames, half a minute apart, are a batch whose boxes are matched as one pool."""
+    key = F.concat_ws("-", "video", "clip", F.col("frame") - F.col("frame") % 60 + F.col("frame") % 30)
+    batched = fixtures.base(spark, sf_dir).select(*KEYS, "frame", key.alias("batch")).distinct()
+    out = detection_metrics.batch_confusion(fixtures.truth(spark, sf_dir), fixtures.predictions(spark, sf_dir), batched, KEYS, 0.5)
+    return out.select("batch", *(F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")), r6("precision").alias("precision"), r6("recall").alias("recall"))
+
+
 @query("""with t as (select p_partkey trial, p_size/50.0 p, p_retailprice/2000.0 r from part) select trial, round(p,6) as "precision", round(r,6) recall from t order by (p+r)/2 desc, trial limit 1""")
 def best_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = fixtures.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("trial"), (F.col("p_size") / 50.0).alias("precision"), (F.col("p_retailprice").cast("double") / 2000.0).alias("recall"))
@@ -261,7 +329,7 @@ def exclude_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select p_partkey from part where not regexp_matches(p_name, 'gr[ae]|blue')")
 def exclude_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.table(spark, sf_dir, "part").filter(~F.col("p_name").rlike("gr[ae]|blue")).select("p_partkey")
+    return via.without(fixtures.table(spark, sf_dir, "part"), "gr[ae]|blue", "p_name").select("p_partkey")
 
 
 @query("with n as (select n_nationkey video, n_regionkey old from nation), s as (select s_nationkey video, count(*) neu from supplier where s_nationkey % 2 = 0 group by 1) select coalesce(n.video, s.video) video, case when s.video is not null then neu else old end value from n full join s on n.video = s.video")
@@ -491,6 +559,12 @@ def mask_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.mask_runs(frames.merged_masks(line))
 
 
+@query("with m as (select l_orderkey image, l_suppkey % 8 px, l_linenumber % 6 py, cast(max(l_partkey % 3) as smallint) id from lineitem group by all), i as (select *, py*8+px pixel, py*8+px-row_number() over (partition by image, id order by py*8+px) g from m) select image, id, cast(min(pixel) as bigint) as \"start\", count(*) len from i group by image, id, g")
+def instance_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = fixtures.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), (F.col("l_partkey") % 3).alias("id"), (F.col("l_suppkey") % 8).alias("px"), (F.col("l_linenumber") % 6).alias("py"))
+    return frames.instances(frames.merged_masks(line), 8, 6)
+
+
 # synchronisation, sampling, parameters
 
 SYNC = ", t as (select clip, loop_end_frame_ffmpeg-loop_start_frame_ffmpeg+1 n, 1000+clip*7 s from clips), w as (select max(s) s, min(s+n-1) e from t)"
@@ -511,6 +585,34 @@ def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coco.split(images).groupBy("split").agg(F.count("*").alias("n"))
 
 
+@query("with n as (select o_orderkey id, (row_number() over (order by o_orderkey)-1)//32 batch from orders) select batch, count(*) n from n where batch < floor((select max(batch)+1 from n)*0.25) group by batch")
+def limited_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = fixtures.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    return coco.limited(coco.batches(images, 32), 0.25).groupBy("batch").agg(F.count("*").alias("n"))
+
+
+@query(
+    sql("base")
+    + """, c as (select distinct video, clip, concat('c', clip) clip_name, cast(trunc((clip % 3)*60*0.25) as int) a, cast(trunc(((clip % 3)*60+80)*0.25) as int) b from base), f as (select distinct video, clip, frame from base)
+ select f.video, f.clip, clip_name, frame, frame-a clip_frame from f join c on f.video=c.video and f.clip=c.clip and frame between a and b"""
+)
+def clip_frames_by_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame every four seconds; clips of 80 seconds begin at 0, 1 or 2 minutes."""
+    f = fixtures.base(spark, sf_dir).select(*KEYS, "frame").distinct()
+    at = lambda s: F.format_string("01:%02d:%02d", F.floor(s / 60).cast("int"), (s % 60).cast("int"))
+    start = (F.col("clip") % 3) * 60
+    c = f.select(*KEYS).distinct().select(*KEYS, F.concat(F.lit("c"), "clip").alias("clip_name"), F.lit(0.25).alias("fps"), F.lit("01:00:00").alias("video_start"), at(start).alias("clip_start"), at(start + 80).alias("clip_end"))
+    return sampling.cut_by_clock(f, c, KEYS).select(*KEYS, "clip_name", "frame", "clip_frame")
+
+
+@query("select concat('mlruns/1/', n_nationkey, '/checkpoints/last.ckpt') path, cast(n_nationkey as varchar) run, case when n_nationkey < 20 then n_name end name from nation")
+def parameters_by_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = fixtures.table(spark, sf_dir, "nation")
+    runs = nation.filter("n_nationkey < 20").select(F.col("n_nationkey").alias("run"), F.create_map(F.lit("cli_args/name"), F.col("n_name")).alias("params"))
+    paths = nation.select(F.concat(F.lit("mlruns/1/"), "n_nationkey", F.lit("/checkpoints/last.ckpt")).alias("path"))
+    return files.stored_parameters(paths, runs).select("path", "run", F.try_element_at("params", F.lit("cli_args/name")).alias("name"))
+
+
 @query()
 def frames_to_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fixtures.table(spark, sf_dir, "embeddings")

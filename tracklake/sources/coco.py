@@ -90,6 +90,14 @@ def batches(images: DataFrame, size: int, seed: int | None = None, key: str = "i
     return with_row_number(images, order, "__n", 0).withColumn("batch", F.expr(f"__n div {size}")).drop("__n")
 
 
+def limited(batched: DataFrame, limit: int | float) -> DataFrame:
+    """The first batches: so many, or (a fraction) that share of all of them, cut to a whole number."""
+    if isinstance(limit, int):
+        return batched.filter(F.col("batch") < limit)
+    share = batched.agg((F.floor((F.max("batch") + 1) * F.lit(float(limit)))).alias("__limit"))  # one row
+    return batched.join(F.broadcast(share)).filter(F.col("batch") < F.col("__limit")).drop("__limit")
+
+
 def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key, the first in order."""
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__r = 1").drop("__r")

@@ -68,6 +68,11 @@ def run_of_checkpoint(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -3)
 
 
+def stored_parameters(checkpoints: DataFrame, params: DataFrame) -> DataFrame:
+    """checkpoints(path) with the parameters(run, params map) of the run that wrote each; null where the run isn't known."""
+    return checkpoints.withColumn("run", run_of_checkpoint(F.col("path"))).join(params.withColumn("run", F.col("run").cast("string")), "run", "left")
+
+
 CLIPS = (
     "video_parent_directory string, video_name string, loop_clip_name string, fps double, loop_START_frame_ffmpeg int, loop_END_frame_ffmpeg int, "
     "loop_START_frame_ffmpeg_PTS double, loop_END_frame_ffmpeg_PTS double, escape_START_frame_0_based_idx int, escape_type string"

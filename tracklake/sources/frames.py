@@ -34,6 +34,34 @@ def frames(videos: DataFrame, decode: Callable[[str], Iterable[tuple[int, int, i
     return videos.select("path").mapInPandas(run, FRAMES)
 
 
+def frames_at(wanted: DataFrame, seek: Callable[[str, list[int]], Iterable[tuple[int, int, int, bytes]]], batch: int = 16) -> DataFrame:
+    """Only the frames of wanted(path, frame): seek(path, numbers) yields them, numbers being sorted and distinct, so no other is decoded."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
+        for pdf in parts:
+            for path, numbers in zip(pdf.path, pdf.numbers, strict=True):
+                for f in seek(path, list(map(int, numbers))):
+                    held.append((path, *f))
+                    if len(held) == batch:
+                        yield pd.DataFrame(held, columns=[c.split()[0] for c in FRAMES.split(", ")])
+                        held = []
+        if held:
+            yield pd.DataFrame(held, columns=[c.split()[0] for c in FRAMES.split(", ")])
+
+    return wanted.groupBy("path").agg(F.array_sort(F.collect_set("frame")).alias("numbers")).mapInPandas(run, FRAMES)
+
+
+def images(listing: DataFrame, shape: Callable[[str], tuple[int, int, int]]) -> DataFrame:
+    """Image files of listing(path) with height, width and channels, as shape(path) gives them."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pd.DataFrame([(p, *shape(p)) for p in pdf.path], columns=["path", "height", "width", "channels"])
+
+    return listing.select("path").mapInPandas(run, "path string, height int, width int, channels int")
+
+
 def properties(videos: DataFrame, probe: Callable[[str], tuple[int, int, int, float]]) -> DataFrame:
     """n_frames, width, height and fps of videos(path), as probe(path) gives them."""
 
@@ -110,6 +138,14 @@ def merged_masks(masks: DataFrame) -> DataFrame:
     return masks.groupBy("image", "px", "py").agg(F.max("id").cast("short").alias("id"))
 
 
+def instances(merged: DataFrame, width: int, height: int) -> DataFrame:
+    """A mask of its own for each instance of merged(image, px, py, id), as runs over its pixels in row order: start and len of what is set."""
+    at = merged.filter(F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1)).withColumn("at", F.col("py").cast("long") * width + F.col("px"))
+    w = Window.partitionBy("image", "id").orderBy("at")
+    island = at.withColumn("__i", F.col("at") - F.row_number().over(w))
+    return island.groupBy("image", "id", "__i").agg(F.min("at").alias("start"), F.count("*").alias("len")).drop("__i")
+
+
 def mask_runs(merged: DataFrame) -> DataFrame:
     """Runs of pixels of one instance in a row of the image."""
     w = Window.partitionBy("image", "py", "id").orderBy("px")
@@ -127,3 +163,19 @@ def mask_moments(merged: DataFrame) -> DataFrame:
 def prompts(boxes: DataFrame) -> DataFrame:
     """Boxes of an image as one array, in order: what a mask model is asked."""
     return boxes.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("det_idx", "x1", "y1", "x2", "y2"))).alias("boxes"))
+
+
+MASKS = "image string, id int, px int, py int"
+
+
+def segment(prompted: DataFrame, model: Callable[[str, list[tuple[float, float, float, float]]], Iterable[Iterable[tuple[int, int]]]]) -> DataFrame:
+    """Masks of prompts(): model(image, boxes) gives the pixels (px, py) of one mask for each box, in order; instances count from 1."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for image, boxes in zip(pdf.image, pdf.boxes, strict=True):
+                asked = [(b["x1"], b["y1"], b["x2"], b["y2"]) for b in boxes]
+                rows = [(image, i + 1, x, y) for i, mask in zip(range(len(asked)), model(image, asked), strict=True) for x, y in mask]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in MASKS.split(", ")]).astype({"id": "int32", "px": "int32", "py": "int32"})
+
+    return prompted.mapInPandas(run, MASKS)

@@ -90,7 +90,12 @@ def read_projects(spark: SparkSession, path: str, exclude: str | None = None) ->
     """VIA projects, one a file, with the file's path; files whose path matches the pattern, and other JSON, are left out. Bad JSON raises."""
     df = spark.read.schema(PROJECT).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).json(path)
     df = df.withColumn("file", F.col("_metadata.file_path")).filter(F.col("_via_img_metadata").isNotNull())
-    return df.filter(~F.col("file").rlike(exclude)) if exclude else df
+    return without(df, exclude)
+
+
+def without(df: DataFrame, pattern: str | None, column: str = "file") -> DataFrame:
+    """Rows whose column doesn't match the pattern anywhere; all rows for none."""
+    return df.filter(~F.col(column).rlike(pattern)) if pattern else df
 
 
 def images(projects: DataFrame) -> DataFrame:
@@ -131,11 +136,17 @@ def combined_project(projects: DataFrame, default_dir: str | None = None, projec
 
 
 def coco_rows(pictures: DataFrame, order: list[str], category: str = "animal") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """COCO images, annotations and categories of images(filename, regions): ids from 1 in order, size 0 by 0, area of the box."""
-    numbered = with_row_number(pictures, order, "id")
-    image = numbered.select("id", F.lit(0).alias("width"), F.lit(0).alias("height"), F.col("filename").alias("file_name"))
-    boxes = numbered.select(F.col("id").alias("image_id"), F.posexplode("regions").alias("pos", "r")).select("image_id", "pos", F.col("r.shape_attributes").alias("s"))
-    boxes = with_row_number(boxes, ["image_id", "pos"], "id")
+    """COCO images, annotations and categories of images(filename, regions): ids from 1 in order, size 0 by 0, area of the box.
+
+    order tells images apart. Only it and the number of regions are sorted; a box's id is the number of
+    regions of the images before, and its place in its own.
+    """
+    keys = pictures.select(*order, F.size("regions").alias("__n"))
+    numbered = with_row_number(keys, order, "id", weight="__n")
+    with_ids = pictures.join(numbered, order)
+    image = with_ids.select("id", F.lit(0).alias("width"), F.lit(0).alias("height"), F.col("filename").alias("file_name"))
+    boxes = with_ids.select(F.col("id").alias("image_id"), "__n_before", F.posexplode("regions").alias("pos", "r"))
+    boxes = boxes.select((F.col("__n_before") + F.col("pos") + 1).alias("id"), "image_id", F.col("r.shape_attributes").alias("s"))
     annotation = boxes.select("id", "image_id", F.lit(1).alias("category_id"), F.array("s.x", "s.y", "s.width", "s.height").alias("bbox"), (F.col("s.width") * F.col("s.height")).alias("area"), F.lit(0).alias("iscrowd"))
     spark = pictures.sparkSession
     return image, annotation, spark.createDataFrame([(1, category, "animal")], "id int, name string, supercategory string")
