@@ -7,17 +7,21 @@ for code-switched text. The log-likelihood's gradient and the marginals come fro
 run in step over all sequences of a slice. A document's language is the one with most expected
 words; its score is that share.
 
-Training takes at most SAMPLE documents a language, of at most SAMPLE_CHARS characters, with the
-smallest hashes of doc_id; this bound is the only one. Every document is predicted from its whole
-text.
-
-Null text or text without a letter: `und`, score 0. Documents without lang (or a null doc_id in the
-held-out fold) don't train. Without any training document every text is `und`. Repeated rows each
-give their own row; extra columns are ignored.
+Training takes from every language SAMPLE documents at most, those with the smallest hashes, and of each
+SAMPLE_CHARS characters at most; where languages are many, fewer and shorter ones, so that characters
+times languages times languages stay under SAMPLE_CELLS. Of features there are FEATURES, or fewer so that
+features times languages stay under WEIGHTS. These are the only bounds. Every document is predicted from
+its whole text; a chain ends after SEGMENT words, so a long text is some chains, which are summed.
+
+Null or empty text, or text without a letter (numbers such as ² or ½ are none): `und`, score 0. Documents
+without lang don't train. Without any training document every text is `und`. Of languages with equal
+sums the first in the order of their names is taken. Repeated rows each give their own row; extra columns,
+also those named like a result, are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
@@ -26,16 +30,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, slices, small_batches, texts_of
+from .common import slices, small_batches, texts_of
 
-SAMPLE, SAMPLE_CHARS = 120, 12_000
-FEATURES = 1 << 16
-#: Most words that a worker remembers.
-REMEMBERED = 300_000
-WORD = re.compile(r"[^\W\d_]+")
+SAMPLE, SAMPLE_CHARS, SAMPLE_CELLS = 120, 12_000, 96_000_000
+FEATURES, WEIGHTS = 1 << 16, 1 << 23
+#: Words of a chain; words times languages that are looked at together; words times languages that a worker remembers.
+SEGMENT, CELLS, REMEMBERED = 4096, 1 << 20, 1_200_000
+#: Word characters that are numbers without being decimal digits.
+NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{re.escape(NUMBERS)}]+")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long"
 
 
@@ -80,16 +86,15 @@ FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 class Features:
     """Hashed features of words; lexicon: word to language number."""
 
-    def __init__(self, lexicon: dict[str, int]):
-        self.lexicon = lexicon
+    def __init__(self, lexicon: dict[str, int], n: int = FEATURES):
+        self.lexicon, self.n = lexicon, n
 
-    @staticmethod
-    def _hashed(kind: int, *letters: np.ndarray) -> np.ndarray:
+    def _hashed(self, kind: int, *letters: np.ndarray) -> np.ndarray:
         h = np.full(len(letters[0]), kind * FACTORS[3] & 0xFFFFFFFF, np.uint32)
         for x, k in zip(letters, FACTORS, strict=False):
             h = (h ^ x) * np.uint32(k)
             h ^= h >> np.uint32(15)
-        return (h % np.uint32(FEATURES)).astype(np.int64)
+        return (h % np.uint32(self.n)).astype(np.int64)
 
     def ragged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Feature numbers of all words, and the bounds of each word's: affixes and lexicon, then bigrams, then trigrams."""
@@ -136,8 +141,10 @@ class Tagger:
 
     def label(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Marginals of all words, bounds of the texts' words, and each word's likeliest label."""
-        cut = [words_of(t) for t in texts]
-        if len(self.known) > REMEMBERED:
+        return self.label_words([words_of(t) for t in texts])
+
+    def label_words(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(self.known) * len(self.langs) > REMEMBERED:
             self.known, self.rows = {}, self.rows[:0]
         new = list(set(chain.from_iterable(cut)).difference(self.known))
         if new:
@@ -150,17 +157,27 @@ class Tagger:
         return marginal, bounds, marginal.argmax(axis=1) if len(codes) else np.zeros(0, np.int64)
 
     def predict(self, texts: list[str]) -> list[tuple[str, float, int, int]]:
-        marginal, bounds, best = self.label(texts)
-        total = np.r_[np.zeros((1, len(self.langs))), np.cumsum(marginal, axis=0)]
-        sums = total[bounds[1:]] - total[bounds[:-1]]
-        turns = np.r_[0, np.cumsum(np.r_[False, best[1:] != best[:-1]])] if len(best) else np.zeros(1, np.int64)
+        cut = [words_of(t) for t in texts]
+        chains = [(i, ws[at : at + SEGMENT]) for i, ws in enumerate(cut) for at in range(0, len(ws), SEGMENT)]
+        sums, turned, before = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64), np.full(len(texts), -1)
+        at = 0
+        while at < len(chains):
+            to, n = at, 0
+            while to < len(chains) and (to == at or (n + len(chains[to][1])) * len(self.langs) <= CELLS):
+                n += len(chains[to][1])
+                to += 1
+            marginal, bounds, best = self.label_words([ws for _, ws in chains[at:to]])
+            each = np.add.reduceat(marginal, bounds[:-1], axis=0)
+            turns = np.r_[0, np.cumsum(np.r_[False, best[1:] != best[:-1]])]
+            for (i, _), row, a, b in zip(chains[at:to], each, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                sums[i] += row
+                turned[i] += int(turns[b] - turns[a + 1]) + int(before[i] >= 0 and before[i] != best[a])
+                before[i] = best[b - 1]
+            at = to
         out = []
-        for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-            if a == b:
-                out.append(("und", 0.0, 0, 0))
-                continue
+        for i, ws in enumerate(cut):
             k = int(sums[i].argmax())
-            out.append((self.langs[k], float(min(1.0, max(0.0, sums[i, k] / (b - a)))), b - a, int(turns[b] - turns[a + 1])))
+            out.append((self.langs[k], float(min(1.0, max(0.0, sums[i, k] / len(ws)))), len(ws), int(turned[i])) if ws else ("und", 0.0, 0, 0))
         return out
 
 
@@ -182,7 +199,8 @@ def train(rows: list[tuple[str, str]], rounds: int = 30, seed: int = 5) -> Tagge
         (best, n), total = c.most_common(1)[0], sum(c.values())
         if total >= 5 and n >= 0.8 * total:
             lexicon[w] = best
-    features = Features(lexicon)
+    n_features = min(FEATURES, 1 << int(math.log2(max(1, WEIGHTS // k))))
+    features = Features(lexicon, n_features)
     # spliced sequences: spans of 10 to 60 words, each from another document
     rng = random.Random(seed)
     spans = []
@@ -200,20 +218,30 @@ def train(rows: list[tuple[str, str]], rounds: int = 30, seed: int = 5) -> Tagge
     bounds = np.r_[0, np.cumsum([sum(len(ws) for ws, _ in s) for s in sequences])].astype(np.int64)
     flat, ends = features.ragged(list(vocab))
     owner = np.repeat(np.arange(len(vocab)), np.diff(ends))
-    weights, trans = np.zeros((FEATURES, k)), np.zeros((k, k))
+    weights, trans = np.zeros((n_features, k)), np.zeros((k, k))
     inner = np.ones(len(codes), bool)
     inner[bounds[:-1]] = False
     at = np.flatnonzero(inner)
     gold_pairs = np.zeros((k, k))
     np.add.at(gold_pairs, (gold[at - 1], gold[at]), 1)
-    hot = np.eye(k)[gold]
+    # sequences that are looked at together
+    parts, first = [], 0
+    for i in range(1, len(bounds)):
+        if i == len(bounds) - 1 or (bounds[i + 1] - bounds[first]) * k > CELLS:
+            parts.append((first, i))
+            first = i
     moments = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(trans), np.zeros_like(trans)]
     for r in range(1, rounds + 1):
-        emit = np.add.reduceat(weights[flat], ends[:-1], axis=0)[codes]
-        marginal, pairs, _ = forward_backward(emit, bounds, trans)
-        off = hot - marginal
-        by_word = np.stack([np.bincount(codes, off[:, j], len(vocab)) for j in range(k)], axis=1)
-        g_w = np.stack([np.bincount(flat, by_word[owner, j], FEATURES) for j in range(k)], axis=1) - 0.1 * weights
+        by_vocab = np.add.reduceat(weights[flat], ends[:-1], axis=0)
+        by_word, pairs = np.zeros((len(vocab), k)), np.zeros((k, k))
+        for a, b in parts:
+            own = slice(bounds[a], bounds[b])
+            marginal, met, _ = forward_backward(by_vocab[codes[own]], bounds[a : b + 1] - bounds[a], trans)
+            marginal[np.arange(len(marginal)), gold[own]] -= 1
+            for j in range(k):
+                by_word[:, j] -= np.bincount(codes[own], marginal[:, j], len(vocab))
+            pairs += met
+        g_w = np.stack([np.bincount(flat, by_word[owner, j], n_features) for j in range(k)], axis=1) - 0.1 * weights
         g_t = gold_pairs - pairs - 0.1 * trans
         for x, g, m, v in ((weights, g_w, moments[0], moments[1]), (trans, g_t, moments[2], moments[3])):
             m += 0.1 * (g - m)
@@ -227,21 +255,20 @@ def fold(doc_id: str = "doc_id"):
 
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """At most SAMPLE labelled documents a language, outside the held-out fold."""
-    key = free_name(docs, "key")
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 2) & (F.length("text") <= SAMPLE_CHARS))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(500).collect()}
-    if not counts:
-        return []
-    share = F.create_map(*chain.from_iterable((F.lit(g), F.lit(min(1.0, 2.0 * SAMPLE / n))) for g, n in counts.items()))
-    drawn = rows.withColumn(key, F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) / float(1 << 30)).filter(F.col(key) < share[F.col("lang")])
-    few = drawn.select("text", "lang", key, F.col("doc_id")).orderBy(key, "doc_id", "text").limit(3 * SAMPLE * len(counts)).collect()
-    out, taken = [], Counter()
-    for r in few:
-        if taken[r["lang"]] < SAMPLE:
-            taken[r["lang"]] += 1
-            out.append((r["text"], r["lang"]))
-    return out
+    """Labelled texts outside the held-out fold, of every language."""
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), fold().alias("fold"))
+    rows = rows.filter("lang is not null and text is not null and fold <> 2").withColumn("th", F.xxhash64("text"))
+    n = rows.select("lang").distinct().count()
+    each = min(SAMPLE * SAMPLE_CHARS, SAMPLE_CELLS // max(1, n * n))  # characters a language
+    documents = min(SAMPLE, max(1, each // 200))
+    chars = min(SAMPLE_CHARS, max(200, each // documents))
+    # keys are ranked without their texts, and by task first, so a large language isn't gathered
+    key = F.xxhash64(F.lit(3), "id", "th")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(key, "id", "th"))
+    chosen = rows.select("id", "th", "lang").withColumn("rank", rank).filter(F.col("rank") <= documents).select(F.coalesce("id", F.lit("")).alias("of"), "th", "lang").distinct()
+    of = rows.withColumn("of", F.coalesce("id", F.lit("")))
+    found = of.join(chosen, ["of", "th", "lang"], "left_semi").select("lang", F.substring("text", 1, chars).alias("text"), "th", "of").dropDuplicates(["lang", "th", "of"])
+    return [(r["text"], r["lang"]) for r in found.select("text", "lang").collect()]
 
 
 def predict(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
