@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,41 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import discard, shared_dir, written
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. In local mode, where none is set, a new temporary folder is; a cluster must name one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+__all__ = ["FACTORS", "Hashes", "discard", "documents", "free_name", "id_and_text", "mix", "partitions", "shared_dir", "slices", "small_batches", "texts_of", "word_codes", "written"]
 
 
-def written(df: DataFrame, name: str, done: Iterable[DataFrame] = ()) -> DataFrame:
-    """Writes a table to the shared folder and reads it again, which cuts the lineage; then deletes the written tables that are done with."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_path = path
-    discard(*done)
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that written() gave and that no later step reads."""
-    for t in tables:
-        jvm = t.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(t.written_path)
-        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -121,3 +91,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+#: Odd multipliers of polynomial hashes.
+FACTORS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+
+
+class Hashes:
+    """Polynomial hashes modulo 2^64 of any stretch of a sequence of 64-bit numbers."""
+
+    def __init__(self, values: np.ndarray, factor: int):
+        n = len(values)
+        powers = np.cumprod(np.full(n, factor, np.uint64))
+        self.inverse = np.cumprod(np.full(n + 1, pow(factor, -1, 1 << 64), np.uint64))
+        self.total = np.r_[np.zeros(1, np.uint64), np.cumsum(values * powers, dtype=np.uint64)]
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return (self.total[stop] - self.total[start]) * self.inverse[start]
+
+    def grams(self, size: int) -> np.ndarray:
+        return mix((self.total[size:] - self.total[:-size]) * self.inverse[: len(self.total) - size])

@@ -10,9 +10,10 @@ A document stays if the base rules hold (at least MIN_WORDS words, at most BASE_
 them in five-word windows found twice) and repeats of LONG_WORDS words or more cover at most
 LONG_PERCENT per cent of the words and none is longer than MAX_REPEAT words.
 
-Null, empty or blank text: no words, so the base fails. Repeated rows each get the same verdict.
-Extra columns, also those named like a result, are no problem: quality() reads doc_id and text
-only, and keep_good() returns the columns that it got.
+Null, empty or blank text: no words, so the base fails. A long text is measured whole; some 150 bytes a
+word are held for it, however often it repeats itself. A measure that is just at a limit passes. Repeated
+rows each get the same verdict. Extra columns, also those named like a result, are no problem: quality()
+reads doc_id and text only, and keep_good() returns the columns that it got. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, slices, small_batches, word_codes
+from .common import FACTORS, Hashes, id_and_text, mix, slices, small_batches, word_codes
 
 WINDOW, MIN_WORDS, BASE_PERCENT = 5, 10, 20
 LONG_WORDS, LONG_PERCENT, MAX_REPEAT = 20, 15, 200
@@ -48,7 +49,7 @@ def repeats(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     single = fresh & np.r_[fresh[1:], True]
     open_ = order[~single]  # suffixes whose place isn't settled, in the order of their ranks
-    levels, step = [rank.copy()], 1
+    rounds, step = 0, 1
     while len(open_):
         ahead = open_ + step
         second = np.where(ahead < end[open_], rank[np.minimum(ahead, n - 1)], -1)
@@ -60,21 +61,29 @@ def repeats(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         at = np.arange(len(open_))
         rank[open_] = first + np.maximum.accumulate(np.where(sub, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
         open_ = open_[~(sub & np.r_[sub[1:], True])]
-        levels.append(rank.copy())
-        step *= 2
-    if len(levels) < 3:
+        rounds, step = rounds + 1, step * 2
+    if rounds < 2:
         return longest
     suffixes = np.empty(n, np.int64)
     suffixes[rank] = np.arange(n)
-    a, b = suffixes[:-1], suffixes[1:]
-    near = levels[2][a] == levels[2][b]  # four words in common at least
-    a, b = a[near], b[near]
+    # prefixes in common of neighbours, by powers of two: 128-bit hashes take the place of the ranks of all rounds
+    symbol = codes.astype(np.uint64)
+    hashes = [Hashes(mix(symbol + np.uint64(7 * i + 3)), f) for i, f in enumerate(FACTORS)]
+
+    def same(x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+        inside = (x + size <= end[x_of]) & (y + size <= end[y_of])
+        x, y = np.minimum(x, n - size), np.minimum(y, n - size)
+        return inside & (hashes[0].of(x, x + size) == hashes[0].of(y, y + size)) & (hashes[1].of(x, x + size) == hashes[1].of(y, y + size))
+
+    x_of, y_of = suffixes[:-1], suffixes[1:]
+    if n < WINDOW - 1:
+        return longest
+    near = (owner[x_of] == owner[y_of]) & same(x_of, y_of, WINDOW - 1)
+    a, b = x_of, y_of = x_of[near], y_of[near]
     common = np.zeros(len(a), np.int64)
-    for k in range(len(levels) - 2, -1, -1):
-        pa_, pb = a + common, b + common
-        inside = (pa_ < end[a]) & (pb < end[b])
-        same = inside & (levels[k][np.minimum(pa_, n - 1)] == levels[k][np.minimum(pb, n - 1)])
-        common += same * (1 << k)
+    for k in range(rounds, -1, -1):
+        if 1 << k <= n:
+            common += same(a + common, b + common, 1 << k) * (1 << k)
     np.maximum.at(longest, a, common)
     np.maximum.at(longest, b, common)
     return longest

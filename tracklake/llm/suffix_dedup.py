@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, mix, partitions, slices, small_batches, written
+from .common import FACTORS, Hashes, free_name, mix, partitions, slices, small_batches, written
 
 #: Bytes that make a string long; of a passage of some 50 words, which has 310 bytes on average and 240 nearly always.
 LENGTH, PASSAGE = 400, 240
@@ -47,28 +47,11 @@ PIECE = 1 << 20
 #: Contexts that are indexed together, at least one group.
 BLOCK = 12_000
 LOWEST = -(2**63)
-FACTOR, FACTOR_2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 BYTES_2 = mix(np.arange(1001, 1257, dtype=np.uint64))
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long"
 
 
-class Hashes:
-    """Polynomial hashes modulo 2^64 of any stretch of some bytes."""
-
-    def __init__(self, flat: np.ndarray, table: np.ndarray = BYTES, factor: int = FACTOR):
-        n = len(flat)
-        powers = np.cumprod(np.full(n, factor, np.uint64))
-        self.inverse = np.cumprod(np.full(n + 1, pow(factor, -1, 1 << 64), np.uint64))
-        self.total = np.r_[np.zeros(1, np.uint64), np.cumsum(table[flat] * powers, dtype=np.uint64)]
-
-    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return (self.total[stop] - self.total[start]) * self.inverse[start]
-
-    def grams(self, size: int) -> np.ndarray:
-        return mix((self.total[size:] - self.total[:-size]) * self.inverse[: len(self.total) - size])
-
-
 def anchors(flat: np.ndarray, bounds: np.ndarray, first: np.ndarray, last: np.ndarray, lengths: tuple[int, ...] = (LENGTH,)) -> tuple[np.ndarray, ...]:
     """Anchors of the pieces between bounds: place, piece, hash, two hashes of the context, its bytes before and from the place.
 
@@ -78,7 +61,7 @@ def anchors(flat: np.ndarray, bounds: np.ndarray, first: np.ndarray, last: np.nd
     none = np.zeros(0, np.int64)
     if n < shortest:
         return none, none, *(none.astype(np.uint64) for _ in range(3)), none, none
-    hashes = Hashes(flat)
+    hashes = Hashes(BYTES[flat], FACTORS[0])
     grams = hashes.grams(GRAM)
     key = (grams >> np.uint64(28) << np.uint64(28)) | np.arange(len(grams), dtype=np.uint64)
     width = shortest - GRAM + 1
@@ -97,7 +80,7 @@ def anchors(flat: np.ndarray, bounds: np.ndarray, first: np.ndarray, last: np.nd
     left, right = np.minimum(shortest - GRAM, at - bounds[own]), np.minimum(longest, bounds[own + 1] - at)
     shape = mix((left << 20 | right).astype(np.uint64))
     one = mix(hashes.of(at - left, at + right) + shape)
-    two = mix(Hashes(flat, BYTES_2, FACTOR_2).of(at - left, at + right) + shape)
+    two = mix(Hashes(BYTES_2[flat], FACTORS[1]).of(at - left, at + right) + shape)
     return at, own, grams[at], one, two, left, right
 
 
