@@ -11,9 +11,10 @@ way, by equal parts of the fraction, which are about equally full: a source of n
 part's length in each part, give or take one row, and u spreads small sources over all parts. Only a hash, a size
 and a checksum of each row travel, never its text.
 
-Law `rows`: shards differ by one row at most. Null text has 0 bytes and the checksum of no bytes; a
-null source is a source of its own; rows that are equal in all of doc_id, source and text are
-interchangeable. Extra columns are ignored. An empty table gives no rows.
+Law `rows`: shards differ by one row at most. Null or empty text has 0 bytes and the checksum of no bytes;
+a long text counts whole. A null source is a source of its own; of equal fractions the source's name and the
+rank decide, and repeated rows, equal in all of doc_id, source and text, are interchangeable and share a part.
+Extra columns, whatever their names, are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .common import written
 
 #: A row's share besides its text.
 OVERHEAD = 8
+#: Rows that are ranked together.
+PART = 1 << 16
 
 
 def _ranked(df: DataFrame, group: list[str], part: str, order: list[Column], out: str, total: str) -> DataFrame:
@@ -36,8 +39,8 @@ def _ranked(df: DataFrame, group: list[str], part: str, order: list[Column], out
     return df.withColumn("__within", within).join(sizes, [*group, part]).withColumn(out, F.col("__within") + F.col("__before")).drop("__within", "__before")
 
 
-def shards(docs: DataFrame, n_shards: int = 24, seed: int = 17, parts: int = 1024) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row. parts: into how many a source, and the whole order, is split to be ranked."""
+def shards(docs: DataFrame, n_shards: int = 24, seed: int = 17, parts: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row. parts: into how many a source, and the whole order, is split to be ranked (default: so many that one has some PART rows)."""
     utf8 = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -46,8 +49,9 @@ def shards(docs: DataFrame, n_shards: int = 24, seed: int = 17, parts: int = 102
         F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("stratum"),
     )
     rows = rows.withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"))
-    rows = rows.withColumn("__part", F.pmod(F.shiftright("__h", 20), F.lit(parts)).cast("int"))
     rows = written(rows, "shards")  # the texts are read once; what follows are a few numbers a row
+    parts = parts or max(1024, 1 << (rows.count() // PART).bit_length())
+    rows = rows.withColumn("__part", F.pmod(F.shiftright("__h", 20), F.lit(parts)).cast("int"))
     rows = _ranked(rows, ["stratum"], "__part", [F.col("__h"), F.col("doc_id"), F.col("text_crc32"), F.col("size")], "__rank", "__n")
     u = (F.pmod(F.xxhash64(F.lit(seed), "stratum"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     rows = rows.withColumn("__f", (F.col("__rank") - u) / F.col("__n")).drop("__part", "__h", "__n")
