@@ -10,8 +10,10 @@ ranges whose bounds are quantiles of doc_id, and the first document of each rang
 the range before, the first of all to the last.
 
 Null text counts as empty: the digest of no bytes. A null doc_id comes before all others; equal
-doc_ids are ordered by text, and the next document after any of them is the next row. One document
-alone is its own next. Extra columns are ignored.
+doc_ids are ordered by text, and the next document after any of them is the next row; so rows of one
+doc_id (all null ones, say) stay in one range. Of repeated rows each is the next one of another. One
+document alone is its own next. Equal counts of buckets are in one quartile. A long text is digested
+whole. Extra columns, whatever their names, are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations

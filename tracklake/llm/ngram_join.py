@@ -25,10 +25,11 @@ out; the rest is compared exactly.
 
 Equal sets (128-bit sums of their elements' hashes) are one class and are signed and verified once.
 
-Null or blank text: the empty set, linked with nothing; its component is its own doc_id. Rows with
-a null doc_id take part; their component is the least non-null doc_id reachable, else null. Repeated
-rows are members of the same class. Extra columns are ignored by near_duplicates() and kept by
-keep_one(). An empty table gives no rows.
+Null, empty or blank text: the empty set, linked with nothing; its component is its own doc_id. Rows with
+a null doc_id take part; their component is the least non-null doc_id reachable, else null. A long text's
+set is whole, in a band of its own size. A pair of just 75 per cent is linked. Repeated rows are members of
+the same class; of rows of a group that share the least doc_id, keep_one() keeps any one. Extra columns,
+whatever their names, are ignored by near_duplicates() and kept by keep_one(). An empty table gives no rows.
 """
 
 from __future__ import annotations

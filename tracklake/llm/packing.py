@@ -7,8 +7,9 @@ the lowest-cost sequence with room. What fits nowhere whole is cut over the sequ
 room. The tokens of a window that don't fill a sequence end in sequences of power-of-two lengths,
 which need no padding.
 
-Null or empty text: the end id alone. Repeated rows and equal doc_ids are packed one by one; a null
-doc_id stays null. Extra columns are ignored. An empty table gives no rows.
+Null or empty text: the end id alone. A long text is encoded whole. Documents of equal lengths are taken
+in their order, sequences of equal costs by their number. Repeated rows and equal doc_ids are packed one by
+one; a null doc_id stays null. Extra columns, whatever their names, are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations

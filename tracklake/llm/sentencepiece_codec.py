@@ -12,7 +12,9 @@ ranks isn't a likelihood, so `zipf` (default) takes the log of a Zipf law over r
 `file` takes the file's own scores.
 
 Null or empty text: no pieces, decoded as the empty text. A text's own markers decode as spaces.
-Repeated rows and equal doc_ids each give their own row; extra columns are ignored.
+A long text is encoded whole; a unit is as long as a text without a space. Of paths of equal scores the one
+with the longer last piece is kept. Repeated rows and equal doc_ids each give their own row; extra columns,
+whatever their names, are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations

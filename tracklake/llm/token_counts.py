@@ -5,8 +5,9 @@ round every sequence finds its lowest-rank adjacent pair and merges all its occu
 sequences at once; sequences without a pair that has a rank are done, and the symbols that
 survive are counted. Distinct pre-tokens are merged once and kept in a bounded table per worker.
 
-Null or empty text: 0 bytes, 0 tokens. Repeated rows and equal doc_ids each give their own row; a
-null doc_id stays null. Extra columns are ignored.
+Null or empty text: 0 bytes, 0 tokens. A long text is cut into pre-tokens whole, and no pre-token is cut;
+of equal ranks the leftmost pair is merged first. Repeated rows and equal doc_ids each give their own row;
+a null doc_id stays null. Extra columns, whatever their names, are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
