@@ -271,6 +271,26 @@ def sort_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.select(*KEYS, "frame", "emit_idx", "track_id", *(F.round(c, 3).alias(c) for c in boxes.CORNERS), r6("score").alias("score"))
 
 
+#: One box a sequence: the filter's axes are independent, each with a place, a speed and three numbers of doubt.
+STEADY = """det as (select video, clip, gt_id, frame, x1+(frame*gt_id) % 5 x1, y1+(frame*gt_id) % 3 y1 from gt where frame < 60 and (frame*7+gt_id) % 5 <> 0),
+ span as (select video, clip, gt_id, min(frame) a, max(frame) b from det group by all),
+ r as (select d.video, d.clip, d.gt_id, d.frame, true hit, x1+20.0::double u, y1+15.0::double v, 0.0::double du, 0.0::double dv, 10.0::double p, 0.0::double c, 10000.0::double q from det d join span s on s.gt_id=d.gt_id and d.frame=s.a
+  union all select video, clip, gt_id, frame, hit, case when hit then u+p/(p+1)*(zu-u) else u end, case when hit then v+p/(p+1)*(zv-v) else v end, case when hit then du+c/(p+1)*(zu-u) else du end, case when hit then dv+c/(p+1)*(zv-v) else dv end,
+   case when hit then p/(p+1) else p end, case when hit then c/(p+1) else c end, case when hit then q-c*c/(p+1) else q end
+  from (select r.video, r.clip, r.gt_id, r.frame+1 frame, d.x1 is not null hit, r.u+r.du u, r.v+r.dv v, r.du, r.dv, r.p+2*r.c+r.q+1 p, r.c+r.q c, r.q+0.01 q, d.x1+20 zu, d.y1+15 zv
+   from r join span s on s.gt_id=r.gt_id left join det d on d.gt_id=r.gt_id and d.frame=r.frame+1 where r.frame < s.b))"""
+
+
+@query(sql("gt").replace("with ", "with recursive ", 1) + f", {STEADY} select video, clip, gt_id, frame, cast(1 as bigint) track_id, round(u-20,3) x1, round(v-15,3) y1, round(u+20,3) x2, round(v+15,3) y2 from r where hit")
+def sort_tracks_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sequence for each animal, with a gap every fifth frame: the filter alone, as nothing competes."""
+    g = fixtures.truth(spark, sf_dir).filter("frame < 60 and (frame * 7 + gt_id) % 5 <> 0")
+    dx, dy = F.col("frame") * F.col("gt_id") % 5, F.col("frame") * F.col("gt_id") % 3
+    found = g.withColumns({"x1": F.col("x1") + dx, "x2": F.col("x2") + dx, "y1": F.col("y1") + dy, "y2": F.col("y2") + dy, "score": F.lit(1.0), "det_idx": F.lit(0)})
+    tracks = tracker.track(found, [*KEYS, "gt_id"])
+    return tracks.select(*KEYS, "gt_id", "frame", "track_id", *(F.round(c, 3).alias(c) for c in boxes.CORNERS))
+
+
 # annotations
 
 
@@ -613,11 +633,31 @@ def parameters_by_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.stored_parameters(paths, runs).select("path", "run", F.try_element_at("params", F.lit("cli_args/name")).alias("name"))
 
 
+@query(sql("base") + ", n as (select gt_id, frame, row_number() over (partition by gt_id order by frame)-1 r, greatest(1, count(*) over (partition by gt_id)//10) s from base) select gt_id, frame from n where r % s = 0 and r < s*10")
+def initial_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.initial_samples(fixtures.base(spark, sf_dir), ["gt_id"], 10).select("gt_id", "frame")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fixtures.table(spark, sf_dir, "embeddings")
+    vector = next(c for c, t in e.dtypes if t.startswith("array"))
+    return e.select(F.col(e.columns[0]).alias("frame"), F.col(vector).alias("features"))
+
+
+@query("""with v as (select vec_id frame, label % 2 side, unnest(cast(embedding as double[])) x, generate_subscripts(embedding, 1) i from embeddings), m as (select side, i, avg(x) c from v group by side, i),
+ d as (select frame, side, sum((x-c)*(x-c)) d from v join m using (side, i) group by frame, side), n as (select *, row_number() over (partition by side order by d, frame) r from d) select frame, side, round(d,5) distance from n where r <= 5""")
+def frames_of_two_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two groups of vectors a thousand apart, with all components kept: the clusters, and so the rows nearest to their centres, are known."""
+    e = fixtures.table(spark, sf_dir, "embeddings").withColumn("side", F.col("label") % 2)
+    far = F.concat(F.array((1000.0 * F.col("side")).cast("double")), F.col("embedding").cast("array<double>"))
+    v = e.select(F.col("vec_id").alias("frame"), "side", far.alias("features"))
+    chosen = sampling.diverse(v, "features", n_components=len(v.first()["features"]), n_clusters=2)
+    return chosen.select("frame", "side", F.round("distance", 5).alias("distance"))
+
+
 @query()
 def frames_to_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fixtures.table(spark, sf_dir, "embeddings")
-    key, vector = e.columns[0], next(c for c, t in e.dtypes if t.startswith("array"))
-    chosen = sampling.diverse(e.select(F.col(key).alias("frame"), F.col(vector).alias("features")), "features")
+    chosen = sampling.diverse(_vectors(spark, sf_dir), "features")
     return chosen.select("frame", "cluster", r6("distance").alias("distance"))
 
 
