@@ -37,16 +37,21 @@ from .common import slices, small_batches, texts_of
 
 SAMPLE, SAMPLE_CHARS, SAMPLE_CELLS = 120, 12_000, 96_000_000
 FEATURES, WEIGHTS = 1 << 16, 1 << 23
+#: Sampled keys are looked up by a broadcast of up to so many bytes, or by a shuffle.
+BROADCAST_BYTES = 32 << 20
 #: Words of a chain; words times languages that are looked at together; words times languages that a worker remembers.
 SEGMENT, CELLS, REMEMBERED = 4096, 1 << 20, 1_200_000
-#: Word characters that are numbers without being decimal digits.
-NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{re.escape(NUMBERS)}]+")
+WORD = re.compile(r"[^\W\d_]+")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long"
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs of letters, in lower case."""
+    words = WORD.findall(text.lower())
+    if "".join(words).isalpha() or not words:
+        return words
+    # word characters that are numbers without being decimal digits, as ² and ½
+    return "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
 
 
 def forward_backward(emit: np.ndarray, bounds: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -266,6 +271,8 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
     key = F.xxhash64(F.lit(3), "id", "th")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(key, "id", "th"))
     chosen = rows.select("id", "th", "lang").withColumn("rank", rank).filter(F.col("rank") <= documents).select(F.coalesce("id", F.lit("")).alias("of"), "th", "lang").distinct()
+    # `documents` rows a language, an id and two more columns each
+    chosen = F.broadcast(chosen) if n * documents * 200 <= BROADCAST_BYTES else chosen
     of = rows.withColumn("of", F.coalesce("id", F.lit("")))
     found = of.join(chosen, ["of", "th", "lang"], "left_semi").select("lang", F.substring("text", 1, chars).alias("text"), "th", "of").dropDuplicates(["lang", "th", "of"])
     return [(r["text"], r["lang"]) for r in found.select("text", "lang").collect()]
