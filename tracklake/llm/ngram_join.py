@@ -388,8 +388,11 @@ def _first_seed(rows: DataFrame, buckets: int, seed: int) -> DataFrame:
     return written(sent.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(_met, FOUND), "met")
 
 
-def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every row (doc_id, th, n, cls), and the label (least doc_id, by class) of classes linked with another."""
+def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row (doc_id, th, n, cls); the least doc_id of each class; label and component_id of classes linked with another.
+
+    The last two are tables of a row for each class, so a join of all rows with them can split a hot class.
+    """
     spark = docs.sparkSession
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("th"))
     seed = 11
@@ -400,7 +403,11 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         seed += 1  # a set has too few non-empty segments (odds of 1e-14 each): split the universe anew
     cls = F.concat(F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0"))
     every = met.filter("n is not null").select("doc_id", "th", "n", F.when(F.col("n") > 0, cls).alias("cls"), "hi", "own", "need", "need_next")
-    nodes = every.filter("n > 0").groupBy("hi").agg(F.max("own").alias("own"), F.min("need").alias("need"), F.min("need_next").alias("need_next"), F.min("n").alias("n"))
+    # equal sets are one row from here on, added up in each task before they travel
+    home = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    classes = every.filter("n > 0").groupBy("hi", "cls").agg(*(F.min(c).alias(c) for c in ("own", "need", "need_next", "n")), F.min("doc_id").alias("least"), F.min(home).alias("home"))
+    classes = written(classes, "classes")
+    nodes = classes.groupBy("hi").agg(F.max("own").alias("own"), F.min("need").alias("need"), F.min("need_next").alias("need_next"), F.min("n").alias("n"))
     groups = met.filter("gid is not null").groupBy("gid", "band", "node").agg(F.sum("weight").alias("weight"))
     groups = groups.join(nodes.withColumnRenamed("hi", "node"), "node").withColumn("is_own", F.col("band") == F.col("own"))
     groups = groups.withColumn("need", F.when(F.col("is_own"), F.col("need")).otherwise(F.col("need_next"))).drop("need_next", "own")
@@ -425,7 +432,7 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # the candidates' texts are read again for their sets: by a broadcast of few ids, or by a join
     wanted = groups.select(F.col("node").alias("hi")).distinct()
-    homes = written(every.filter("n > 0").join(wanted, "hi", "left_semi").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("home")).select("home.doc_id", "home.th", "cls"), "homes")
+    homes = written(classes.join(wanted, "hi", "left_semi").select("home.doc_id", "home.th"), "homes")
     few = homes.select("doc_id", "th").distinct()
     few = F.broadcast(few) if few.count() * HOME_BYTES <= BROADCAST_BYTES else few
     at_home = rows.alias("r").join(few.alias("f"), F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & F.col("r.th").eqNullSafe(F.col("f.th")), "left_semi").select("text")
@@ -458,23 +465,23 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     last = written(_verified(across, sets), "links")
     edges = links.union(last).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
     linked = components(edges).withColumnRenamed("node", "cls")
-    least = every.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    ids = linked.join(least, "cls").groupBy("label").agg(F.min("least").alias("component_id"))
-    return every.select("doc_id", "th", "n", "cls"), linked.join(ids, "label").select("cls", "label", "component_id")
+    linked = linked.join(classes.select("cls", "least"), "cls")
+    ids = linked.groupBy("label").agg(F.min("least").alias("component_id"))
+    linked = written(linked.join(ids, "label").select("cls", "label", "component_id"), "linked")
+    return every.select("doc_id", "th", "n", "cls"), classes.select("cls", "least"), linked
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, and class (a set's hash; null for the empty set) of each row."""
-    every, linked = classes_of(docs)
-    alone = every.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    ids = alone.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "least").alias("component_id"))
+    every, alone, linked = classes_of(docs)
+    ids = written(alone.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "least").alias("component_id")), "ids")
     out = every.join(ids, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cls").alias("class"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, with one document of each group of linked ones (the least doc_id) and all empty ones."""
-    every, linked = classes_of(docs)
+    every, _, linked = classes_of(docs)
     group = every.join(linked.select("cls", "label"), "cls", "left").withColumn("group", F.coalesce("label", "cls"))
     first = group.filter("n > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("home")).select("home.doc_id", "home.th", F.lit(True).alias("once"))
     empty = every.filter("n = 0").select("doc_id", "th", F.lit(False).alias("once")).distinct()
