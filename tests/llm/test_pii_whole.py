@@ -2,33 +2,30 @@
 
 import re
 
-import pytest
-
 from .test_pii import luhn, texts
 
 LONG = "".join("aB3dE6gH9k"[i % 10] for i in range(365))
 
-
-@pytest.mark.parametrize(
-    "row,originals",
-    [
-        (f'token = "{LONG}" end', [LONG[i : i + 20] for i in range(0, 340, 20)]),
-        ("token=" + "x7" * 20_000, ["x7x7x7"]),
-        ("secret: eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4.", ["eyJhbGciOiJIUzI1", "eyJzdWIiOiIxMjM0", "SflKxwRJSMeKKF2QT4"]),
-        ("Password: correcthorse7 x", ["correcthorse7"]),
-        ("password=p@ss.word1!x y", ["p@ss", "word1"]),
-        ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMIK7MDENGbPxRfi", ["wJalrX", "MDENG"]),
-        ("Api-Key: abcdefgh12345", ["abcdefgh", "12345"]),
-        ("Mrs Anna Maria Luise Schmidt left", ["Anna", "Maria", "Luise", "Schmidt"]),
-        ("ip 2001:db8::8a2e:370:7334 and fe80::1ff.", ["2001:db8", "8a2e", "7334", "fe80", "1ff"]),
-        ("card 3782 822463 10005", ["3782 822463", "822463", "10005"]),
-        ("call 555 123 4567 or 020 7946 0958 now", ["123 4567", "555 123", "7946", "0958"]),
-        ("call +33 1 23 45 67 89 or +44 (0)20 7946 0958 now", ["23 45 67 89", "7946", "0958"]),
-    ],
-)
-def test_no_part_of_an_original_is_left(spark, row, originals):
-    _, out = texts(spark, [row])
-    assert not [x for x in originals if x in out[0]]
+LEFT = [
+    (f'token = "{LONG}" end', [LONG[i : i + 20] for i in range(0, 340, 20)]),
+    ("token=" + "x7" * 20_000, ["x7x7x7"]),
+    ("secret: eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4.", ["eyJhbGciOiJIUzI1", "eyJzdWIiOiIxMjM0", "SflKxwRJSMeKKF2QT4"]),
+    ("Password: correcthorse7 x", ["correcthorse7"]),
+    ("password=p@ss.word1!x y", ["p@ss", "word1"]),
+    ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMIK7MDENGbPxRfi", ["wJalrX", "MDENG"]),
+    ("Api-Key: abcdefgh12345", ["abcdefgh", "12345"]),
+    ("Mrs Anna Maria Luise Schmidt left", ["Anna", "Maria", "Luise", "Schmidt"]),
+    ("ip 2001:db8::8a2e:370:7334 and fe80::1ff.", ["2001:db8", "8a2e", "7334", "fe80", "1ff"]),
+    ("card 3782 822463 10005", ["3782 822463", "822463", "10005"]),
+    ("call 555 123 4567 or 020 7946 0958 now", ["123 4567", "555 123", "7946", "0958"]),
+    ("call +33 1 23 45 67 89 or +44 (0)20 7946 0958 now", ["23 45 67 89", "7946", "0958"]),
+]
+
+
+def test_no_part_of_an_original_is_left(spark):
+    _, out = texts(spark, [row for row, _ in LEFT])
+    for i, (_, originals) in enumerate(LEFT):
+        assert not [x for x in originals if x in out[i]], out[i][:200]
 
 
 def test_mentions_agree_in_every_form(spark):

@@ -98,12 +98,21 @@ PHONE = (
 # secrets first: a value may hold what looks like another entity
 # look-aheads keep most places from trying each of several patterns
 PATTERN = "|".join([SECRET, EMAIL, NAME, rf"(?=[0-9A-Fa-f]{{1,4}}[:-])(?:{MAC}|{IPV6})", IBAN, rf"(?=[0-9+(])(?:{IPV4}|{SSN}|{CARD}|{PHONE})"])
-#: What a text with an entity has, and one with a name in front of its form of address.
+#: What a text with a name in front of its form of address has; and what one with another entity has, by what is in ASCII, in any text, in any case.
 HINT_BEHIND = rf"\p{{IsHan}}(?:{MALE_BEHIND}|{FEMALE_BEHIND})|[\p{{IsHan}}\p{{IsKatakana}}ー](?:さん|様)|\p{{IsHangul}} ?(?:씨|님)"
-HINT = rf"[0-9@]|(?i:token|secret|passw|key)|AKIA|gh[pousr]_|sk-|[A-Fa-f]:[A-Fa-f]|[A-Fa-f]-[A-Fa-f]{{2}}-|(?:{MALE}|{FEMALE}|{MALE_UNCASED}|{FEMALE_UNCASED})\.? |{HINT_BEHIND}"
+ADDRESSED = f"{MALE}|{FEMALE}|{MALE_UNCASED}|{FEMALE_UNCASED}"
+HINT = rf"[0-9@]|:(?=[A-Fa-f])(?<=[A-Fa-f]:)|-(?=[A-Fa-f]{{2}}-)(?<=[A-Fa-f]-)|AKIA|gh[pousr]_|sk-|(?=[MHSF])(?<![\p{{L}}\p{{N}}])(?:{ADDRESSED})\.? "
+OTHER = [t for t in ADDRESSED.split("|") if not t.isascii() and not "A" <= t[0] <= "Z"]
+HINT_OTHER = rf"(?=[{''.join(sorted({t[0] for t in [*OTHER, *BEHIND.split('|')]}))}])(?:(?:{'|'.join(OTHER)})\.? |(?:{BEHIND}))"
+HINT_WORDS = "(?=[tTsSpPkK])(?i:token|secret|passw|key)"
 PATTERN_BEHIND = f"{PATTERN}|{NAME_BEHIND}"
 
 
+def hinted(text: Column) -> Column:
+    """Whether a text may have an entity; most have none and are looked through once, by cheap tests."""
+    return text.rlike(HINT) | text.rlike(HINT_WORDS) | ((F.octet_length(text) > F.length(text)) & text.rlike(HINT_OTHER))
+
+
 def lit(text: str) -> Column:
     return F.lit(text)
 
@@ -146,7 +155,9 @@ def keys(m: Column, type_: Column) -> Column:
 
     low = F.lower(m)
     words = F.split(F.regexp_replace(m, r"^\S+ ", ""), " ")
-    gender = F.when(m.rlike(rf"^(?:(?:{FEMALE})\.?|{FEMALE_UNCASED}) |(?:{FEMALE_BEHIND})$"), "f").when(m.rlike(r"(?:さん|様|씨|님)$"), "n").otherwise("m")
+    # of a mention's ends only, as this is asked for each word of it
+    head, tail = F.substring(m, F.lit(1), F.lit(14)), F.right(m, F.lit(2))
+    gender = F.when(head.rlike(rf"^(?:(?:{FEMALE})\.?|{FEMALE_UNCASED}) ") | tail.rlike(f"(?:{FEMALE_BEHIND})$"), "f").when(tail.rlike("(?:さん|様|씨|님)$"), "n").otherwise("m")
     of_given = F.concat(lit("given_"), gender)
     surname = key("surname", F.lower(F.element_at(words, -1)))
     given = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w: key(of_given, F.lower(w)))
@@ -244,27 +255,25 @@ def name(type_: Column, key: Column, attempt: Column, hexes: Column) -> Column:
 
 
 def surrogate(type_: Column, key: Column, attempt: Column, hexes: Column) -> Column:
-    hexadecimal = type_.isin("mac", "ipv6") | key.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+    last = F.length(F.substring_index(key, ".", -1)) + 1  # a domain's top level stays
+    body, top = F.substring(key, F.lit(1), F.length(key) - last), F.substring(key, F.length(key) - last + 1, last)
+    hexadecimal = type_.isin("mac", "ipv6") | (key.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") & ~type_.isin("email", "domain"))
     prefix = F.length(F.regexp_extract(key, "^(AKIA|gh[pousr]_|sk-)", 1))
     wide, widest = attempt >= WIDER, attempt >= WIDEST
     fixed = F.when(((type_ == "phone") & ~wide) | (type_ == "card"), 1).when(type_ == "iban", 2).when(type_ == "secret", prefix).otherwise(0)
-    plain = shaped(key, hexes, fixed, hexadecimal)
+    plain = shaped(F.when(type_ == "email", F.substring_index(key, "@", 1)).when(type_ == "domain", body).otherwise(key), hexes, fixed, hexadecimal)
     card = F.substring(plain, F.lit(1), F.length(plain) - 1)
     valid = F.concat(card, ((10 - checksum(F.concat(card, lit("0"))) % 10) % 10).cast("string"))
     octets = F.concat_ws(".", *((drawn(hexes, i) % 199 + 11 if i == 1 else drawn(hexes, i) % 254 + 1).cast("string") for i in range(1, 5)))
     extra = F.transform(F.sequence(F.lit(1), F.greatest(attempt - WIDER + 1, F.lit(1))), lambda i: drawn(hexes, i + 42))
     letters = F.when(wide, F.array_join(F.transform(extra, lambda r: pick(LOWER, r)), "")).otherwise("")
     figures = F.array_join(F.transform(extra, lambda r: (r % 10).cast("string")), "")
-    local = F.substring_index(key, "@", 1)
-    last = F.length(F.substring_index(key, ".", -1)) + 1  # the top-level domain stays
-    body = F.substring(key, F.lit(1), F.length(key) - last)
-    domain = F.concat(shaped(body, hexes, F.lit(0), F.lit(False)), letters, F.substring(key, F.length(key) - last + 1, last))
     longer = (wide & ((type_ == "secret") | ((type_ == "phone") & (F.length(key) < 10)))) | widest & type_.isin("phone", "card", "ssn", "iban", "ipv4", "ipv6", "mac")
     core = (
         F.when(type_.startswith("given_") | (type_ == "surname"), name(type_, key, attempt, hexes))
         .when(type_ == "ipv4", octets)
-        .when(type_ == "email", F.concat(shaped(local, hexes, F.lit(0), F.lit(False)), letters))
-        .when(type_ == "domain", domain)
+        .when(type_ == "email", F.concat(plain, letters))
+        .when(type_ == "domain", F.concat(plain, letters, top))
         .when((type_ == "card") & (checksum(key) % 10 == 0), valid)
         .otherwise(plain)
     )
@@ -329,7 +338,7 @@ def in_format(m: Column, cores: Column, type_: Column) -> Column:
 def mentions(docs: DataFrame) -> DataFrame:
     """kid, th, pos, mention, type: every entity of each distinct document, in order."""
     text = F.col("text").cast("string")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("kid"), F.xxhash64(text).alias("th"), text.alias("text")).filter(F.col("text").rlike(HINT))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("kid"), F.xxhash64(text).alias("th"), text.alias("text")).filter(hinted(F.col("text")))
     each = F.when(F.col("text").rlike(HINT_BEHIND), F.regexp_extract_all("text", lit(PATTERN_BEHIND), F.lit(0))).otherwise(F.regexp_extract_all("text", lit(PATTERN), F.lit(0)))
     found = rows.select("kid", "th", F.posexplode(each).alias("pos", "mention"))
     return found.withColumn("type", kind(F.col("mention")))
