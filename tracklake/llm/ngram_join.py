@@ -207,7 +207,7 @@ def _signed(buckets: int, seed: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         done: set[int] = set()
-        n_held = 0
+        n_held, turn = 0, 0  # a document's own row is only passed on, so it may go to any bucket
 
         def blocks() -> pa.RecordBatch:
             sig, node = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
@@ -242,11 +242,12 @@ def _signed(buckets: int, seed: int):
             n, k = np.diff(bounds), len(hi)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array((hi % np.uint64(buckets)).astype(np.int32)), batch.column("doc_id"), batch.column("th"), pa.array(n), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)),
+                    pa.array(((turn + np.arange(k)) % buckets).astype(np.int32)), batch.column("doc_id"), batch.column("th"), pa.array(n), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)),
                     pa.array(own.astype(np.int32)), pa.array(need[0]), pa.array(need[1]), pa.array(short), *(pa.nulls(k, pa.binary()) for _ in range(3)),
                 ],
                 names=[x.split()[0] for x in SENT.split(", ")],
             )
+            turn += k
             if n_held >= GATHERED:
                 yield blocks()
                 held, n_held = [], 0
