@@ -138,13 +138,13 @@ def combined_project(projects: DataFrame, default_dir: str | None = None, projec
 def coco_rows(pictures: DataFrame, order: list[str], category: str = "animal") -> tuple[DataFrame, DataFrame, DataFrame]:
     """COCO images, annotations and categories of images(filename, regions): ids from 1 in order, size 0 by 0, area of the box.
 
-    order tells images apart. Only it and the number of regions are sorted; a box's id is the number of
-    regions of the images before, and its place in its own.
+    order tells images apart. Only it, the name and the number of regions are sorted; a box's id is the
+    number of regions of the images before, and its place in its own.
     """
-    keys = pictures.select(*order, F.size("regions").alias("__n"))
+    keys = pictures.select(*order, *(["filename"] if "filename" not in order else []), F.size("regions").alias("__n"))
     numbered = with_row_number(keys, order, "id", weight="__n")
-    with_ids = pictures.join(numbered, order)
-    image = with_ids.select("id", F.lit(0).alias("width"), F.lit(0).alias("height"), F.col("filename").alias("file_name"))
+    image = numbered.select("id", F.lit(0).alias("width"), F.lit(0).alias("height"), F.col("filename").alias("file_name"))
+    with_ids = pictures.select(*order, "regions").join(numbered.select(*order, "id", "__n_before"), order)
     boxes = with_ids.select(F.col("id").alias("image_id"), "__n_before", F.posexplode("regions").alias("pos", "r"))
     boxes = boxes.select((F.col("__n_before") + F.col("pos") + 1).alias("id"), "image_id", F.col("r.shape_attributes").alias("s"))
     annotation = boxes.select("id", "image_id", F.lit(1).alias("category_id"), F.array("s.x", "s.y", "s.width", "s.height").alias("bbox"), (F.col("s.width") * F.col("s.height")).alias("area"), F.lit(0).alias("iscrowd"))
