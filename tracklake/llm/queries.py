@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, ngram_join, packing, pii, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts
+from . import bit_planes, fingerprints, language_id, ngram_join, packing, pii, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts
 from .common import documents
 
 
@@ -51,8 +51,25 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.surrogate_report(documents(spark, sf_dir))
 
 
+def op11_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_planes.id_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_packing, op4_token_counts, op5_fingerprints, op6_sentencepiece, op7_suffix_dedup, op8_language_id, op9_sharding, op10_pii_surrogates)
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard,
+        op2_quality_rules,
+        op3_packing,
+        op4_token_counts,
+        op5_fingerprints,
+        op6_sentencepiece,
+        op7_suffix_dedup,
+        op8_language_id,
+        op9_sharding,
+        op10_pii_surrogates,
+        op11_bit_planes,
+    )
 }
 
 WORDS = r"""regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"""
