@@ -65,12 +65,11 @@ ENCODERS = bit_planes.IdEncoder(PATH), Tokenizer.from_file(PATH)
 
 
 @pytest.mark.parametrize("block, share", [(100, 150), (1 << 16, 16 << 20)])
-def test_files_hold_all_ids_in_order(spark, monkeypatch, tmp_path, block, share):
-    monkeypatch.setattr(bit_planes, "SHARE", share)
+def test_files_hold_all_ids_in_order(spark, tmp_path, block, share):
     docs = documents(spark)
     out = str(tmp_path / "ids")
     bit_planes.write_ids(docs, out, PATH, block=block)
-    table = bit_planes.read_ids(spark, out)
+    table = bit_planes.read_ids(spark, out, share)
     got = sorted(table.collect(), key=lambda r: r.start)
     rows = docs.collect()
     assert [r.doc_id for r in got] == sorted((r.doc_id for r in rows), key=lambda k: (k is not None, k or 0))
