@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tracklake.llm import bit_planes, fingerprints, language_id, ngram_join, packing, pii, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts
+from tracklake.llm import bit_planes, fingerprints, language_id, merkle, ngram_join, packing, pii, prefix_trie, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts
 
 from .fixtures import documents, texts, words
 
@@ -41,7 +41,7 @@ def test_stages_take_effect_and_keep_columns(spark, tmp_path):
     assert {r.doc_id for r in whole.select("doc_id").distinct().collect()} == {r.doc_id for r in now.select("doc_id").distinct().collect()}
 
 
-MODULES = [ngram_join, quality, packing, token_counts, fingerprints, sentencepiece_codec, suffix_dedup, language_id, sharding, pii, bit_planes, corpus_pipeline]
+MODULES = [ngram_join, quality, packing, token_counts, fingerprints, sentencepiece_codec, suffix_dedup, language_id, sharding, pii, bit_planes, prefix_trie, merkle, corpus_pipeline]
 
 
 @pytest.mark.parametrize("module", MODULES, ids=lambda m: m.__name__.rpartition(".")[2])

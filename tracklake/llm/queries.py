@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bit_planes, fingerprints, language_id, ngram_join, packing, pii, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts
+from . import bit_planes, fingerprints, language_id, merkle, ngram_join, packing, pii, prefix_trie, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts
 from .common import documents
 
 
@@ -55,6 +55,14 @@ def op11_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_planes.id_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -69,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_sharding,
         op10_pii_surrogates,
         op11_bit_planes,
+        op12_prefix_trie,
+        op13_merkle_manifest,
     )
 }
 
