@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 
 from tracklake.operators import tracker
@@ -55,17 +57,6 @@ def test_association_takes_plain_pairs_or_solves():
     assert tracker.associate(d, np.zeros((0, 4)), 0.3)[1].tolist() == [0, 1, 2]
 
 
-def test_state_survives_a_dump():
-    rows = moving(videos=("a",))
-    whole, cut = Tracker(), Tracker()
-    for f in range(30):
-        boxes = np.array([r[3:7] for r in rows if r[1] == f and r[3] is not None]).reshape(-1, 4)
-        scores = [r[7] for r in rows if r[1] == f and r[3] is not None]
-        a, b = whole.update(boxes, scores), cut.update(boxes, scores)
-        assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
-        cut = Tracker.load(cut.dump(), Settings())
-
-
 def test_batch_and_stream_agree(spark, tmp_path):
     rows = moving()
     batch = tracker.track(spark.createDataFrame(rows, SCHEMA), ["video"])
@@ -83,3 +74,51 @@ def test_batch_and_stream_agree(spark, tmp_path):
     finally:
         q.stop()
     assert got == want
+
+
+def run_stream(spark, source, keys, out, checkpoint, **options):
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    q = track_stream(stream, keys, **options).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert q.exception() is None
+    return sorted(map(tuple, spark.read.parquet(out).collect()))
+
+
+def add(spark, source, rows):
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+
+
+def test_frames_come_in_pieces_and_a_query_starts_again(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / d) for d in ("in", "out", "check"))
+    rows = [r for r in moving(24) if r[3] is not None]
+    # a detection comes up to four frames late, in any order; one that comes after its frame was tracked is dropped
+    order = np.random.RandomState(1).randint(0, 5, len(rows)) + [r[1] for r in rows]
+    for lo, hi in ((0, 8), (8, 13)):
+        add(spark, source, [r for r, at in zip(rows, order, strict=True) if lo <= at < hi][::-1])
+    run_stream(spark, source, ["video"], out, checkpoint, lateness=4)
+    add(spark, source, [("a", 2, 77, 0.0, 0.0, 9.0, 9.0, 1.0), *[r for r, at in zip(rows, order, strict=True) if at >= 13]])
+    add(spark, source, [(v, 40, 0, None, None, None, None, None) for v in ("a", "b")])
+    got = run_stream(spark, source, ["video"], out, checkpoint, lateness=4)
+    assert got == sorted(map(tuple, tracker.track(spark.createDataFrame(rows, SCHEMA), ["video"]).collect()))
+
+
+def test_state_has_a_row_for_each_live_track_and_time_closes_them(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / d) for d in ("in", "out", "check"))
+    boxes = lambda v, lo, hi: [(v, f, i, 100.0 * i, 0.0, 100.0 * i + 40, 30.0, 0.5) for f in range(lo, hi) for i in range(3)]
+    add(spark, source, boxes("a", 0, 10))
+    got = run_stream(spark, source, ["video"], out, checkpoint, lateness=2)
+    assert {r[1] for r in got} == set(range(8))  # two frames wait
+    state = lambda name: spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    assert state("tracks").count() == 3 and state("waiting").count() == 2
+    # with an idle time, frames that wait come out by themselves (such a query has batches without rows, so it is stopped from outside)
+    stream = spark.readStream.schema(SCHEMA).parquet(source)
+    q = track_stream(stream, ["video"], lateness=2, idle_ms=500).writeStream.format("memory").queryName("idle").outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            got = {r.frame for r in spark.table("idle").collect()}
+            if got == set(range(10)):
+                break
+        assert got == set(range(10)) and q.exception() is None
+    finally:
+        q.stop()

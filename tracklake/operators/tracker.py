@@ -137,18 +137,6 @@ class Tracker:
         self._keep(self.marks[:, 1] <= self.settings.max_age)
         return result
 
-    def dump(self) -> bytes:
-        head = np.array([self.frame_count, self.next_id, len(self.mean)], np.int64)
-        return head.tobytes() + self.marks.astype(np.int64).tobytes() + self.mean.tobytes() + self.spread.tobytes()
-
-    @staticmethod
-    def load(raw: bytes, settings: Settings) -> Tracker:
-        frames, ids, n = np.frombuffer(raw, np.int64, 3).tolist()
-        marks = np.frombuffer(raw, np.int64, 3 * n, 24).reshape(n, 3).copy()
-        mean = np.frombuffer(raw, float, 7 * n, 24 + 24 * n).reshape(n, 7).copy()
-        spread = np.frombuffer(raw, float, 49 * n, 24 + 80 * n).reshape(n, 7, 7).copy()
-        return Tracker(settings, frames, ids, mean, spread, marks)
-
 
 def track_schema(df: DataFrame, keys: list[str]) -> T.StructType:
     fields = [df.schema[k] for k in keys]

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import boxes, names
+from ..functions.storage import shared_dir, written
 from ..operators import analysis, annotations, detection_metrics, matching, mota, sampling, store, sync, tracker
 from ..sources import coco, files, frames, via
+from ..streaming.tracker import track_stream
 from . import fixtures
 from .fixtures import sql
 
@@ -281,16 +284,35 @@ STEADY = """det as (select video, clip, gt_id, frame, x1+(frame*gt_id) % 5 x1, y
    from r join span s on s.gt_id=r.gt_id left join det d on d.gt_id=r.gt_id and d.frame=r.frame+1 where r.frame < s.b))"""
 
 
-@query(sql("gt").replace("with ", "with recursive ", 1) + f", {STEADY} select video, clip, gt_id, frame, cast(1 as bigint) track_id, round(u-20,3) x1, round(v-15,3) y1, round(u+20,3) x2, round(v+15,3) y2 from r where hit")
-def sort_tracks_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sequence for each animal, with a gap every fifth frame: the filter alone, as nothing competes."""
+def _steady(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = fixtures.truth(spark, sf_dir).filter("frame < 60 and (frame * 7 + gt_id) % 5 <> 0")
     dx, dy = F.col("frame") * F.col("gt_id") % 5, F.col("frame") * F.col("gt_id") % 3
-    found = g.withColumns({"x1": F.col("x1") + dx, "x2": F.col("x2") + dx, "y1": F.col("y1") + dy, "y2": F.col("y2") + dy, "score": F.lit(1.0), "det_idx": F.lit(0)})
-    tracks = tracker.track(found, [*KEYS, "gt_id"])
+    return g.withColumns({"x1": F.col("x1") + dx, "x2": F.col("x2") + dx, "y1": F.col("y1") + dy, "y2": F.col("y2") + dy, "score": F.lit(1.0), "det_idx": F.lit(0)})
+
+
+def _rounded(tracks: DataFrame) -> DataFrame:
     return tracks.select(*KEYS, "gt_id", "frame", "track_id", *(F.round(c, 3).alias(c) for c in boxes.CORNERS))
 
 
+@query(sql("gt").replace("with ", "with recursive ", 1) + f", {STEADY} select video, clip, gt_id, frame, cast(1 as bigint) track_id, round(u-20,3) x1, round(v-15,3) y1, round(u+20,3) x2, round(v+15,3) y2 from r where hit")
+def sort_tracks_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sequence for each animal, with a gap every fifth frame: the filter alone, as nothing competes."""
+    return _rounded(tracker.track(_steady(spark, sf_dir), [*KEYS, "gt_id"]))
+
+
+@query(ORACLES["sort_tracks_of_one"])
+def stream_tracks_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sequences as a stream that starts twice from its checkpoint: files of frames 0 to 39, then those of 40 to 59."""
+    found, root = written(_steady(spark, sf_dir), "detections"), f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for lo, hi, run in ((0, 20, False), (20, 40, True), (40, 60, True)):
+        found.filter(F.col("frame").between(lo, hi - 1)).repartition(*KEYS, "gt_id").write.mode("append").parquet(f"{root}/in")
+        if run:
+            stream = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 64).parquet(f"{root}/in")
+            tracks = track_stream(stream, [*KEYS, "gt_id"]).writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+            tracks.option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").start().awaitTermination()
+    return _rounded(spark.read.parquet(f"{root}/out"))
+
+
 # annotations
 
 

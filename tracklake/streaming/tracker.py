@@ -1,36 +1,111 @@
-"""Tracking of a stream of detections, with the tracks of each sequence as state."""
+"""Tracking of a stream of detections; each sequence keeps its live tracks as typed state, a row a track."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.tracker import Settings, Tracker, run_frames, track_schema
 
-STATE = "tracker binary, last_frame int"
+DETECTION = ["frame", "det_idx", "x1", "y1", "x2", "y2", "score"]
+PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def track_stream(detections: DataFrame, keys: list[str], settings: Settings = Settings()) -> DataFrame:
-    """As `track`, over a stream. A batch's rows are sorted by frame; rows of a frame at or before the last one seen are late and dropped.
+class TrackProcessor(StatefulProcessor):
+    """Frames that may still get rows wait in a map by frame; those that are complete go through the filter in order."""
 
-    A frame must come whole in one batch. Frames without detections need a row with a null box only
-    at the end of a batch; between frames with rows they are counted by themselves.
-    """
+    def __init__(self, keys: list[str], settings: Settings, lateness: int, idle_ms: int | None):
+        self.keys, self.settings, self.lateness, self.idle_ms = keys, settings, lateness, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.clock = handle.getValueState("clock", "frames long, next_id long, last_frame int, newest int")
+        self.tracks = handle.getMapState("tracks", "track_id long", "since int, hits int, mean array<double>, spread array<double>")
+        self.waiting = handle.getMapState("waiting", "frame int", "rows array<double>")
+
+    def _load(self) -> tuple[Tracker, int | None, int | None]:
+        tracker, last, newest = Tracker(self.settings), None, None
+        if self.clock.exists():
+            tracker.frame_count, tracker.next_id, last, newest = self.clock.get()
+        live = sorted(((k[0], v) for k, v in self.tracks.iterator()), key=lambda t: t[0])
+        if live:
+            tracker.marks = np.array([[i, v[0], v[1]] for i, v in live], np.int64)
+            tracker.mean = np.array([v[2] for _, v in live], float)
+            tracker.spread = np.array([v[3] for _, v in live], float).reshape(-1, 7, 7)
+        return tracker, last, newest
+
+    def _store(self, tracker: Tracker, last: int | None, newest: int | None) -> None:
+        self.clock.update((tracker.frame_count, tracker.next_id, last, newest))
+        ids = tracker.marks[:, 0].tolist()
+        for (old,) in [k for k in self.tracks.keys() if k[0] not in set(ids)]:  # noqa: SIM118
+            self.tracks.removeKey((old,))
+        for i, (_, since, hits) in enumerate(tracker.marks.tolist()):
+            self.tracks.updateValue((ids[i],), (since, hits, tracker.mean[i].tolist(), tracker.spread[i].ravel().tolist()))
+
+    def _held(self) -> pd.DataFrame:
+        rows = [(k[0], *np.reshape(v[0], (-1, 6))[j].tolist()) for k, v in self.waiting.iterator() for j in range(len(v[0]) // 6)]
+        return pd.DataFrame(rows, columns=DETECTION).astype({"frame": np.int64})
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        tracker, last, newest = self._load()
+        came = pd.concat(list(rows), ignore_index=True)[DETECTION]
+        if last is not None:
+            came = came[came.frame > last]  # later rows are late
+        if len(came):
+            newest = max(int(came.frame.max()), newest if newest is not None else int(came.frame.max()))
+        held = self._held() if self.lateness else came[:0]
+        every = pd.concat([held, came], ignore_index=True) if len(held) else came
+        whole = every.frame <= newest - self.lateness if newest is not None else every.frame < 0
+        ready = every[whole]
+        if len(ready):
+            yield run_frames(tracker, ready, self.keys, key, last)
+            last = int(ready.frame.max())
+        if self.lateness:
+            self.waiting.clear()
+            for frame, part in every[~whole].groupby("frame"):
+                self.waiting.updateValue((int(frame),), (part[DETECTION[1:]].to_numpy(float).ravel().tolist(),))
+        self._store(tracker, last, newest)
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        """Ends a sequence without rows for idle_ms: frames that wait are tracked, and all tracks closed. Ids go on from there."""
+        tracker, last, newest = self._load()
+        held = self._held()
+        if len(held):
+            yield run_frames(tracker, held, self.keys, key, last)
+            last = int(held.frame.max())
+            self.waiting.clear()
+        tracker._keep(np.zeros(len(tracker.marks), bool))
+        self._store(tracker, last, newest)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
-        tracker, last = Tracker(settings), None
-        if state.exists:
-            raw, last = state.get
-            tracker = Tracker.load(bytes(raw), settings)
-            rows = rows[rows.frame > last]
-        if not len(rows):
-            return
-        yield run_frames(tracker, rows, keys, key, last)
-        state.update((tracker.dump(), int(rows.frame.max())))
-
-    columns = [*keys, "frame", "det_idx", "x1", "y1", "x2", "y2", "score"]
-    return detections.select(*columns).groupBy(*keys).applyInPandasWithState(run, track_schema(detections, keys), STATE, "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def typed_state(spark: SparkSession) -> None:
+    """Lets the session keep typed state (in RocksDB) where it has Spark's default store."""
+    if "HDFSBacked" in spark.conf.get(PROVIDER, "HDFSBacked"):
+        spark.conf.set(PROVIDER, ROCKS)
+
+
+def track_stream(detections: DataFrame, keys: list[str], settings: Settings = Settings(), lateness: int = 0, idle_ms: int | None = None) -> DataFrame:
+    """As `track`, over a stream.
+
+    lateness: frames that a sequence waits for further rows, in any order, before it tracks a frame. Rows of a frame
+    that has been tracked are late and dropped; with 0, frames come whole, and in order from batch to batch.
+    idle_ms: time without rows after which a sequence's waiting frames are tracked and its tracks are closed
+    (none: never); without it the last `lateness` frames need a row with a null box so many frames later.
+    """
+    typed_state(detections.sparkSession)
+    mode = "None" if idle_ms is None else "ProcessingTime"
+    columns = [*keys, *DETECTION]
+    processor = TrackProcessor(keys, settings, lateness, idle_ms)
+    return detections.select(*columns).groupBy(*keys).transformWithStateInPandas(processor, track_schema(detections, keys), "Append", mode)
