@@ -1,6 +1,8 @@
 import time
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tracklake.operators import tracker
 from tracklake.operators.tracker import Settings, Tracker
@@ -76,6 +78,39 @@ def test_batch_and_stream_agree(spark, tmp_path):
     assert got == want
 
 
+def paused(seed, n_frames=400, min_hits=1):
+    """Two sequences, one without a name, with pauses around the length that ends tracks."""
+    rng = np.random.RandomState(seed)
+    rows = []
+    for v in ("a", None):
+        f = 3
+        rows.append((v, 0, 0, None, None, None, None, None))  # frames count from here
+        while f < n_frames:
+            for i in range(rng.randint(1, 4)):
+                x, y = 60 * i + 2 * (f % 50) + rng.randn(), 50 + rng.randn()
+                rows.append((v, f, i, float(x), float(y), float(x + 40), float(y + 30), 0.5 + i / 10))
+            f += int(rng.choice([1, 1, 1, 1, 1, 1, 1, 4, 5, 6, 9]))
+        rows.append((v, f + 20, 0, None, None, None, None, None))
+    return rows
+
+
+@pytest.mark.parametrize("settings", [Settings(max_age=3), Settings(max_age=4, min_hits=3), Settings(max_age=4, min_hits=150)])
+def test_pieces_equal_the_whole_sequence(spark, settings):
+    rows = spark.createDataFrame(paused(settings.min_hits), SCHEMA)
+    whole = sorted(map(str, map(tuple, tracker.track(rows, ["video"], settings).collect())))
+    pieces = tracker.track_in_pieces(rows, ["video"], settings, stretch=16)
+    assert sorted(map(str, map(tuple, pieces.collect()))) == whole and len(whole) > 100
+    cut = tracker.cut_frames(rows, ["video"], settings.max_age, 16)
+    assert cut.filter("video = 'a'").select("piece").distinct().count() > 8
+    many = cut.filter("video = 'a'").repartition("video", "piece", "counted").select(F.spark_partition_id().alias("p")).distinct()
+    spread = cut.sparkSession.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert many.count() > 1  # one sequence in many tasks
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", spread)
+
+
 def run_stream(spark, source, keys, out, checkpoint, **options):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
     q = track_stream(stream, keys, **options).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

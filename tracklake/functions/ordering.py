@@ -25,3 +25,27 @@ def with_row_number(df: DataFrame, order: list[Column | str], name: str, start:
         within = F.sum(amount).over(Window.partitionBy("__part").orderBy("__at")) - amount
         joined = joined.withColumn(f"{weight}_before", F.col("__wb") + within)
     return joined.drop("__at", "__part", "__before", "__wb")
+
+
+def same_rows(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """The join of two tables on columns whose nulls count as equal; right's other columns follow left's."""
+    apart = {c: f"{c}__right" for c in on}
+    named = right.withColumnsRenamed(apart)
+    same = F.lit(True)
+    for c in on:
+        same = same & left[c].eqNullSafe(named[apart[c]])
+    return left.join(named, same, how).drop(*apart.values())
+
+
+def sum_before(df: DataFrame, keys: list[str], order: str, value: str, name: str, width: int) -> DataFrame:
+    """Adds the sum of value over the rows of the same keys with a lower number in column order, which is unique among them.
+
+    Rows of a key are summed by stretches of `width` numbers first, so a key with many rows needs no task of its own.
+    """
+    stretched = df.withColumn("stretch", F.floor(F.col(order) / width))
+    sums = stretched.groupBy(*keys, "stretch").agg(F.sum(value).alias("in_stretch"))
+    earlier = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "stretch", F.coalesce(F.sum("in_stretch").over(earlier), F.lit(0)).alias("before_stretch"))
+    inside = Window.partitionBy(*keys, "stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    here = stretched.withColumn("before_here", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return same_rows(here, sums, [*keys, "stretch"]).withColumn(name, F.col("before_here") + F.col("before_stretch")).drop("stretch", "before_here", "before_stretch")

@@ -7,15 +7,17 @@ all tracks of a frame at once.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ordering import same_rows, sum_before
+from ..functions.storage import written
 from .assignment import maximum_assignment
 
 #: Fixed values of the filter: measurement, initial and process noise, each a diagonal.
@@ -23,6 +25,9 @@ MEASURED = np.array([1.0, 1.0, 10.0, 10.0])
 INITIAL = np.array([10.0, 10.0, 10.0, 10.0, 1e4, 1e4, 1e4])
 PROCESS = np.array([1.0, 1.0, 1.0, 1.0, 1e-2, 1e-2, 1e-4])
 
+#: Frames that are summed up in one row when long sequences are ordered.
+STRETCH = 4096
+
 MOTION = np.eye(7)
 MOTION[[0, 1, 2], [4, 5, 6]] = 1.0
 
@@ -169,15 +174,8 @@ def run_frames(tracker: Tracker, rows: pd.DataFrame, keys: Iterable[str], key: t
     return result
 
 
-def track(detections: DataFrame, keys: list[str], settings: Settings = Settings(), score: float | None = None) -> DataFrame:
-    """Tracks of detections(keys..., frame, det_idx, x1..y2, score). Sequences run in parallel, frames of one in order.
-
-    A null box marks a frame without detections; frames between a sequence's first and last row count as such.
-    A task reads its sequences sorted, batch by batch, and holds the live tracks and one frame.
-    """
-    if score is not None:
-        detections = detections.filter((F.col("score") > score) | F.col("x1").isNull())
-    columns = [*keys, "frame", "det_idx", "x1", "y1", "x2", "y2", "score"]
+def _run(keys: list[str], settings: Settings, pieces: bool = False) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Tracks sequences that come sorted, batch by batch. pieces: the last key is the number of frames before a piece, which ends with a row (emit_idx -1) that has its births as track_id."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now: tuple | None = None
@@ -190,6 +188,12 @@ def track(detections: DataFrame, keys: list[str], settings: Settings = Settings(
             last = int(table.frame.max())
             return out
 
+        def done() -> Iterator[pd.DataFrame]:
+            yield feed(held)
+            if pieces:
+                zeros = dict.fromkeys(("x1", "y1", "x2", "y2", "score"), 0.0)
+                yield pd.DataFrame([dict(zip(keys, now, strict=True), frame=last, emit_idx=-1, track_id=tracker.next_id - 1, **zeros)])
+
         for pdf in batches:
             same = pd.Series(True, pdf.index)
             for k in keys:
@@ -199,8 +203,8 @@ def track(detections: DataFrame, keys: list[str], settings: Settings = Settings(
                 key = tuple(None if pd.isna(v) else v for v in (pdf[k].iloc[i] for k in keys))
                 if key != now:
                     if held:
-                        yield feed(held)
-                    now, tracker, last, held = key, Tracker(settings), None, []
+                        yield from done()
+                    now, tracker, last, held = key, Tracker(settings, int(key[-1]) if pieces else 0), None, []
                 rows = pdf.iloc[i:j]
                 # the last frame may go on in the next batch
                 open_ = rows.frame.to_numpy() == rows.frame.iloc[-1]
@@ -212,7 +216,58 @@ def track(detections: DataFrame, keys: list[str], settings: Settings = Settings(
                     yield feed([rows[~open_]])
                 held.append(rows[open_])
         if held:
-            yield feed(held)
+            yield from done()
+
+    return run
+
+
+def track(detections: DataFrame, keys: list[str], settings: Settings = Settings(), score: float | None = None) -> DataFrame:
+    """Tracks of detections(keys..., frame, det_idx, x1..y2, score). Sequences run in parallel, frames of one in order.
 
+    A null box marks a frame without detections; frames between a sequence's first and last row count as such.
+    A task reads its sequences sorted, batch by batch, and holds the live tracks and one frame.
+    """
+    if score is not None:
+        detections = detections.filter((F.col("score") > score) | F.col("x1").isNull())
+    columns = [*keys, "frame", "det_idx", "x1", "y1", "x2", "y2", "score"]
     order = [*keys, "frame", "det_idx"]
-    return detections.select(*columns).repartition(*keys).sortWithinPartitions(*order).mapInPandas(run, track_schema(detections, keys))
+    return detections.select(*columns).repartition(*keys).sortWithinPartitions(*order).mapInPandas(_run(keys, settings), track_schema(detections, keys))
+
+
+def cut_frames(detections: DataFrame, keys: list[str], max_age: int, stretch: int = STRETCH) -> DataFrame:
+    """keys, frame, piece and counted of each frame with a box: a piece starts after more than max_age frames without one.
+
+    No track outlives such a gap, so pieces can be tracked apart. piece: its first frame; counted: frames of the sequence before it.
+    Only a summary a stretch of frames is ordered by sequence, so one long sequence needs no task of its own.
+    """
+    frames = detections.groupBy(*keys, "frame").agg((F.count("x1") > 0).alias("seen")).withColumn("stretch", F.floor(F.col("frame") / stretch))
+    frames = written(frames, "frames")
+    within = Window.partitionBy(*keys, "stretch").orderBy("frame")
+    before = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    summary = frames.groupBy(*keys, "stretch").agg(F.min("frame").alias("low"), F.max(F.when(F.col("seen"), F.col("frame"))).alias("high"))
+    summary = summary.select(*keys, "stretch", F.min("low").over(Window.partitionBy(*keys)).alias("first"), F.last("high", ignorenulls=True).over(before).alias("prior"))
+    seen = same_rows(frames.filter("seen").drop("seen"), summary, [*keys, "stretch"])
+    gap = F.col("frame") - F.coalesce(F.lag("frame").over(within), "prior")
+    cut = written(seen.withColumn("cut", F.when(gap.isNull() | (gap > max_age + 1), F.col("frame"))), "cuts", [frames])
+    carried = cut.groupBy(*keys, "stretch").agg(F.max("cut").alias("high"))
+    carried = carried.select(*keys, "stretch", F.last("high", ignorenulls=True).over(before).alias("carried"))
+    piece = F.coalesce(F.last("cut", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)), "carried")
+    return same_rows(cut, carried, [*keys, "stretch"]).select(*keys, "frame", piece.alias("piece"), (piece - F.col("first")).alias("counted"))
+
+
+def track_in_pieces(detections: DataFrame, keys: list[str], settings: Settings = Settings(), score: float | None = None, stretch: int = STRETCH) -> DataFrame:
+    """As track(), with the pieces of a sequence (see cut_frames) in parallel: for long sequences with pauses.
+
+    A piece starts with the sequence's count of frames, and its ids follow those of all births before it.
+    """
+    if score is not None:
+        detections = detections.filter((F.col("score") > score) | F.col("x1").isNull())
+    columns = [*keys, "frame", "det_idx", "x1", "y1", "x2", "y2", "score"]
+    found = same_rows(detections.filter(F.col("x1").isNotNull()).select(*columns), cut_frames(detections, keys, settings.max_age, stretch), [*keys, "frame"])
+    parts = [*keys, "piece", "counted"]
+    schema = track_schema(found, parts)
+    pieces = found.repartition(*parts).sortWithinPartitions(*parts, "frame", "det_idx").mapInPandas(_run(parts, settings, pieces=True), schema)
+    pieces = written(pieces, "pieces")
+    born = sum_before(pieces.filter("emit_idx = -1").select(*keys, "piece", F.col("track_id").alias("born")), keys, "piece", "born", "earlier", stretch)
+    out = same_rows(pieces.filter("emit_idx >= 0"), born.select(*keys, "piece", "earlier"), [*keys, "piece"])
+    return out.withColumn("track_id", F.col("track_id") + F.col("earlier")).select(*keys, "frame", "emit_idx", "track_id", "x1", "y1", "x2", "y2", "score")
