@@ -47,7 +47,7 @@ MAGIC, MANIFEST = b"IDPLANE1", "_manifest.json"
 #: Ids of a block. Of 49,408 ids byte planes take 10.9 bits an id, bit planes 12.6; both are offered.
 BLOCK = 1 << 16
 #: Words that a worker remembers the ids of.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: Ids that one reading task takes, about.
 SHARE = 16 << 20
 READ = "doc_id long, start long, n_tokens long, ids binary"
@@ -246,7 +246,7 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class IdPlanes(DataSource):
-    """Format `idplanes`. Options: path; to write planes ("bit" or "byte") and block; to read share (ids of a task, about)."""
+    """Format `idplanes`. Options: path; to write tokenizer and end_id (where rows hold texts), planes ("bit" or "byte") and block; to read share (ids of a task, about)."""
 
     @classmethod
     def name(cls) -> str:
@@ -259,14 +259,24 @@ class IdPlanes(DataSource):
         return Reader(self.options["path"], int(self.options.get("share", SHARE)))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return Writer(self.options["path"], self.options.get("planes", "byte"), int(self.options.get("block", BLOCK)))
+        return Writer(self.options["path"], self.options.get("planes", "byte"), int(self.options.get("block", BLOCK)), self.options.get("tokenizer"), int(self.options.get("end_id", 1)))
 
 
 class Writer(DataSourceArrowWriter):
-    """Takes rows (doc_id, ids), sorted over all tasks; a file a task."""
+    """Takes rows (doc_id, ids) or, with a tokenizer, (doc_id, text), sorted over all tasks; a file a task."""
 
-    def __init__(self, path: str, by: str, block: int):
-        self.path, self.by, self.block = path, by, block
+    def __init__(self, path: str, by: str, block: int, tokenizer: str | None, end_id: int):
+        self.path, self.by, self.block, self.tokenizer, self.end = path, by, block, tokenizer, end_id.to_bytes(4, "little")
+
+    def rows(self, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
+        if self.tokenizer is None:
+            for batch in batches:
+                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            return
+        encode = encoder_of(self.tokenizer).encode
+        for batch in slices(batches, limit=2 << 20):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
+                yield doc_id, encode(text) + self.end
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
         store, root = opened(self.path)
@@ -275,9 +285,8 @@ class Writer(DataSourceArrowWriter):
         name = f"part-{part:06d}-{uuid.uuid4().hex}.idp"
         with store.open_output_stream(f"{root}/{name}") as out:
             writer = PlaneWriter(out, self.by, self.block)
-            for batch in iterator:
-                for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    writer.add(doc_id, raw)
+            for doc_id, raw in self.rows(iterator):
+                writer.add(doc_id, raw)
             size = writer.close()
         return Part(part, name, size, writer.n_ids, len(writer.docs), len(writer.index))
 
@@ -331,26 +340,14 @@ class Reader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "n_tokens", "ids"])
 
 
-def encoded(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
-    """doc_id and ids (binary) of each document with the end id, sorted over all partitions by doc_id, nulls first."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_of(path), end_id.to_bytes(4, "little")
-        for batch in slices(batches, limit=2 << 20):
-            ids = [encoder.encode(t) + end for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
+def write_ids(docs: DataFrame, out: str, path: str, end_id: int = 1, planes: str = "byte", block: int = BLOCK) -> None:
+    """Encodes the documents with the library's file at path, an end id after each, and writes them to the folder out."""
+    docs.sparkSession.dataSource.register(IdPlanes)
     rows = id_and_text(docs)
     place = free_name(rows, "place")
     rows = rows.withColumn(place, F.monotonically_increasing_id())  # lets rows of one doc_id share several tasks
-    rows = rows.repartitionByRange("doc_id", place).sortWithinPartitions("doc_id", place)
-    return rows.mapInArrow(run, "doc_id long, ids binary")
-
-
-def write_ids(docs: DataFrame, out: str, path: str, end_id: int = 1, planes: str = "byte", block: int = BLOCK) -> None:
-    """Encodes the documents with the library's file at path and writes them to the folder out."""
-    docs.sparkSession.dataSource.register(IdPlanes)
-    encoded(docs, path, end_id).write.format("idplanes").mode("append").option("planes", planes).option("block", block).save(out)
+    rows = rows.repartitionByRange("doc_id", place).sortWithinPartitions("doc_id", place).drop(place)
+    rows.write.format("idplanes").mode("append").options(tokenizer=path, end_id=end_id, planes=planes, block=block).save(out)
 
 
 def read_ids(spark: SparkSession, out: str, share: int = SHARE) -> DataFrame:
