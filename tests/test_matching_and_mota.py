@@ -44,7 +44,8 @@ SWITCHES = [
 HISTORY = {1: 11, 2: 12, 3: 13, 4: 14}
 
 
-def test_identity_switches(spark):
+@pytest.mark.parametrize("stretch", [4096, 7])
+def test_identity_switches(spark, stretch):
     rows = []
     for case, (before, now, _) in enumerate(SWITCHES):
         # the history lies before the previous frame, one frame for each id, so that it makes no swaps
@@ -53,7 +54,7 @@ def test_identity_switches(spark):
             rows += [(case, 100, g, p) for g, p in before.items()]
         rows += [(case, 101, g, p) for g, p in now.items()]
     df = spark.createDataFrame(rows, "video int, frame int, gt_id int, pred_id int")
-    got = {r.video: r.n for r in mota.identity_switches(df, ["video"]).filter("frame = 101").groupBy("video").agg({"reid": "sum", "swap": "sum"}).selectExpr("video", "`sum(reid)` + `sum(swap)` n").collect()}
+    got = {r.video: r.n for r in mota.identity_switches(df, ["video"], stretch).filter("frame = 101").groupBy("video").agg({"reid": "sum", "swap": "sum"}).selectExpr("video", "`sum(reid)` + `sum(swap)` n").collect()}
     assert [got[i] for i in range(len(SWITCHES))] == [w for _, _, w in SWITCHES]
 
 
@@ -106,7 +107,7 @@ def test_accuracy_equals_a_plain_loop(spark, seed):
             if rng.random() < 0.1:
                 preds.append((f, 50 + f * 7 + g, (c[0] + 2, c[1], c[0] + 19, c[1] + 12)))
     t, p = scene(spark, truth, preds)
-    rows = mota.mota_per_frame(t, p, ["video"], 0.2).collect()
+    rows = mota.mota_per_frame(t, p, ["video"], 0.2, stretch=(4096, 4, 1)[seed - 1]).collect()
     got = {r.frame: (r.total_ground_truth, r.true_positives, r.missed_detections, r.false_positives, r.switches, round(r.mota, 9)) for r in rows}
     assert got == plain_accuracy(truth, preds, 0.2)
     assert sum(x[4] for x in got.values()) > 5

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import same_rows
+from ..functions.storage import written
+
 
 def has_position(any_of: bool = False) -> Column:
     x, y = F.col("x").isNotNull(), F.col("y").isNotNull()
@@ -25,10 +28,54 @@ def long_tracks(observations: DataFrame, keys: list[str], least: float, any_of:
     return observations.join(kept, [*keys, "individual"], "left_semi")
 
 
+#: Values of a group that a task may hold to sort them, and counts that it keeps instead.
+SORTED, BINS = 1 << 16, 1024
+
+
+def exact_median(df: DataFrame, keys: list[str], column: str, most: int = SORTED, bins: int = BINS) -> DataFrame:
+    """keys and median: the middle value, or the mean of the middle two; nulls don't count, and NaN is above all others.
+
+    Where a group has more than `most` values none is sorted. Its values are counted in bins over their range, added up
+    before they travel, and the bin with the middle is counted again over its own range, until that is one value. A bin
+    keeps the extremes of what is in it, so the result is exact.
+    """
+    sizes = written(df.groupBy(*keys).agg(F.count(column).alias("n")), "sizes")
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= most:
+        return df.groupBy(*keys).agg(F.median(column).alias("median"))
+    v, inf = F.col("v"), float("inf")
+    rows = df.filter(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("v"))
+    ends = rows.filter(~F.isnan(v) & (F.abs(v) < inf)).groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    state = same_rows(sizes.filter("n > 0"), ends, keys, "left").select(*keys, F.expr("(n - 1) div 2").alias("k1"), F.expr("n div 2").alias("k2"), "lo", "hi")
+    out = sizes.filter("n = 0").select(*keys, F.lit(None).cast("double").alias("median"))
+    state, first = written(state, "ranges"), True
+    while not state.isEmpty():
+        span = F.col("hi") - F.col("lo")
+        part = F.when(span < inf, (v - F.col("lo")) / F.when(span > 0, span)).otherwise((v / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2))
+        inner = F.least(F.floor(F.coalesce(part, F.lit(0.0)) * bins), F.lit(bins - 1))
+        bin_ = F.when(F.isnan(v), bins + 1).when(v == inf, bins).when(v == -inf, -1).otherwise(inner)
+        met = same_rows(rows, state, keys)
+        met = met if first else met.filter(v.between(F.col("lo"), F.col("hi")))
+        counts = met.groupBy(*keys, "k1", "k2", bin_.alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
+        counts = counts.withColumn("before", F.sum("c").over(Window.partitionBy(*keys).orderBy("bin")) - F.col("c"))
+        holds = lambda k: (F.col(k) >= F.col("before")) & (F.col(k) < F.col("before") + F.col("c"))
+        middle = counts.filter(holds("k1") | holds("k2")).groupBy(*keys).agg(
+            F.count("*").alias("different"), F.max(F.when(holds("k1"), F.struct("a", "b", "before", "k1", "k2"))).alias("low"), F.max(F.when(holds("k2"), F.col("a"))).alias("above")
+        )
+        middle = written(middle, "middles", [state])
+        same = middle.filter("different = 1")
+        out = out.unionByName(middle.filter("different = 2").select(*keys, (F.col("low.b") * 0.5 + F.col("above") * 0.5).alias("median")))
+        one = F.col("low.a").eqNullSafe(F.col("low.b"))
+        out = out.unionByName(same.filter(one).select(*keys, F.col("low.a").alias("median")))
+        state = same.filter(~one).select(*keys, *((F.col(f"low.{k}") - F.col("low.before")).alias(k) for k in ("k1", "k2")), F.col("low.a").alias("lo"), F.col("low.b").alias("hi"))
+        state, first = written(state, "ranges"), False
+    return out
+
+
 def confidence_stats(observations: DataFrame, keys: list[str]) -> DataFrame:
     """Mean, population deviation, extremes and median of each clip's confidence."""
     c = "confidence"
-    return observations.groupBy(*keys).agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.median(c).alias("median"), F.count(c).alias("n"))
+    stats = observations.groupBy(*keys).agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.count(c).alias("n"))
+    return same_rows(stats, exact_median(observations, keys, c), keys).select(*keys, "mean", "std", "min", "max", "median", "n")
 
 
 def reduced(observations: DataFrame, by: list[str], column: str) -> DataFrame:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
 from .matching import box_pairs, greedy_match
 
+#: Frames whose identities are followed in one task.
+STRETCH = 4096
+
 
 def evaluated_truth(truth: DataFrame, predictions: DataFrame, keys: list[str], predicted_frames: DataFrame | None = None) -> DataFrame:
     """True boxes of the frames that have a prediction entry. predicted_frames: those frames, where some have no box."""
@@ -15,21 +19,44 @@ def evaluated_truth(truth: DataFrame, predictions: DataFrame, keys: list[str], p
     return truth.join(frames, on, "left_semi")
 
 
-def identity_switches(matched: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds reid and swap (0 or 1) to true boxes with their matched pred_id (null: missed).
+def ranked_frames(frames: DataFrame, keys: list[str], stretch: int = STRETCH) -> DataFrame:
+    """Adds ord (from 1 by frame), first (the sequence's first frame) and stretch to different frames; only a summary a stretch of frames is ordered by sequence."""
+    frames = frames.withColumn("stretch", F.floor(F.col("frame") / stretch))
+    whole = Window.partitionBy(*keys)
+    sums = frames.groupBy(*keys, "stretch").agg(F.count("*").alias("n"), F.min("frame").alias("low"))
+    sums = sums.select(*keys, "stretch", (F.sum("n").over(whole.orderBy("stretch")) - F.col("n")).alias("before"), F.min("low").over(whole).alias("first"))
+    here = F.row_number().over(Window.partitionBy(*keys, "stretch").orderBy("frame"))
+    return frames.withColumn("here", here).join(sums, [*keys, "stretch"]).withColumn("ord", F.col("here") + F.col("before")).drop("here", "before")
+
+
+def identity_switches(matched: DataFrame, keys: list[str], stretch: int = STRETCH, frames: DataFrame | None = None) -> DataFrame:
+    """Adds reid and swap (0 or 1), and the sequence's first frame, to true boxes with their matched pred_id (null: missed).
 
     reid: the box has another prediction than it had when last matched. swap: its prediction belonged
     to another true box in the frame evaluated before. A clean exchange of two ids counts four times.
+
+    Rows meet by true box or by prediction and stretch of frames, and what a stretch starts with is carried over from
+    those before it, a row each; so neither a long sequence nor an animal that is always in it is one task.
+    frames: the matched rows' frames, if they are known more cheaply.
     """
-    ordinal = F.dense_rank().over(Window.partitionBy(*keys).orderBy("frame"))
-    of_truth = Window.partitionBy(*keys, "gt_id").orderBy("ord")
-    of_pred = Window.partitionBy(*keys, "pred_id").orderBy("ord")
-    known = F.last("pred_id", ignorenulls=True).over(of_truth.rowsBetween(Window.unboundedPreceding, -1))
-    before = F.lag(F.struct("ord", "gt_id")).over(of_pred)
-    ranked = matched.withColumn("ord", ordinal).withColumn("known", known).withColumn("before", before)
+    frames = ranked_frames((matched if frames is None else frames).select(*keys, "frame").distinct(), keys, stretch)
+    # each missed box is a prediction of its own
+    other = F.coalesce(F.concat(F.lit("p"), F.col("pred_id").cast("string")), F.concat_ws(" ", F.lit("m"), "gt_id", "ord"))
+    ranked = written(matched.join(frames, [*keys, "frame"]).withColumn("other", other), "ranked")
+    box, prediction = [*keys, "gt_id"], [*keys, "other"]
+    earlier = lambda by: Window.partitionBy(*by).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    had = ranked.groupBy(*box, "stretch").agg(F.max_by("pred_id", F.when(F.col("pred_id").isNotNull(), F.col("ord"))).alias("v"))
+    had = had.select(*box, "stretch", F.last("v", ignorenulls=True).over(earlier(box)).alias("had"))
+    was = ranked.filter("pred_id is not null").groupBy(*prediction, "stretch").agg(F.max(F.struct("ord", "gt_id")).alias("v"))
+    was = was.select(*prediction, "stretch", F.last("v").over(earlier(prediction)).alias("was"))
+    inside = lambda by: Window.partitionBy(*by, "stretch").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    out = ranked.join(had, [*box, "stretch"])
+    out = out.withColumn("known", F.coalesce(F.last("pred_id", ignorenulls=True).over(inside(box)), "had"))
+    out = out.join(was, [*prediction, "stretch"], "left")
+    out = out.withColumn("before", F.coalesce(F.last(F.struct("ord", "gt_id")).over(inside(prediction)), "was"))
     moved = F.col("pred_id").isNotNull() & (F.col("before.ord") == F.col("ord") - 1) & (F.col("before.gt_id") != F.col("gt_id"))
     reid, swap = F.when(F.col("pred_id") != F.col("known"), 1).otherwise(0), F.when(moved, 1).otherwise(0)
-    return ranked.withColumn("reid", reid).withColumn("swap", swap).drop("known", "ord", "before")
+    return out.withColumn("reid", reid).withColumn("swap", swap).drop("known", "ord", "before", "stretch", "other", "had", "was")
 
 
 def matched_truth(truth: DataFrame, predictions: DataFrame, keys: list[str], threshold: float = 0.1, predicted_frames: DataFrame | None = None, pred_order: str = "pred_id", gt_order: str = "gt_id") -> DataFrame:
@@ -40,12 +67,11 @@ def matched_truth(truth: DataFrame, predictions: DataFrame, keys: list[str], thr
     return shown.select(*on, "gt_id").join(matches.select(*on, "gt_id", "pred_id"), [*on, "gt_id"], "left")
 
 
-def mota_per_frame(truth: DataFrame, predictions: DataFrame, keys: list[str], threshold: float = 0.1, predicted_frames: DataFrame | None = None) -> DataFrame:
+def mota_per_frame(truth: DataFrame, predictions: DataFrame, keys: list[str], threshold: float = 0.1, predicted_frames: DataFrame | None = None, stretch: int = STRETCH) -> DataFrame:
     """Counts and accuracy of each frame that has true boxes and a prediction entry."""
     on = [*keys, "frame"]
-    # all windows and the counts need a sequence's rows together: one exchange serves them
-    switched = identity_switches(matched_truth(truth, predictions, keys, threshold, predicted_frames), keys)
-    switched = switched.withColumn("first", F.min("frame").over(Window.partitionBy(*keys)))
+    matched = matched_truth(truth, predictions, keys, threshold, predicted_frames)
+    switched = identity_switches(matched, keys, stretch, evaluated_truth(truth, predictions, keys, predicted_frames))
     frames = switched.groupBy(*on).agg(
         F.count("*").alias("total_ground_truth"),
         F.count("pred_id").alias("true_positives"),
