@@ -213,3 +213,41 @@ def test_precision_and_recall(spark, tp, fp, fn, want):
 def test_scores_above_threshold(spark, threshold, n):
     df = spark.createDataFrame([(0.9,), (0.85,), (0.8,)], "score double")
     assert matching.above_score(df, threshold).count() == n
+
+
+def test_a_crowd_is_solved_cluster_by_cluster(spark, monkeypatch):
+    """5,000 true boxes of one frame in clusters of three, each with a best sum that no greedy match finds."""
+    rng = random.Random(8)
+    truth, preds = [], []
+    for c in range(1667):
+        x, y = 100 * (c % 50), 100 * (c // 50)
+        for i in range(3):
+            truth.append((0, 3 * c + i, (x + 12 * i, y, x + 12 * i + 30, y + 20)))
+            preds.append((0, 3 * c + i, (x + 12 * i + rng.randrange(-5, 6), y, x + 12 * i + 30, y + 20)))
+    t, p = scene(spark, truth, preds)
+    pairs = matching.grid_pairs(t, p, ["video"])
+    links = {}
+    for r in pairs.collect():
+        links.setdefault(r.gt_id // 3, {})[r.gt_id % 3, r.pred_id % 3] = r.iou
+        assert r.gt_id // 3 == r.pred_id // 3
+    best = sum(max(sum(k.get((g, o[g]), 0.0) for g in range(3)) for o in itertools.permutations(range(3))) for k in links.values())
+    found = matching.optimal_match(pairs, ["video"]).collect()
+    assert abs(sum(r.iou for r in found) - best) < 1e-6 and len({r.gt_id for r in found}) == len({r.pred_id for r in found}) == len(found)
+
+
+def test_clusters_share_no_box():
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 1), (40, 30), (300, 200), (2000, 1999)):
+        left, right = (rng.integers(0, n, m), rng.integers(0, n, m)) if n != 2000 else (np.r_[np.arange(1999)], np.r_[0, np.arange(1998)])
+        _, left = np.unique(left, return_inverse=True)
+        _, right = np.unique(right, return_inverse=True)
+        found = matching.clusters(left, right)
+        groups = [({int(x) for x in left[found == c]}, {int(x) for x in right[found == c]}) for c in np.unique(found)]
+        assert sum(len(g) for g, _ in groups) == len(np.unique(left)) and sum(len(r) for _, r in groups) == len(np.unique(right))
+        for g, r in groups:  # each is connected
+            reach, seen = {min(g)}, set()
+            while reach - seen:
+                at = (reach - seen).pop()
+                seen.add(at)
+                reach |= {int(x) for x in left[np.isin(right, right[left == at])]}
+            assert reach == g

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from .storage import written
 
 
+def free_column(df: DataFrame, name: str) -> str:
+    """name, or name with underscores where df has such a column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_row_number(df: DataFrame, order: list[Column | str], name: str, start: int = 1, weight: str | None = None) -> DataFrame:
     """Adds numbers in the given order. The sorted table is written once; each part's numbers then start after the rows before it.
 

@@ -6,14 +6,21 @@ keys name the sequence (video, clip); a frame is the unit within which boxes mee
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.boxes import CORNERS, iou
+from ..functions.ordering import free_column
 from .assignment import maximum_assignment
 
+#: Side of a grid's cells in pixels; any is right, one of a few boxes is fast.
+CELL = 256.0
+
 
 def box_pairs(truth: DataFrame, predictions: DataFrame, keys: list[str], threshold: float = 0.0, inclusive: bool = False) -> DataFrame:
     """Pairs of boxes of one frame whose overlap exceeds the threshold: an equi-join on the frame with the overlap as its condition."""
@@ -24,25 +31,25 @@ def box_pairs(truth: DataFrame, predictions: DataFrame, keys: list[str], thresho
     return t.join(p, on).withColumn("iou", shared).filter(F.col("iou") > threshold).select(*on, "gt_id", "pred_id", "score", "iou")
 
 
-def pooled_pairs(truth: DataFrame, predictions: DataFrame, by: list[str], threshold: float = 0.0) -> DataFrame:
+def pooled_pairs(truth: DataFrame, predictions: DataFrame, by: list[str], threshold: float = 0.0, cell: float = CELL) -> DataFrame:
     """Overlapping pairs of all boxes of a batch, also of different frames, as one pool: ids are numbers within the batch.
 
     truth, predictions: with the columns `by`, frame, and gt_id or pred_id. For optimal_match(pooled=True).
+    Boxes meet in the cells of a grid, so a batch's boxes aren't all paired with each other.
     """
 
     def numbered(df: DataFrame, name: str) -> DataFrame:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy("frame", name)))
 
-    t = numbered(truth, "gt_id").select(*by, "gt_id", *(F.col(c).alias(f"t_{c}") for c in CORNERS))
-    p = numbered(predictions, "pred_id").select(*by, "pred_id", "score", *CORNERS)
-    shared = iou(tuple(f"t_{c}" for c in CORNERS), CORNERS)
-    return t.join(p, by).withColumn("iou", shared).filter(F.col("iou") > threshold).select(*by, "gt_id", "pred_id", "score", "iou")
+    return _met(numbered(truth, "gt_id"), numbered(predictions, "pred_id"), by, cell, threshold, False)
 
 
-def grid_pairs(truth: DataFrame, predictions: DataFrame, keys: list[str], cell: float, threshold: float = 0.0, inclusive: bool = False) -> DataFrame:
+def grid_pairs(truth: DataFrame, predictions: DataFrame, keys: list[str], cell: float = CELL, threshold: float = 0.0, inclusive: bool = False) -> DataFrame:
     """box_pairs() for crowded frames: only boxes that touch a common cell of a grid meet, each pair in the first one it shares."""
-    on = [*keys, "frame"]
+    return _met(truth, predictions, [*keys, "frame"], cell, threshold, inclusive)
+
 
+def _met(truth: DataFrame, predictions: DataFrame, on: list[str], cell: float, threshold: float, inclusive: bool) -> DataFrame:
     def celled(df: DataFrame) -> DataFrame:
         lo = lambda c: F.floor((F.col(c) - 1) / cell)
         hi = lambda c: F.floor((F.col(c) + 1) / cell)
@@ -81,16 +88,38 @@ def greedy_match(pairs: DataFrame, keys: list[str], pred_order: str = "pred_id",
     return listed.select(*on, F.explode(F.concat("plain", F.aggregate("ps", none, step))).alias("m")).select(*on, "m.*")
 
 
+def clusters(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each link between a left and a right node (numbers from 0) the number of its connected component: least labels and jumps."""
+    n = int(left.max()) + 1
+    a, b = left, right + n
+    label = np.arange(n + int(right.max()) + 1)
+    while True:
+        least = label.copy()
+        np.minimum.at(least, a, label[b])
+        np.minimum.at(least, b, label[a])
+        least = np.minimum(least, least[least])
+        if (least == label).all():
+            return label[a]
+        label = least
+
+
 def optimal_match(pairs: DataFrame, keys: list[str], threshold: float = 0.0, pooled: bool = False) -> DataFrame:
     """One-to-one matches with the largest sum of overlaps, of which those above the threshold stay.
 
     pairs: with all overlaps above 0. pooled: boxes of all frames of a batch (keys) compete, and pairs
-    are those of pooled_pairs(). Only frames where a box has several partners are solved
-    in Python.
+    are those of pooled_pairs(). Only boxes with several partners are solved in Python: a frame's (or batch's) links
+    fall into clusters that share no box, and each cluster is solved alone, wherever Spark deals it to. So what a
+    task holds is a frame's list of links, and a matrix of one cluster.
     """
     on = list(keys) if pooled else [*keys, "frame"]
     marked = _with_alone(pairs, on)
     plain, rest = marked.filter("alone").drop("alone"), marked.filter("not alone").drop("alone")
+    cluster = free_column(rest, "cluster")
+    schema = T.StructType([*rest.schema.fields, T.StructField(cluster, T.LongType())])
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = (np.unique(pdf[c].to_numpy(), return_inverse=True)[1] for c in ("gt_id", "pred_id"))
+        return pdf.assign(**{cluster: clusters(left, right)})
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         g, gi = np.unique(pdf.gt_id.to_numpy(), return_inverse=True)
@@ -101,7 +130,19 @@ def optimal_match(pairs: DataFrame, keys: list[str], threshold: float = 0.0, poo
         kept = row[pair[:, 0], pair[:, 1]]
         return pdf.iloc[kept[kept >= 0]]
 
-    solved = rest.groupBy(*on).applyInPandas(solve, rest.schema)
+    def solve_all(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Clusters come sorted; one may go on in the next batch."""
+        held: pd.DataFrame | None = None
+        for pdf in batches:
+            pdf = pd.concat([held, pdf]) if held is not None else pdf
+            parts = [part for _, part in pdf.groupby([*on, cluster], sort=False, dropna=False)]
+            held = parts.pop() if parts else None
+            yield from map(solve, parts)
+        if held is not None:
+            yield solve(held)
+
+    cut_up = rest.groupBy(*on).applyInPandas(cut, schema)
+    solved = cut_up.repartition(*on, cluster).sortWithinPartitions(*on, cluster).mapInPandas(solve_all, schema).drop(cluster)
     return plain.unionByName(solved).filter(F.col("iou") > threshold)
 
 
