@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes, names
 from ..functions.storage import shared_dir, written
-from ..operators import analysis, annotations, detection_metrics, matching, mota, sampling, store, sync, tracker
+from ..operators import analysis, annotations, detection_metrics, matching, mota, pixels, sampling, store, sync, tracker
 from ..sources import coco, files, frames, via
 from ..streaming.tracker import track_stream
 from . import fixtures
@@ -622,6 +623,65 @@ def instance_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.instances(frames.merged_masks(line), 8, 6)
 
 
+def _colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    return _pixels(spark, sf_dir).select("video", "frame", "px", "py", (v * 2).alias("r"), (v * 3 % 256).alias("g"), ((v + F.col("frame")) % 256).alias("b"))
+
+
+COLOURS = ", gray as (select video, frame, px, py, cast(floor((v*2)*0.299::double+(v*3 % 256)*0.587::double+((v+frame) % 256)*0.114::double+0.5) as int) v from px)"
+#: Weights of a kernel of five, mirrored at both ends of a line of n pixels.
+MIRRORED = """w{n} as (select x, case when x+i < 0 then -(x+i) when x+i > {n}-1 then 2*({n}-1)-(x+i) else x+i end s, sum(g/(select sum(exp(-j*j/(2*1.1*1.1::double))) from range(-2,3) u(j))) w
+  from range({n}) t(x), (select i, exp(-i*i/(2*1.1*1.1::double)) g from range(-2,3) u(i)) group by all)"""
+
+
+@query(
+    sql("base") + PIXELS + COLOURS
+    + f""", {MIRRORED.format(n=15)}, {MIRRORED.format(n=12)},
+ h as (select p.video, p.frame, p.px, p.py, sum(w*q.v) v from gray p join w15 on x=p.px join gray q on q.video=p.video and q.frame=p.frame and q.py=p.py and q.px=s group by all),
+ b as (select p.video, p.frame, p.px, p.py, sum(w*q.v) v from h p join w12 on x=p.py join h q on q.video=p.video and q.frame=p.frame and q.px=p.px and q.py=s group by all)
+ select video, frame, px, py, round(v, 5) "value" from b"""
+)
+def gray_blurred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gray values, blurred over lines and columns."""
+    gray = pixels.grayscale(_colours(spark, sf_dir))
+    out = pixels.blurred(gray, ["video", "frame"], 15, 12, (5, 5), 1.1, whole=False)
+    return out.select("video", "frame", "px", "py", F.round("value", 5).alias("value"))
+
+
+FACTORS = [1.0, 0.75, 0.5, 0.25]
+
+
+@query(
+    sql("base") + PIXELS
+    + f""", f as (select unnest({FACTORS})::double f), i as (select f, x, x*15 // cast(floor(15*f) as int) s from f, range(15) t(x) where x < floor(15*f)), j as (select f, y, y*12 // cast(floor(12*f) as int) s from f, range(12) t(y) where y < floor(12*f))
+ select i.f factor, video, frame, cast(x as int) px, cast(y as int) py, v "value" from px join i on i.s=px.px join j on j.s=px.py and j.f=i.f"""
+)
+def downsampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each image at four scales, by nearest neighbours."""
+    out = [pixels.resampled(_pixels(spark, sf_dir), 15, 12, f).select(F.lit(f).alias("factor"), "video", "frame", "px", "py", "value") for f in FACTORS]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+@query(
+    """with m as (select l_orderkey image, l_suppkey % 8 px, l_linenumber % 6 py, cast(max(l_partkey % 3) as smallint) id from lineitem group by all),
+ s as (select image, id, avg(px) cx, avg(py) cy, var_pop(px)+1/12 a, var_pop(py)+1/12 c, covar_pop(px, py) b from m group by all),
+ e as (select *, 2*sqrt((a+c)/2+sqrt(((a-c)/2)**2+b**2)) p, 2*sqrt(greatest(0, (a+c)/2-sqrt(((a-c)/2)**2+b**2))) q, atan2(2*b, a-c)/2 w from s where abs(b) > 0.001 or abs(a-c) > 0.001)
+ select image, id, round(least(cx+p*cos(w)-q*sin(w), cx+p*cos(w)+q*sin(w), cx-p*cos(w)+q*sin(w), cx-p*cos(w)-q*sin(w)), 5) left_end, round(greatest(cy+p*sin(w)+q*cos(w), cy+p*sin(w)-q*cos(w), cy-p*sin(w)-q*cos(w), cy-p*sin(w)+q*cos(w)), 5) low_end,
+  round(abs(p*cos(w))*2, 5) major_width, round(abs(q*cos(w))*2, 5) minor_height from e"""
+)
+def ellipse_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ellipses' corners and axes span, where they aren't circles."""
+    line = fixtures.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), (F.col("l_partkey") % 3).alias("id"), (F.col("l_suppkey") % 8).alias("px"), (F.col("l_linenumber") % 6).alias("py"))
+    merged = frames.merged_masks(line)
+    e = pixels.ellipse_corners(frames.mask_moments(merged))
+    spread = merged.groupBy("image", "id").agg(F.covar_pop("px", "py").alias("b"), (F.var_pop("px") - F.var_pop("py")).alias("d")).filter("abs(b) > 0.001 or abs(d) > 0.001")
+    e = e.join(spread, ["image", "id"])
+    return e.select(
+        "image", "id", F.round(F.array_min(F.transform("corners", lambda p: p["x"])), 5).alias("left_end"), F.round(F.array_max(F.transform("corners", lambda p: p["y"])), 5).alias("low_end"),
+        F.round(F.abs(F.col("major_axis")[1]["x"] - F.col("major_axis")[0]["x"]), 5).alias("major_width"), F.round(F.abs(F.col("minor_axis")[1]["y"] - F.col("minor_axis")[0]["y"]), 5).alias("minor_height"),
+    )
+
+
 # synchronisation, sampling, parameters
 
 SYNC = ", t as (select clip, loop_end_frame_ffmpeg-loop_start_frame_ffmpeg+1 n, 1000+clip*7 s from clips), w as (select max(s) s, min(s+n-1) e from t)"
