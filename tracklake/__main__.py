@@ -21,14 +21,14 @@ def table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def combine_annotations(spark: SparkSession, a: argparse.Namespace) -> None:
     projects = via.read_projects(spark, a.folder, a.exclude_pattern)
-    via.write_json(via.combined_project(projects, a.default_dir, a.project_name), a.out, mode=a.mode)
+    via.write_project(projects, a.out, a.default_dir, a.project_name, a.mode)
 
 
 def convert_to_coco(spark: SparkSession, a: argparse.Namespace) -> None:
     from .sources import coco
 
     tables = via.coco_rows(via.combine(via.read_projects(spark, a.folder, a.exclude_pattern)), ["first"], a.category)
-    via.write_json(coco.document(*tables), a.out, mode=a.mode)
+    coco.write(*tables, a.out, a.mode)
 
 
 def track(spark: SparkSession, a: argparse.Namespace) -> None:

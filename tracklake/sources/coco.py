@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.boxes import area
 from ..functions.ordering import with_row_number
+from .documents import json_text, write_document
 
 SCHEMA = (
     "images array<struct<id:int,width:int,height:int,file_name:string>>, "
@@ -66,7 +67,7 @@ def of_boxes(boxes: DataFrame, category: str = "animal") -> tuple[DataFrame, Dat
 
 
 def document(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
-    """The three tables as one row. A COCO file is one document, so it is as large as its reader allows."""
+    """The three tables as one row, for small ones; write() takes any size."""
     listed = lambda df, cols, name: df.agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
     i = listed(images, ["id", "width", "height", "file_name"], "images")
     a = listed(annotations, ["id", "image_id", "category_id", "bbox", "area", "iscrowd"], "annotations")
@@ -74,6 +75,13 @@ def document(images: DataFrame, annotations: DataFrame, categories: DataFrame) -
     return i.join(F.broadcast(a)).join(F.broadcast(c))
 
 
+def write(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str, mode: str = "error") -> None:
+    """Writes the three tables as one COCO document, elements in order of their ids; no row holds more than one."""
+    element = lambda df, cols: df.select("id", json_text(F.struct(*cols)).alias("json"))
+    pieces = ['{"images":[', element(images, ["id", "width", "height", "file_name"]), '],"annotations":[', element(annotations, ["id", "image_id", "category_id", "bbox", "area", "iscrowd"])]
+    write_document(images.sparkSession, path, [*pieces, '],"categories":[', element(categories, ["id", "name", "supercategory"]), "]}"], mode)
+
+
 def split(images: DataFrame, seed: int = 42, train: float = 0.8, test_of_rest: float = 0.5, key: str = "id") -> DataFrame:
     """Adds split: train, test or val, with exact shares of the images in a seeded order; test and val share what train leaves."""
     hashed = images.withColumn("__h", F.xxhash64(F.lit(seed), key))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.boxes import xywh_to_xyxy, xyxy_to_center
 from ..functions.ordering import with_row_number
+from .documents import json_text, write_document
 
 CSV_SCHEMA = "filename string, file_size int, file_attributes string, region_count int, region_id int, region_shape_attributes string, region_attributes string"
 SHAPE = "struct<name:string,x:double,y:double,width:double,height:double>"
@@ -117,8 +118,7 @@ def combine(projects: DataFrame) -> DataFrame:
     return placed.filter("file = last").select("key", "filename", "regions", "first")
 
 
-def combined_project(projects: DataFrame, default_dir: str | None = None, project_name: str | None = None) -> DataFrame:
-    """One project of all: settings of the first file, images with the last file's regions, id lists one after another with repeats."""
+def _settings(projects: DataFrame, default_dir: str | None, project_name: str | None) -> DataFrame:
     if default_dir is not None and not default_dir.startswith("/"):
         raise ValueError(f"the default folder must be an absolute path: {default_dir}")
     first = projects.orderBy("file").limit(1).select("_via_settings", "_via_attributes", "_via_data_format_version")
@@ -126,13 +126,37 @@ def combined_project(projects: DataFrame, default_dir: str | None = None, projec
         F.struct((F.lit(default_dir.rstrip("/") + "/") if default_dir else F.col("_via_settings.core.default_filepath")).alias("default_filepath")).alias("core"),
         F.struct((F.lit(project_name) if project_name else F.col("_via_settings.project.name")).alias("name")).alias("project"),
     )
+    return first.withColumn("_via_settings", settings)
+
+
+def write_project(projects: DataFrame, path: str, default_dir: str | None = None, project_name: str | None = None, mode: str = "error") -> None:
+    """Writes combined_project() as one document of any size; no row holds more than an image."""
+    kept = ["_via_settings", "_via_attributes", "_via_data_format_version"]
+    rest = _settings(projects, default_dir, project_name).select(*(F.when(F.col(c).isNotNull(), json_text(F.col(c))).alias(c) for c in kept)).first()  # one row
+    if rest is None:
+        return write_document(projects.sparkSession, path, [], mode)
+    placed = combine(projects)
+    value = F.struct(F.col("filename"), F.lit(None).cast("long").alias("size"), F.col("regions"))
+    pictures = placed.select("first", F.concat(json_text(F.col("key")), F.lit(":"), json_text(value)).alias("json"))
+    ids = projects.select("file", F.posexplode("_via_image_id_list").alias("at", "id")).select("file", "at", json_text(F.col("id")).alias("json"))
+    own = {c: [f'"{c}":{rest[c]}'] for c in kept if rest[c] is not None}
+    own |= {"_via_img_metadata": ['"_via_img_metadata":{', pictures, "}"], "_via_image_id_list": ['"_via_image_id_list":[', ids, "]"]}
+    pieces: list[str | DataFrame] = ["{"]
+    for i, c in enumerate(c for c in (c.split()[0] for c in PROJECT.split(", ")) if c in own):
+        pieces += [","] * (i > 0) + own[c]
+    write_document(projects.sparkSession, path, [*pieces, "}"], mode)
+
+
+def combined_project(projects: DataFrame, default_dir: str | None = None, project_name: str | None = None) -> DataFrame:
+    """One project of all as one row, for small ones (write_project() takes any size): settings of the first file, images with the last file's regions, id lists one after another with repeats."""
+    first = _settings(projects, default_dir, project_name)
     # maps don't order, so images are sorted by place and number alone and looked up again
     placed = combine(projects).withColumn("value", F.to_json(F.struct("filename", "regions")))
     listed = placed.agg(F.array_sort(F.collect_list(F.struct("first", "key", "value"))).alias("l"))
     value = _struct("filename string, size long, regions array<" + REGION + ">")
     pictures = listed.select(F.map_from_entries(F.transform("l", lambda x: F.struct(x["key"].alias("key"), F.from_json(x["value"], value).alias("value")))).alias("_via_img_metadata"))
     ids = projects.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("file", "_via_image_id_list"))), lambda x: x["_via_image_id_list"])).alias("_via_image_id_list"))
-    return first.withColumn("_via_settings", settings).join(F.broadcast(ids)).join(F.broadcast(pictures)).select(*(c.split()[0] for c in PROJECT.split(", ")))
+    return first.join(F.broadcast(ids)).join(F.broadcast(pictures)).select(*(c.split()[0] for c in PROJECT.split(", ")))
 
 
 def coco_rows(pictures: DataFrame, order: list[str], category: str = "animal") -> tuple[DataFrame, DataFrame, DataFrame]:
