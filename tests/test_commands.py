@@ -9,7 +9,7 @@ from .test_sources_and_store import CSV, project
 from .test_tracker import SCHEMA, moving
 
 
-@pytest.mark.parametrize("command", ["combine-annotations", "convert-to-coco", "track", "evaluate-tracks", "create-store", "clip-commands", "select-frames"])
+@pytest.mark.parametrize("command", ["combine-annotations", "convert-to-coco", "track", "evaluate-tracks", "evaluate-detector", "create-store", "clip-commands", "select-frames"])
 def test_help(command, capsys):
     with pytest.raises(SystemExit) as e:
         parser().parse_args([command, "--help"])
@@ -87,3 +87,19 @@ def test_frames_that_were_not_decoded_do_not_count(spark, tmp_path):
     assert [i for _, i, *_ in evaluated(spark, tmp_path, "short", range(4), range(10, 20), "--n-frames", "6")] == [0, 1, 2, 3, 4, 5]
     got = evaluated(spark, tmp_path, "later", range(3, 8), range(10, 15), "--first-frame", "3")
     assert [m for *_, m in got] == [1.0] * 5
+
+
+def test_evaluate_detector(spark, tmp_path):
+    """Ten images of two boxes; one is missed in each image, and each even image has a box too many."""
+    images = [{"id": i, "width": 100, "height": 100, "file_name": f"f{i}.png"} for i in range(1, 41)]
+    boxes = [{"id": 2 * i + k, "image_id": i, "category_id": 1, "bbox": [50.0 * k, 10.0, 20.0, 20.0], "area": 400.0, "iscrowd": 0} for i in range(1, 41) for k in (0, 1)]
+    (tmp_path / "coco.json").write_text(json.dumps({"images": images, "annotations": boxes, "categories": [{"id": 1, "name": "c", "supercategory": "animal"}]}))
+    rows = [(f"f{i}.png", 0, 1.0, 11.0, 21.0, 31.0, 0.9) for i in range(1, 41)] + [(f"f{i}.png", 1, 0.0, 70.0, 20.0, 90.0, 0.9) for i in range(2, 41, 2)] + [("f3.png", 2, None, None, None, None, None)]
+    spark.createDataFrame(rows, "file_name string, det_idx int, x1 double, y1 double, x2 double, y2 double, score double").write.parquet(str(tmp_path / "found"))
+    for name, more, n in (("val", [], 4), ("test", ["--use-test-set"], 4), ("all", ["--train-fraction", "0.0", "--test-of-rest", "0.0", "--batch-size", "8"], 5), ("few", ["--limit-test-batches", "0.5"], 2)):
+        main(["evaluate-detector", str(tmp_path / "coco.json"), str(tmp_path / "found"), "--out", str(tmp_path / name), "--batches-out", str(tmp_path / f"{name}-batches"), *more])
+        got = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / name)).first()
+        per = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / f"{name}-batches")).collect()
+        assert got.n == len(per) == n and got.recall == 0.5 and abs(got.precision - sum(r.precision for r in per) / n) < 1e-9
+        if name == "all":
+            assert sum(r.tp for r in per) == 40 and sum(r.fp for r in per) == 20 and sum(r.fn for r in per) == 40

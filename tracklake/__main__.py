@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names
-from .operators import annotations, mota, sampling, store, tracker
+from .functions.storage import written
+from .operators import annotations, detection_metrics, mota, sampling, store, tracker
 from .sources import files, frames, via
 
+FOUND = "file_name string, det_idx int, x1 double, y1 double, x2 double, y2 double, score double"
 DETECTIONS = "video string, frame int, det_idx int, x1 double, y1 double, x2 double, y2 double, score double"
 
 
@@ -53,6 +55,29 @@ def evaluate_tracks(spark: SparkSession, a: argparse.Namespace) -> None:
     mota.mota_overall(per, ["video"]).show(truncate=False)
 
 
+def evaluate_detector(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Precision and recall of found boxes on the validation (or test) images of COCO files, as the mean over batches; detections name their image by file_name."""
+    from .functions.boxes import xywh_to_xyxy
+    from .sources import coco
+
+    images, boxes, _ = coco.read(spark, a.annotations.split(","))
+    image = F.concat_ws("/", "dataset_idx", F.col("id").cast("string")).alias("image")
+    chosen = coco.split(images.select(image, "file_name"), a.seed, a.train_fraction, a.test_of_rest, "image")
+    chosen = coco.batches(chosen.filter(F.col("split") == ("test" if a.use_test_set else "val")), a.batch_size, key="image")
+    if a.limit_test_batches is not None:
+        chosen = coco.limited(chosen, a.limit_test_batches)
+    shown = written(chosen.select("image", "file_name", F.lit(0).alias("frame"), "batch"), "evaluated")
+    corners = xywh_to_xyxy(*(F.col("bbox")[i] for i in range(4)))
+    named = [c.alias(n) for c, n in zip(corners, ("x1", "y1", "x2", "y2"), strict=True)]
+    truth = boxes.select(F.concat_ws("/", "dataset_idx", F.col("image_id").cast("string")).alias("image"), F.lit(0).alias("frame"), F.col("id").alias("gt_id"), *named)
+    found = table(spark, a.detections, FOUND).filter("x1 is not null").join(shown.select("image", "file_name", "frame"), "file_name")
+    found = found.withColumn("pred_id", F.col("det_idx"))
+    per = detection_metrics.batch_confusion(truth, found, shown, ["image"], a.iou_threshold)
+    detection_metrics.mean_over(per).select("n", "precision", "recall").write.mode(a.mode).option("header", True).csv(a.out)
+    if a.batches_out:
+        per.orderBy("batch").write.mode(a.mode).option("header", True).csv(a.batches_out)
+
+
 def create_store(spark: SparkSession, a: argparse.Namespace) -> None:
     clips = files.clip_table(spark, a.metadata)
     clips = clips.select(
@@ -103,6 +128,11 @@ def parser() -> argparse.ArgumentParser:
         evaluate_tracks, ("annotations", {}), ("tracks", {}), ("--iou-threshold", {"type": float, "default": 0.1}),
         ("--first-frame", {"type": int, "default": 0, "help": "decoded frame that the first true frame is"}), ("--n-frames", {"type": int, "help": "how many frames were decoded (default: all true ones)"}),
     )
+    add(
+        evaluate_detector, ("annotations", {"help": "COCO files with commas between them"}), ("detections", {}), ("--use-test-set", {"action": "store_true"}), ("--iou-threshold", {"type": float, "default": 0.1}),
+        ("--seed", {"type": int, "default": 42}), ("--train-fraction", {"type": float, "default": 0.8}), ("--test-of-rest", {"type": float, "default": 0.5}), ("--batch-size", {"type": int, "default": 1}),
+        ("--limit-test-batches", {"type": lambda v: float(v) if "." in v else int(v), "help": "so many batches, or a share of them"}), ("--batches-out", {"help": "a table of each batch's counts"}),
+    )
     add(create_store, ("tracks", {}), ("metadata", {}), ("--store-mode", {"default": "w-", "choices": ["w-", "w", "a"]}), ("--group-mode", {"choices": ["w-", "w"]}))
     add(clip_commands, ("metadata", {}), ("--fraction", {"type": float, "default": 0.5}), ("--task", {"type": int}))
     add(

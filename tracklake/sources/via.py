@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.boxes import xywh_to_xyxy, xyxy_to_center
 from ..functions.ordering import with_row_number
+from ..functions.storage import written
 from .documents import json_text, write_document
 
 CSV_SCHEMA = "filename string, file_size int, file_attributes string, region_count int, region_id int, region_shape_attributes string, region_attributes string"
@@ -162,9 +163,10 @@ def combined_project(projects: DataFrame, default_dir: str | None = None, projec
 def coco_rows(pictures: DataFrame, order: list[str], category: str = "animal") -> tuple[DataFrame, DataFrame, DataFrame]:
     """COCO images, annotations and categories of images(filename, regions): ids from 1 in order, size 0 by 0, area of the box.
 
-    order tells images apart. Only it, the name and the number of regions are sorted; a box's id is the
+    order tells images apart. The images are written to the shared folder once. Only order, the name and the number of regions are sorted; a box's id is the
     number of regions of the images before, and its place in its own.
     """
+    pictures = written(pictures, "pictures")
     keys = pictures.select(*order, *(["filename"] if "filename" not in order else []), F.size("regions").alias("__n"))
     numbered = with_row_number(keys, order, "id", weight="__n")
     image = numbered.select("id", F.lit(0).alias("width"), F.lit(0).alias("height"), F.col("filename").alias("file_name"))
