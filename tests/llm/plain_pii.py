@@ -28,7 +28,7 @@ def keys(m, kind):
     if kind == "email":
         return [("email", m.lower()), ("domain", m.lower().rsplit("@", 1)[1])]
     if kind == "name":
-        title, *words = m.split(" ")
+        title, *words = regex.sub("['’][sS]$", "", m).split(" ")
         female = title.rstrip(".") in f"{pii.FEMALE}|{pii.FEMALE_UNCASED}".split("|")
         return [("given_f" if female else "given_m", w.lower()) for w in words[:-1]] + [("surname", words[-1].lower())]
     if kind == "name_behind":
@@ -59,10 +59,10 @@ def script_of(c):
 
 
 def core(kind, key, attempt, secret):
-    hexes = "".join(hashlib.sha256("\x1f".join([secret, kind, str(attempt), key, str(i)]).encode()).hexdigest() for i in range(4))
+    hexes = "".join(hashlib.sha256("\x1f".join([secret, kind, str(attempt), key, str(i)]).encode()).hexdigest() for i in range(max(4, -(-(3 * len(key) + 4) // 64))))
 
     def draw(i):
-        at = (i - 1) * 3 % 252
+        at = (i - 1) * 3 % (len(hexes) - 4)
         return int(hexes[at : at + 3], 16)
 
     def shaped(text, fixed=0, hexadecimal=False):
@@ -88,12 +88,20 @@ def core(kind, key, attempt, secret):
     def syllables(n, consonants, vowels):
         return "".join(consonants[draw(i) % len(consonants)] + (vowels[draw(i) // len(consonants) % len(vowels)] if vowels else "") for i in range(1, n + 1))
 
+    if kind == "secret" and not any(c.isalnum() for c in key):
+        out = "".join(pii.LOWER[draw(i) % 26] for i in range(1, max(8, len(key)) + 1))
+        return out + ("".join(str(draw(i + 42) % 10) for i in range(1, max(attempt - pii.WIDER + 1, 1) + 1)) if attempt >= pii.WIDER else "")
     wide, widest = attempt >= pii.WIDER, attempt >= pii.WIDEST
     extra = [draw(i + 42) for i in range(1, max(attempt - pii.WIDER + 1, 1) + 1)]
     letters, figures = ("".join(pii.LOWER[r % 26] for r in extra) if wide else ""), "".join(str(r % 10) for r in extra)
     if kind == "surname" or kind.startswith("given_"):
         _, consonants, vowels, female, male = LATIN if key.isascii() else pii.SCRIPTS.get(next((s for s in pii.SCRIPTS if regex.search(rf"\p{{{s}}}", key)), ""), LATIN)
-        return syllables(2 + attempt if vowels else len(key) + attempt, consonants, vowels) + {"given_f": female, "given_m": male}.get(kind, "")
+        one = lambda: syllables(2 + attempt if vowels else len(key) + attempt, consonants, vowels) + {"given_f": female, "given_m": male}.get(kind, "")
+        first = one()
+        if "-" not in key:
+            return first
+        hexes = hexes[::-1]
+        return f"{first}-{one()}"
     if kind == "ipv4":
         out = ".".join([str(draw(1) % 199 + 11), *(str(draw(i) % 254 + 1) for i in (2, 3, 4))])
     elif kind == "email":
@@ -124,7 +132,7 @@ def table(found, secret="corpus"):
         for k in sorted(found, key=lambda k: (attempt[k], k[1].encode())):
             first.setdefault(scope(k), k)
         real = lambda k: (k[0], f"{drawn[k]}@{scope(k)[1]}" if k[0] == "email" else drawn[k])
-        bad = [k for k in found if (first[scope(k)] != k or real(k) in found) and any(c.isalnum() for c in k[1])]
+        bad = [k for k in found if (first[scope(k)] != k or real(k) in found) and (k[0] == "secret" or any(c.isalnum() for c in k[1]))]
         if not bad:
             return drawn
         for k in bad:
@@ -148,7 +156,8 @@ def shown(m, kind, cores):
         return cased("@".join(cores))
     if kind == "name":
         title = m.split(" ")[0]
-        return title + " " + cased(" ".join(x[:1].upper() + x[1:].lower() for x in cores))
+        name = " ".join("-".join(p[:1].upper() + p[1:].lower() for p in x.split("-")) for x in cores)
+        return title + " " + cased(name) + (regex.search("(['’][sS])?$", m)[0])
     if kind == "name_behind":
         return "".join(cores) + regex.search(f" ?(?:{pii.BEHIND})$", m)[0]
     if kind in ("phone", "card", "ssn"):

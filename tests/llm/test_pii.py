@@ -85,3 +85,64 @@ def test_rows_and_columns_stay(spark):
     assert pii.surrogates(documents(spark, [])).collect() == []
     other = {r.doc_id: r.text for r in pii.surrogates(documents(spark, ROWS), "another key").collect()}
     assert other[1] != texts(spark)[1][1]
+
+
+def secrets_of(text):
+    """Values after the words that announce one, found with string methods alone."""
+    out, low = [], text.lower()
+    for word in ("token", "secret", "password", "passwd", "api_key", "access-key"):
+        at = low.find(word)
+        while at >= 0:
+            rest = text[at + len(word) :]
+            after = rest[1:] if rest[:1] in ("'", '"') else rest
+            mark = after.lstrip(" ")
+            if mark[:1] in ("=", ":"):
+                value = mark[1:].lstrip(" ")
+                quote = value[:1] if value[:1] in ("'", '"') else ""
+                value = value[len(quote) :].split(" ")[0].split("\n")[0]
+                value = value.split(quote)[0] if quote else value
+                value = value.rstrip(".?:,;)]}>'\"")
+                if len(value) >= 4 and value[0] not in "=*'\"" and (len(value) >= 8 or any(c in "0123456789" for c in value)):
+                    out.append(value)
+            at = low.find(word, at + 1)
+    return out
+
+
+LEAKS = [
+    "password = !@#$%^~?/_+=",
+    "password=Hunter22(more)secret9 and on",
+    "token=abc,def;ghi12345",
+    "password =   Hunter22abc, then",
+    "password=abc123.",
+    '{"password": "p1(x)[y]{z}", "user": "x"}',
+    "secret: 'a\"b\"c9d8' (password:Öäü%&/77)",
+    "passwd:<tag>&amp;1234</tag> end",
+    "token: " + "aB" * 84 + " end",
+    "API_KEY=&&&&&&&&&",
+]
+
+
+def test_no_part_of_a_secret_stays(spark):
+    _, out = texts(spark, LEAKS)
+    for i, text in enumerate(LEAKS):
+        values = secrets_of(text)
+        assert values, text
+        for v in values:
+            assert v not in out[i] and not any(v[k : k + 5] in out[i] for k in range(len(v) - 4)), (text, out[i])
+    long = out[8].split(" ")[1]
+    assert len(long) == 168 and long[:84] != long[84:]
+    report = {r.doc_id: r.n_entities for r in pii.surrogate_report(documents(spark, LEAKS)).collect()}
+    assert all(report[i] == len(secrets_of(t)) for i, t in enumerate(LEAKS))
+
+
+def test_words_that_are_no_secrets_stay(spark):
+    rows = ["The secret: tell no one.", "token: yes", "password: ********", "if token == expected_value:", "a key: value and a token = x", "the password is hunter2222"]
+    assert texts(spark, rows)[1] == dict(enumerate(rows))
+
+
+def test_possessives_and_hyphens_are_format(spark):
+    _, out = texts(spark, ["Mr Smith's dog; Mr Smith said. MR SMITH’S cat", "Mrs Mary Smith-Jones met Mr Smith-Jones"])
+    a, b, c = re.findall(r"M[rR] (\w+)", out[0])
+    assert a == b and c == a.upper() and f"Mr {a}'s dog" in out[0] and f"{c}’S cat" in out[0] and "Smith" not in out[0]
+    first, second = re.findall(r"([A-Z][a-z]+-[A-Z][a-z]+)", out[1])
+    assert first == second and "Smith" not in out[1] and "Jones" not in out[1]

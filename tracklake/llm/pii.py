@@ -1,14 +1,17 @@
 """Surrogates for personal data, with DataFrame functions only.
 
 Entities: e-mail addresses, phone and card numbers, social security numbers, IBANs, IPv4, IPv6 and
-MAC addresses, secrets (to the end of their token), and names by a form of address: before them (all
+MAC addresses, secrets (after a word like "password" and = or :, with up to eight blanks around it, to white space or
+the quote they began with: eight signs or more, or four with a digit; values that begin with * or = are masks and
+comparisons), and names by a form of address: before them (all
 capitalised words that follow, or two words of a script without capitals; the last is the surname) or
 behind them (Han, Kana and Hangul; the first character or two are the surname). Each is reduced to a key
 (digits of a number, lower-case address, each part of a name), so mentions in another format share it. A
 key's surrogate is drawn from keyed hashes (SHA-256 of a secret, the type, the key and the attempt):
   numbers     digits for digits; a phone's and a card's first digit stay, a valid card number stays valid
   addresses   an e-mail's domain is drawn from its domain alone, so one domain stays one; octets stay octets
-  secrets     letter for letter of the same case, hexadecimal ones stay hexadecimal; the prefix of a kind of key stays
+  secrets     letter for letter of the same case, hexadecimal ones stay hexadecimal; the prefix of a kind of key stays;
+              one of signs alone becomes letters
   names       syllables of the same script (`SCRIPTS`), given names with an ending of the gender of the form
               of address; given name and surname are keys of their own, so "Mr X" and "Mr A X" agree
 A mention is written in its own format: its punctuation and its case; an IPv6 address in full. A letter of a
@@ -67,9 +70,19 @@ SCRIPTS = {
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}"
-# a value runs to the end of its token, whatever its length; the first lookbehind is the cheap one
+BLANK = r"\x20\x09-\x0D"
+
+
+def _value(others: str) -> str:
+    """A secret's signs: all but some, eight of them or four with a digit; sentence marks, brackets and quotes at its end aren't its own."""
+    c = f"[^{BLANK}{others}]"
+    return rf"(?={c}{{8}}|{c}{{0,7}}\d){c}{{4,}}(?<![.?:,;)\]}}>'\"])"
+
+
+# a value runs to white space or to the quote that it began with, whatever its length; the first lookbehind is the cheap one
 SECRET = (
-    r"(?<=[=:\s'\"])(?<=[=:]['\"]{0,1}\s{0,2}['\"]{0,1})(?<=(?i:token|secret|password|passwd|(?:api|access|secret)[_-]{0,1}key)['\"]{0,1}\s{0,2}[=:]\s{0,2}['\"]{0,1})(?![=*])[\p{L}\p{N}+/_.~!@#$%^*?:=-]{8,}(?<![.?:])"
+    rf"(?<=[=:'\"{BLANK}])(?<=[=:]['\"]{{0,1}}[{BLANK}]{{0,8}}['\"]{{0,1}})(?<=(?i:token|secret|password|passwd|(?:api|access|secret)[_-]{{0,1}}key)['\"]{{0,1}}[{BLANK}]{{0,8}}[=:][{BLANK}]{{0,8}}['\"]{{0,1}})"
+    rf"(?![=*])(?:(?<=\"){_value('\"')}|(?<=')" + _value("'") + r"|(?<!['\"])(?!['\"])" + _value("") + ")"
     r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])"
 )
 # possessive, so that the matcher's stack doesn't grow with the number of words
@@ -108,6 +121,10 @@ HINT_WORDS = "(?=[tTsSpPkK])(?i:token|secret|passw|key)"
 PATTERN_BEHIND = f"{PATTERN}|{NAME_BEHIND}"
 
 
+#: What a name's mention may end with and its key doesn't have.
+POSSESSIVE = "(['’][sS])$"
+
+
 def hinted(text: Column) -> Column:
     """Whether a text may have an entity; most have none and are looked through once, by cheap tests."""
     return text.rlike(HINT) | text.rlike(HINT_WORDS) | ((F.octet_length(text) > F.length(text)) & text.rlike(HINT_OTHER))
@@ -154,7 +171,7 @@ def keys(m: Column, type_: Column) -> Column:
         return F.struct((lit(t) if isinstance(t, str) else t).alias("type"), k.alias("key"))
 
     low = F.lower(m)
-    words = F.split(F.regexp_replace(m, r"^\S+ ", ""), " ")
+    words = F.split(F.regexp_replace(F.regexp_replace(m, POSSESSIVE, ""), r"^\S+ ", ""), " ")
     # of a mention's ends only, as this is asked for each word of it
     head, tail = F.substring(m, F.lit(1), F.lit(14)), F.right(m, F.lit(2))
     gender = F.when(head.rlike(rf"^(?:(?:{FEMALE})\.?|{FEMALE_UNCASED}) ") | tail.rlike(f"(?:{FEMALE_BEHIND})$"), "f").when(tail.rlike("(?:さん|様|씨|님)$"), "n").otherwise("m")
@@ -177,14 +194,15 @@ def keys(m: Column, type_: Column) -> Column:
 
 
 def stream(secret: str, *parts: Column) -> Column:
-    """256 hexadecimal characters drawn from the parts."""
-    blocks = [F.sha2(F.concat_ws("\u001f", lit(secret), *parts, lit(str(i))).cast("binary"), 256) for i in range(4)]
-    return F.concat(*blocks)
+    """256 hexadecimal characters, or three for each one of the last part if that is more, drawn from the parts."""
+    last = F.ceil((F.length(parts[-1]) * 3 + 4) / 64).cast("int") - 1
+    block = lambda i: F.sha2(F.concat_ws("\u001f", lit(secret), *parts, i.cast("string")).cast("binary"), 256)
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(3))), block), "")
 
 
 def drawn(hexes: Column, i: Column | int) -> Column:
     """The i-th number (from 1), 0 to 4095."""
-    at = (((i if isinstance(i, Column) else F.lit(i)) - 1) * 3) % 252 + 1
+    at = (((i if isinstance(i, Column) else F.lit(i)) - 1) * 3) % (F.length(hexes) - 4) + 1
     return F.conv(F.substring(hexes, at, F.lit(3)), 16, 10).cast("int")
 
 
@@ -268,9 +286,15 @@ def surrogate(type_: Column, key: Column, attempt: Column, hexes: Column) -> Col
     extra = F.transform(F.sequence(F.lit(1), F.greatest(attempt - WIDER + 1, F.lit(1))), lambda i: drawn(hexes, i + 42))
     letters = F.when(wide, F.array_join(F.transform(extra, lambda r: pick(LOWER, r)), "")).otherwise("")
     figures = F.array_join(F.transform(extra, lambda r: (r % 10).cast("string")), "")
+    named = name(type_, key, attempt, hexes)
+    named = F.when(key.contains("-"), F.concat(named, lit("-"), name(type_, key, attempt, F.reverse(hexes)))).otherwise(named)
+    # a secret of signs alone has no class to be drawn from
+    signs = (type_ == "secret") & ~key.rlike(r"[\p{L}\p{N}]")
+    worded = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(key), F.lit(8))), lambda i: pick(LOWER, drawn(hexes, i))), "")
     longer = (wide & ((type_ == "secret") | ((type_ == "phone") & (F.length(key) < 10)))) | widest & type_.isin("phone", "card", "ssn", "iban", "ipv4", "ipv6", "mac")
     core = (
-        F.when(type_.startswith("given_") | (type_ == "surname"), name(type_, key, attempt, hexes))
+        F.when(type_.startswith("given_") | (type_ == "surname"), named)
+        .when(signs, worded)
         .when(type_ == "ipv4", octets)
         .when(type_ == "email", F.concat(plain, letters))
         .when(type_ == "domain", F.concat(plain, letters, top))
@@ -300,7 +324,7 @@ def table_of_surrogates(found: DataFrame, secret: str) -> DataFrame:
         judged = table.withColumn("turn", same).withColumn("real", F.when(F.col("type") == "email", F.concat("core", lit("@"), scope)).otherwise(F.col("core")))
         judged = judged.join(taken, ["type", "real"], "left")
         # characters of no class (or none drawn) can't change
-        fixed = ~F.col("key").rlike(r"[\p{L}\p{N}]")
+        fixed = ~F.col("key").rlike(r"[\p{L}\p{N}]") & (F.col("type") != "secret")
         bad = ((F.col("turn") > 1) | F.col("is_real").isNotNull()) & ~fixed
         judged = written(judged.select("type", "key", "attempt", "core", bad.alias("bad")), "judged", [table])
         if not judged.filter("bad").limit(1).count():
@@ -317,6 +341,9 @@ def in_format(m: Column, cores: Column, type_: Column) -> Column:
     def cased(x: Column) -> Column:
         return F.when(upper, F.upper(x)).otherwise(x)
 
+    def titled(x: Column) -> Column:
+        return F.replace(F.initcap(F.replace(x, lit("-"), lit("- "))), lit("- "), lit("-"))
+
     # a mention's digits (or letters and digits) one after another, and what the surrogate has more
     def refilled(pattern: str) -> Column:
         sign = F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: F.substring(m, i, F.lit(1)))
@@ -327,7 +354,7 @@ def in_format(m: Column, cores: Column, type_: Column) -> Column:
     return (
         F.when(type_ == "email", cased(F.concat(core, lit("@"), cores[1])))
         .when(type_ == "name_behind", F.concat(F.array_join(cores, ""), F.regexp_extract(m, f"( ?(?:{BEHIND}))$", 1)))
-        .when(type_ == "name", F.concat(F.regexp_extract(m, r"^(\S+ )", 1), cased(F.initcap(F.array_join(cores, " ")))))
+        .when(type_ == "name", F.concat(F.regexp_extract(m, r"^(\S+ )", 1), cased(titled(F.array_join(cores, " "))), F.regexp_extract(m, POSSESSIVE, 1)))
         .when(type_.isin("phone", "card", "ssn"), refilled("[0-9]"))
         .when(type_ == "iban", refilled("[A-Z0-9]"))
         .when(type_.isin("mac", "ipv6"), cased(core))
