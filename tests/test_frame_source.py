@@ -6,6 +6,7 @@ import pytest
 
 from tracklake.sources.frame_source import read_frames
 
+
 @pytest.fixture
 def read(spark, tmp_path):
     log = str(tmp_path / "decoded")

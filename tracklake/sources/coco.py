@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.boxes import area
 from ..functions.ordering import with_row_number
 from .documents import json_text, write_document
+from .json_elements import STRETCH, elements
 
 SCHEMA = (
     "images array<struct<id:int,width:int,height:int,file_name:string>>, "
@@ -28,6 +32,17 @@ def read(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame, D
     return part("images"), part("annotations"), part("categories")
 
 
+def read_large(spark: SparkSession, paths: list[str], stretch: int = STRETCH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As read(), for files of any size: each is read by many tasks, element by element."""
+    if not paths:
+        raise ValueError("no annotation files")
+    found = [elements(spark, p, stretch).withColumn("dataset_idx", F.lit(i)) for i, p in enumerate(paths)]
+    whole = functools.reduce(DataFrame.unionByName, found)
+    kinds = {f.name: f.dataType.elementType for f in T.StructType.fromDDL(SCHEMA)}
+    part = lambda c: whole.filter(F.col("section") == c).select("dataset_idx", F.from_json("text", kinds[c], {"mode": "FAILFAST"}).alias("x")).select("dataset_idx", "x.*")
+    return part("images"), part("annotations"), part("categories")
+
+
 def annotation_files(dirs: list[str], files: list[str] | None = None, default: str = "VIA_JSON_combined_coco_gen.json") -> list[str]:
     """The annotation file of each dataset: the default one, a bare name within its annotations folder, or a path as given."""
     files = [default] * len(dirs) if not files else files

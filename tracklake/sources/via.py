@@ -10,6 +10,7 @@ from ..functions.boxes import xywh_to_xyxy, xyxy_to_center
 from ..functions.ordering import with_row_number
 from ..functions.storage import written
 from .documents import json_text, write_document
+from .json_elements import STRETCH, elements
 
 CSV_SCHEMA = "filename string, file_size int, file_attributes string, region_count int, region_id int, region_shape_attributes string, region_attributes string"
 SHAPE = "struct<name:string,x:double,y:double,width:double,height:double>"
@@ -105,6 +106,14 @@ def images(projects: DataFrame) -> DataFrame:
     return projects.select("file", F.posexplode(F.map_entries("_via_img_metadata")).alias("img_pos", "e")).select("file", "img_pos", F.col("e.key").alias("key"), F.col("e.value.filename").alias("filename"), F.col("e.value.regions").alias("regions"))
 
 
+def read_images(spark: SparkSession, path: str, exclude: str | None = None, stretch: int = STRETCH) -> DataFrame:
+    """images() of project files of any size: each is read by many tasks, image by image. img_pos: the image's place in its file."""
+    found = without(elements(spark, path, stretch).filter("section = '_via_img_metadata'"), exclude)
+    kind = f"map<string,struct<filename:string,regions:array<{REGION}>>>"
+    entry = F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), kind, {"mode": "FAILFAST"})
+    return found.select("file", F.col("pos").alias("img_pos"), F.explode(entry).alias("key", "e")).select("file", "img_pos", "key", "e.filename", "e.regions")
+
+
 def last_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Of the rows with a key, those of the last in order."""
     latest = F.max(F.struct(*order)).over(Window.partitionBy(*key))
@@ -113,7 +122,11 @@ def last_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def combine(projects: DataFrame) -> DataFrame:
     """Images of all projects, the last file's where several have one, at the place of its first file."""
-    every = images(projects)
+    return combine_images(images(projects))
+
+
+def combine_images(every: DataFrame) -> DataFrame:
+    """combine() of images() or read_images()."""
     w = Window.partitionBy("key")
     placed = every.withColumn("first", F.min(F.struct("file", "img_pos")).over(w)).withColumn("last", F.max("file").over(w))
     return placed.filter("file = last").select("key", "filename", "regions", "first")
