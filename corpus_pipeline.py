@@ -12,12 +12,13 @@ whatever their names. An empty table gives no rows.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracklake.llm import ngram_join, packing, pii, quality, suffix_dedup
 from tracklake.llm.common import documents, written
 
+import public_tokenizers  # after the package, whose absence is the one that the entry module expects
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the rules reject."""
