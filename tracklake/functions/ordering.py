@@ -21,18 +21,19 @@ def with_row_number(df: DataFrame, order: list[Column | str], name: str, start:
 
     weight: a column whose sum over all rows before is added as `weight`_before.
     """
-    ordered = written(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "ordered")
-    part = F.shiftright("__at", 33)
+    at, own, n, w, before, wb = (free_column(df, c) for c in ("__at", "__part", "__n", "__w", "__before", "__wb"))
+    ordered = written(df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright(at, 33)
     amount = F.col(weight).cast("long") if weight else F.lit(0).cast("long")
-    sizes = ordered.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"), F.sum(amount).alias("__w"))  # a row for each part of the sort
-    parts = Window.orderBy("__part")
-    before = sizes.select("__part", (F.sum("__n").over(parts) - F.col("__n")).alias("__before"), (F.sum("__w").over(parts) - F.col("__w")).alias("__wb"))
-    joined = ordered.withColumn("__part", part).join(F.broadcast(before), "__part")
-    joined = joined.withColumn(name, F.col("__before") + F.col("__at") - F.shiftleft("__part", 33) + start)
+    sizes = ordered.groupBy(part.alias(own)).agg(F.count("*").alias(n), F.sum(amount).alias(w))  # a row for each part of the sort
+    parts = Window.orderBy(own)
+    sums = sizes.select(own, (F.sum(n).over(parts) - F.col(n)).alias(before), (F.sum(w).over(parts) - F.col(w)).alias(wb))
+    joined = ordered.withColumn(own, part).join(F.broadcast(sums), own)
+    joined = joined.withColumn(name, F.col(before) + F.col(at) - F.shiftleft(own, 33) + start)
     if weight:
-        within = F.sum(amount).over(Window.partitionBy("__part").orderBy("__at")) - amount
-        joined = joined.withColumn(f"{weight}_before", F.col("__wb") + within)
-    return joined.drop("__at", "__part", "__before", "__wb")
+        within = F.sum(amount).over(Window.partitionBy(own).orderBy(at)) - amount
+        joined = joined.withColumn(f"{weight}_before", F.col(wb) + within)
+    return joined.drop(at, own, before, wb)
 
 
 def same_rows(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:

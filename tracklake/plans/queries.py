@@ -329,6 +329,33 @@ def sort_tracks_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(tracker.track_in_pieces(found, [*KEYS, "gt_id"]))
 
 
+#: Two boxes of one size that cross: of the two ways to give them to the two tracks the one with more overlap goes on.
+CROSSING = """det as (select gt_id//2 pair, gt_id % 2 k, frame, case when gt_id % 2 = 0 then 2*frame+(frame*gt_id) % 3 else 120-2*frame+(frame*gt_id) % 4 end::double x, (8*(gt_id % 2)+frame % 2)::double y from gt where frame < 60),
+ n as (select pair, min(c) m from (select pair, k, count(*) c from det group by all) group by pair having count(*) = 2),
+ two as (select a.pair, a.frame, a.x+20 xa, a.y+15 ya, b.x+20 xb, b.y+15 yb from det a join det b on b.pair=a.pair and b.frame=a.frame and a.k=0 and b.k=1 join n on n.pair=a.pair where a.frame < m),
+ r as (select pair, frame, xa u, ya v, 0.0::double du, 0.0::double dv, xb s, yb t, 0.0::double ds, 0.0::double dt, 10.0::double p, 0.0::double c, 10000.0::double q from two where frame = 0
+  union all select pair, frame, u+g*(zu-u), v+g*(zv-v), du+h*(zu-u), dv+h*(zv-v), s+g*(zs-s), t+g*(zt-t), ds+h*(zs-s), dt+h*(zt-t), p/(p+1), c/(p+1), q-c*c/(p+1)
+  from (select *, p/(p+1) g, c/(p+1) h, case when own then xa else xb end zu, case when own then ya else yb end zv, case when own then xb else xa end zs, case when own then yb else ya end zt
+   from (select *, ua/(2400-ua)+sb/(2400-sb) >= ub/(2400-ub)+sa/(2400-sa) own
+    from (select *, greatest(0,40-abs(u-xa))*greatest(0,30-abs(v-ya)) ua, greatest(0,40-abs(u-xb))*greatest(0,30-abs(v-yb)) ub, greatest(0,40-abs(s-xa))*greatest(0,30-abs(t-ya)) sa, greatest(0,40-abs(s-xb))*greatest(0,30-abs(t-yb)) sb
+     from (select r.pair, d.frame, r.u+r.du u, r.v+r.dv v, r.du, r.dv, r.s+r.ds s, r.t+r.dt t, r.ds, r.dt, r.p+2*r.c+r.q+1 p, r.c+r.q c, r.q+0.01 q, d.xa, d.ya, d.xb, d.yb from r join two d on d.pair=r.pair and d.frame=r.frame+1)))))"""
+
+
+@query(
+    sql("gt").replace("with ", "with recursive ", 1)
+    + f""", {CROSSING} select pair, frame, cast(1 as bigint) track_id, round(u-20,3) x1, round(v-15,3) y1 from r union all select pair, frame, 2, round(s-20,3), round(t-15,3) from r"""
+)
+def sort_tracks_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two animals whose boxes cross, so that both tracks compete for both of them."""
+    g, even = fixtures.truth(spark, sf_dir).filter("frame < 60"), F.col("gt_id") % 2 == 0
+    pair, turn = F.expr("gt_id div 2").cast("int").alias("pair"), F.col("frame") * F.col("gt_id")
+    x = F.when(even, 2 * F.col("frame") + turn % 3).otherwise(120 - 2 * F.col("frame") + turn % 4).cast("double")
+    y = (8 * (F.col("gt_id") % 2) + F.col("frame") % 2).cast("double")
+    found = g.select(pair, "frame", (F.col("gt_id") % 2).cast("int").alias("det_idx"), x.alias("x1"), y.alias("y1"), (x + 40).alias("x2"), (y + 30).alias("y2"), F.lit(1.0).alias("score"))
+    both = found.groupBy("pair", "frame").agg(F.count("*").alias("n")).filter("n = 2").select("pair", "frame")
+    return tracker.track(found.join(both, ["pair", "frame"]), ["pair"]).select("pair", "frame", "track_id", F.round("x1", 3).alias("x1"), F.round("y1", 3).alias("y1"))
+
+
 # annotations
 
 
