@@ -709,6 +709,63 @@ def ellipse_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# files
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    """select cast(l_orderkey as int) image_id, concat('frame_', lpad(cast(l_orderkey as varchar),8,'0'), '.png') file_name, l_partkey+trunc(l_quantity)/2 x, l_suppkey+(trunc(l_quantity)+1)/2 y, trunc(l_quantity) w, trunc(l_quantity)+1 h
+ from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F') qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity) = 1"""
+)
+def coco_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One COCO document of all images, written from sorted parts and read again element by element; then images are excluded and boxes centred."""
+    orders, line = fixtures.table(spark, sf_dir, "orders"), fixtures.table(spark, sf_dir, "lineitem")
+    named = lambda c: F.concat(F.lit("frame_"), F.lpad(F.col(c).cast("string"), 8, "0"), F.lit(".png"))
+    whole = lambda c: F.col(c).cast("int")
+    images = orders.select(whole("o_orderkey").alias("id"), F.lit(0).alias("width"), F.lit(0).alias("height"), named("o_orderkey").alias("file_name"))
+    line = annotations.dedupe(line, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_quantity"])
+    q = whole("l_quantity").cast("double")
+    box = F.array(F.col("l_partkey").cast("double"), F.col("l_suppkey").cast("double"), q, q + 1)
+    boxes_ = line.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("int").alias("id"), whole("l_orderkey").alias("image_id"), F.lit(1).alias("category_id"), box.alias("bbox"), (q * (q + 1)).alias("area"), F.lit(0).alias("iscrowd"))
+    kinds = line.select(F.lit(1).alias("id"), F.lit("animal").alias("name"), F.lit("animal").alias("supercategory")).limit(1)
+    path = _folder(spark, "coco")
+    coco.write(images, boxes_, kinds, path)
+    read = coco.read_large(spark, [path])
+    gone = orders.filter("o_orderstatus = 'F'").select(named("o_orderkey").alias("file_name"))
+    kept, left = coco.exclude(read[0], read[1], gone)
+    return coco.centers(kept, left).select("image_id", "file_name", "x", "y", "w", "h")
+
+
+@query(
+    sql("via_rows")
+    + """ select filename, cast(l_orderkey as int) frame, l_linenumber gt_id, cast(json_extract_string(region_shape_attributes,'$.x') as double) x1, cast(json_extract_string(region_shape_attributes,'$.y') as double) y1,
+ cast(json_extract_string(region_shape_attributes,'$.x') as double)+cast(json_extract_string(region_shape_attributes,'$.width') as double) x2 from via_rows"""
+)
+def via_table_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VIA's CSV with its cells of JSON, written and read again as tracks."""
+    rows, path = fixtures.via_rows(spark, sf_dir), _folder(spark, "via")
+    rows = rows.select("filename", F.lit(8888).alias("file_size"), F.lit('{"clip":123}').alias("file_attributes"), F.lit(1).alias("region_count"), F.lit(0).alias("region_id"), "region_shape_attributes", "region_attributes")
+    rows.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    tracks = via.read_tracks(spark, path)
+    return tracks.select(F.format_string("frame_%08d.png", "frame").alias("filename"), "frame", "gt_id", "x1", "y1", "x2")
+
+
+@query(
+    sql("observations")
+    + """ select concat('v', video) video_id, concat('c', clip) clip_id, count(*) n, round(sum(case when video = 1 then x+1000 else x end), 3) x, max(escape_state) escape_state from observations group by video, clip"""
+)
+def track_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of all clips, of which those of one video are then replaced, read again."""
+    o, path = fixtures.observations(spark, sf_dir), _folder(spark, "store")
+    o = o.withColumn("video_id", F.concat(F.lit("v"), "video")).withColumn("clip_id", F.concat(F.lit("c"), "clip")).drop("video", "clip")
+    store.write(o, path)
+    store.write(o.filter("video_id = 'v1'").withColumn("x", F.col("x") + 1000), path, "a", "w")
+    return store.read(spark, path).groupBy("video_id", "clip_id").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("x"), F.max("escape_state").alias("escape_state"))
+
+
 # synchronisation, sampling, parameters
 
 SYNC = ", t as (select clip, loop_end_frame_ffmpeg-loop_start_frame_ffmpeg+1 n, 1000+clip*7 s from clips), w as (select max(s) s, min(s+n-1) e from t)"
