@@ -314,7 +314,8 @@ def table_of_surrogates(found: DataFrame, secret: str) -> DataFrame:
         return rows.select("type", "key", "attempt", "core")
 
     # few bytes but much work: dealt out by an explicit count, which isn't coalesced
-    keys_ = found.select("type", "key").distinct().repartition(partitions(found.sparkSession), "type", "key")
+    # (by a hash of its own, as one by the keys themselves would be taken for that of distinct(), which is)
+    keys_ = found.select("type", "key").distinct().repartition(partitions(found.sparkSession), F.xxhash64("type", "key"))
     table = written(with_core(keys_.withColumn("attempt", F.lit(0))), "surrogates")
     # an e-mail's local part must differ within a domain; all others within their type
     scope = F.when(F.col("type") == "email", F.substring_index("key", "@", -1)).otherwise(lit(""))
