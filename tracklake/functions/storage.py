@@ -13,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. In local mode, where none is set, a new temporary folder is; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         found = spark.sparkContext.getCheckpointDir()
