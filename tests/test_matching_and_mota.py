@@ -193,6 +193,8 @@ def test_optimal_match_and_metrics(spark):
     truth, preds = crowd(6)
     t, p = scene(spark, truth, preds)
     got = matching.optimal_match(matching.box_pairs(t, p, ["video"]), ["video"], -1.0).groupBy("frame").agg({"iou": "sum"}).collect()
+    apart = matching.optimal_match(matching.box_pairs(t, p, ["video"]), ["video"], -1.0, cells=0).groupBy("frame").agg({"iou": "sum"}).collect()
+    assert {r.frame: round(r[1], 9) for r in apart} == {r.frame: round(r[1], 9) for r in got}
     from tracklake.operators.tracker import overlaps
 
     for f, total in got:
@@ -231,6 +233,7 @@ def test_a_crowd_is_solved_cluster_by_cluster(spark, monkeypatch):
         links.setdefault(r.gt_id // 3, {})[r.gt_id % 3, r.pred_id % 3] = r.iou
         assert r.gt_id // 3 == r.pred_id // 3
     best = sum(max(sum(k.get((g, o[g]), 0.0) for g in range(3)) for o in itertools.permutations(range(3))) for k in links.values())
+    assert len(truth) ** 2 > 1000 * matching.CELLS
     found = matching.optimal_match(pairs, ["video"]).collect()
     assert abs(sum(r.iou for r in found) - best) < 1e-6 and len({r.gt_id for r in found}) == len({r.pred_id for r in found}) == len(found)
 

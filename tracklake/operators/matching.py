@@ -20,6 +20,8 @@ from .assignment import maximum_assignment
 
 #: Side of a grid's cells in pixels; any is right, one of a few boxes is fast.
 CELL = 256.0
+#: Cells of a frame's matrix up to which it is solved as a whole.
+CELLS = 1 << 14
 
 
 def box_pairs(truth: DataFrame, predictions: DataFrame, keys: list[str], threshold: float = 0.0, inclusive: bool = False) -> DataFrame:
@@ -103,13 +105,13 @@ def clusters(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         label = least
 
 
-def optimal_match(pairs: DataFrame, keys: list[str], threshold: float = 0.0, pooled: bool = False) -> DataFrame:
+def optimal_match(pairs: DataFrame, keys: list[str], threshold: float = 0.0, pooled: bool = False, cells: int = CELLS) -> DataFrame:
     """One-to-one matches with the largest sum of overlaps, of which those above the threshold stay.
 
     pairs: with all overlaps above 0. pooled: boxes of all frames of a batch (keys) compete, and pairs
-    are those of pooled_pairs(). Only boxes with several partners are solved in Python: a frame's (or batch's) links
-    fall into clusters that share no box, and each cluster is solved alone, wherever Spark deals it to. So what a
-    task holds is a frame's list of links, and a matrix of one cluster.
+    are those of pooled_pairs(). Only boxes with several partners are solved in Python: a frame (or batch) whose
+    matrix has at most so many cells at once; another one's links fall into clusters that share no box, and each cluster is
+    solved alone, wherever Spark deals it to. So what a task holds is a frame's list of links, and a matrix of one cluster.
     """
     on = list(keys) if pooled else [*keys, "frame"]
     marked = _with_alone(pairs, on)
@@ -117,10 +119,6 @@ def optimal_match(pairs: DataFrame, keys: list[str], threshold: float = 0.0, poo
     cluster = free_column(rest, "cluster")
     schema = T.StructType([*rest.schema.fields, T.StructField(cluster, T.LongType())])
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = (np.unique(pdf[c].to_numpy(), return_inverse=True)[1] for c in ("gt_id", "pred_id"))
-        return pdf.assign(**{cluster: clusters(left, right)})
-
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         g, gi = np.unique(pdf.gt_id.to_numpy(), return_inverse=True)
         p, pi = np.unique(pdf.pred_id.to_numpy(), return_inverse=True)
@@ -130,10 +128,18 @@ def optimal_match(pairs: DataFrame, keys: list[str], threshold: float = 0.0, poo
         kept = row[pair[:, 0], pair[:, 1]]
         return pdf.iloc[kept[kept >= 0]]
 
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        (g, left), (p, right) = (np.unique(pdf[c].to_numpy(), return_inverse=True) for c in ("gt_id", "pred_id"))
+        if len(g) * len(p) <= cells:
+            return solve(pdf).assign(**{cluster: -1})
+        return pdf.assign(**{cluster: clusters(left, right)})
+
     def solve_all(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Clusters come sorted; one may go on in the next batch."""
         held: pd.DataFrame | None = None
         for pdf in batches:
+            yield pdf[pdf[cluster] < 0]
+            pdf = pdf[pdf[cluster] >= 0]
             pdf = pd.concat([held, pdf]) if held is not None else pdf
             parts = [part for _, part in pdf.groupby([*on, cluster], sort=False, dropna=False)]
             held = parts.pop() if parts else None
