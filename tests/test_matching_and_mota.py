@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -254,3 +255,49 @@ def test_clusters_share_no_box():
                 seen.add(at)
                 reach |= {int(x) for x in left[np.isin(right, right[left == at])]}
             assert reach == g
+
+
+def test_boxes_of_any_size_meet_in_cells(spark):
+    """Boxes of a large frame meet in cells; very wide, turned, empty and endless ones meet all of those they overlap."""
+    rng = random.Random(3)
+    some = lambda n, size: [(x := rng.uniform(-3000, 3000), y := rng.uniform(-3000, 3000), x + rng.uniform(0, size), y + rng.uniform(0, size)) for _ in range(n)]
+    odd = [(-1e12, 0.0, 1e12, 50.0), (0.0, 0.0, float("inf"), 40.0), (float("nan"), 0.0, 5.0, 5.0), (90.0, 90.0, 10.0, 10.0)]
+    truth = [(0, i, b) for i, b in enumerate([*some(150, 300), *some(20, 5000), *odd])]
+    preds = [(0, i, b) for i, b in enumerate([*some(150, 300), *some(20, 5000), *odd])]
+    t, p = scene(spark, truth, preds)
+    for inclusive in (False, True):
+        every = matching.box_pairs(t, p, ["video"], -2.0, inclusive).filter("iou > 0.01").select("gt_id", "pred_id", "iou")
+        got = matching.box_pairs(t, p, ["video"], 0.01, inclusive).select("gt_id", "pred_id", "iou")
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, every.collect()))) and got.count() > 100
+    assert "CartesianProduct" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "gx" in plan
+
+
+def test_greedy_match_and_assignment_grow_with_their_links(spark):
+    """A chain of 20,000 links in one frame: folding it in one row, or a matrix of it, would take minutes."""
+    n = 10000
+    truth = [(0, i, (100.0 * i, 0.0, 100.0 * i + 40, 30.0)) for i in range(n)]
+    preds = [(0, i, (100.0 * i + 1 + d, 0.0, 100.0 * i + 41 + d, 30.0)) for i in range(n) for d in (0, 7)]
+    preds = [(f, j, b) for j, (f, _, b) in enumerate(preds)]
+    t, p = scene(spark, truth, preds)
+    began = time.time()
+    pairs = matching.box_pairs(t, p, ["video"], 0.1)
+    assert matching.greedy_match(pairs, ["video"]).filter("pred_id = 2 * gt_id").count() == n
+    assert matching.optimal_match(pairs, ["video"]).filter("pred_id = 2 * gt_id").count() == n
+    assert time.time() - began < 60
+
+
+def test_chosen_links_equal_the_best_of_all_ways():
+    from tracklake.operators.assignment import chosen_links
+
+    rng = np.random.default_rng(4)
+    for n, m, share in ((1, 6, 1.0), (5, 5, 0.6), (7, 3, 0.7), (9, 9, 0.5), (60, 50, 0.02)):
+        for _ in range(20):
+            gain = np.where(rng.random((n, m)) < share, rng.random((n, m)) + 0.01, 0)
+            left, right = np.nonzero(gain)
+            if not len(left):
+                continue
+            (_, left_), (_, right_) = np.unique(left, return_inverse=True), np.unique(right, return_inverse=True)
+            kept = chosen_links(left, right, gain[left, right], matching.clusters(left_, right_))
+            assert len(set(left[kept])) == kept.sum() == len(set(right[kept]))
+            pairs = maximum_assignment(gain)
+            assert np.isclose(gain[left[kept], right[kept]].sum(), gain[pairs[:, 0], pairs[:, 1]].sum())

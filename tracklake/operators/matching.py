@@ -10,23 +10,28 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.boxes import CORNERS, iou
-from ..functions.ordering import free_column
-from .assignment import maximum_assignment
+from ..functions.ordering import free_column, whole_groups
+from .assignment import chosen_links, clusters, sides
 
 #: Side of a grid's cells in pixels; any is right, one of a few boxes is fast.
 CELL = 256.0
-#: Cells of a frame's matrix up to which it is solved as a whole.
+#: Cells a side of the widest boxes that are entered in cells.
+WIDE = 8
+#: Cells of a cluster's matrix up to which it is solved where its frame is.
 CELLS = 1 << 14
 
 
 def box_pairs(truth: DataFrame, predictions: DataFrame, keys: list[str], threshold: float = 0.0, inclusive: bool = False) -> DataFrame:
-    """Pairs of boxes of one frame whose overlap exceeds the threshold: an equi-join on the frame with the overlap as its condition."""
+    """Pairs of boxes of one frame whose overlap exceeds the threshold. They meet in the cells of a grid, so a frame's boxes aren't all paired; for a threshold below 0, which pairs without overlap exceed, they are."""
     on = [*keys, "frame"]
+    if threshold >= 0:
+        return _met(truth, predictions, on, CELL, threshold, inclusive)
     t = truth.select(*on, "gt_id", *(F.col(c).alias(f"t_{c}") for c in CORNERS))
     p = predictions.select(*on, "pred_id", "score", *CORNERS)
     shared = iou(tuple(f"t_{c}" for c in CORNERS), CORNERS, inclusive)
@@ -52,104 +57,94 @@ def grid_pairs(truth: DataFrame, predictions: DataFrame, keys: list[str], cell:
 
 
 def _met(truth: DataFrame, predictions: DataFrame, on: list[str], cell: float, threshold: float, inclusive: bool) -> DataFrame:
-    def celled(df: DataFrame) -> DataFrame:
+    """Boxes of up to WIDE cells a side meet in cells (way 0). A wider true box meets all predictions (1), a wider prediction the other true boxes (2)."""
+
+    def celled(df: DataFrame, wide_ways: tuple[int, ...], ways: tuple[int, ...]) -> DataFrame:
         lo = lambda c: F.floor((F.col(c) - 1) / cell)
         hi = lambda c: F.floor((F.col(c) + 1) / cell)
-        return df.withColumn("gx", F.explode(F.sequence(lo("x1"), hi("x2")))).withColumn("gy", F.explode(F.sequence(lo("y1"), hi("y2"))))
-
-    t = celled(truth).select(*on, "gx", "gy", "gt_id", *(F.col(c).alias(f"t_{c}") for c in CORNERS))
-    p = celled(predictions).select(*on, "gx", "gy", "pred_id", "score", *CORNERS)
+        wide = (F.col("x2") - F.col("x1") > WIDE * cell) | (F.col("y2") - F.col("y1") > WIDE * cell) | (F.col("x2") - F.col("x1") < -WIDE * cell) | (F.col("y2") - F.col("y1") < -WIDE * cell)
+        listed = lambda ns: F.array(*(F.lit(n) for n in ns))
+        by_cell = lambda a, b: F.explode(F.when(F.col("way") == 0, F.sequence(lo(a), hi(b))).otherwise(F.array(F.lit(0).cast("long"))))
+        df = df.withColumn("way", F.explode(F.when(wide, listed(wide_ways)).otherwise(listed(ways))))
+        return df.withColumn("gx", by_cell("x1", "x2")).withColumn("gy", by_cell("y1", "y2"))
+
+    t = celled(truth, (1,), (0, 2)).select(*on, "way", "gx", "gy", "gt_id", *(F.col(c).alias(f"t_{c}") for c in CORNERS))
+    p = celled(predictions, (1, 2), (0, 1)).select(*on, "way", "gx", "gy", "pred_id", "score", *CORNERS)
     first = (F.col("gx") == F.floor((F.greatest("t_x1", "x1") - 1) / cell)) & (F.col("gy") == F.floor((F.greatest("t_y1", "y1") - 1) / cell))
     shared = iou(tuple(f"t_{c}" for c in CORNERS), CORNERS, inclusive)
-    return t.join(p, [*on, "gx", "gy"]).filter(first).withColumn("iou", shared).filter(F.col("iou") > threshold).select(*on, "gt_id", "pred_id", "score", "iou")
-
-
-def _with_alone(pairs: DataFrame, on: list[str]) -> DataFrame:
-    """Marks pairs whose two boxes have no other partner; one exchange on the frame serves both counts and what follows."""
-    of = lambda c: F.count("*").over(Window.partitionBy(*on, c))
-    counted = pairs.repartition(*on).withColumn("__g", of("gt_id")).withColumn("__p", of("pred_id"))
-    return counted.withColumn("alone", (F.col("__g") == 1) & (F.col("__p") == 1)).drop("__g", "__p")
+    met = t.join(p, [*on, "way", "gx", "gy"]).filter((F.col("way") > 0) | first)
+    return met.withColumn("iou", shared).filter(F.col("iou") > threshold).select(*on, "gt_id", "pred_id", "score", "iou")
 
 
 def greedy_match(pairs: DataFrame, keys: list[str], pred_order: str = "pred_id", gt_order: str = "gt_id") -> DataFrame:
     """One-to-one matches in the order of predictions: each takes its best overlap among the true boxes that are left, the first of equal ones.
 
-    Boxes with one partner only need no order; the others of a frame are folded over in one row.
+    A frame's pairs come sorted and are streamed; a task holds the ids that the frame has taken.
     """
     on = [*keys, "frame"]
-    match = F.struct("gt_id", "pred_id", F.col("score").cast("double").alias("score"), "iou")
-    entry = F.struct(F.col(pred_order).alias("po"), (-F.col("iou")).alias("worse"), F.col(gt_order).alias("go"), match.alias("m"))
-    plain, crowded = F.collect_list(F.when(F.col("alone"), match)), F.collect_list(F.when(~F.col("alone"), entry))
-    listed = _with_alone(pairs, on).groupBy(*on).agg(plain.alias("plain"), F.array_sort(crowded).alias("ps"))
-
-    def step(taken, x):
-        used = F.exists(taken, lambda y: (y["gt_id"] == x["m"]["gt_id"]) | (y["pred_id"] == x["m"]["pred_id"]))
-        return F.when(used, taken).otherwise(F.concat(taken, F.array(x["m"])))
-
-    none = F.slice("plain", 1, 0)
-    return listed.select(*on, F.explode(F.concat("plain", F.aggregate("ps", none, step))).alias("m")).select(*on, "m.*")
-
-
-def clusters(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """For each link between a left and a right node (numbers from 0) the number of its connected component: least labels and jumps."""
-    n = int(left.max()) + 1
-    a, b = left, right + n
-    label = np.arange(n + int(right.max()) + 1)
-    while True:
-        least = label.copy()
-        np.minimum.at(least, a, label[b])
-        np.minimum.at(least, b, label[a])
-        least = np.minimum(least, least[least])
-        if (least == label).all():
-            return label[a]
-        label = least
+    columns = [*on, "gt_id", "pred_id", "score", "iou"]
+    ordered = pairs.withColumn("score", F.col("score").cast("double")).repartition(*on)
+    ordered = ordered.sortWithinPartitions(*on, pred_order, F.col("iou").desc(), gt_order, "gt_id", "pred_id", "score").select(*columns)
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, boxes, predictions = None, set(), set()
+        for batch in batches:
+            kept = []
+            of, g, p = (zip(*(batch.column(i).to_pylist() for i in r), strict=True) for r in (range(len(on)), [len(on)], [len(on) + 1]))
+            for frame, (box,), (prediction,) in zip(of, g, p, strict=True):
+                if frame != now:
+                    now, boxes, predictions = frame, set(), set()
+                free = box not in boxes and prediction not in predictions
+                kept.append(free)
+                if free:
+                    if box is not None:
+                        boxes.add(box)
+                    if prediction is not None:
+                        predictions.add(prediction)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return ordered.mapInArrow(fold, ordered.schema)
 
 
 def optimal_match(pairs: DataFrame, keys: list[str], threshold: float = 0.0, pooled: bool = False, cells: int = CELLS) -> DataFrame:
     """One-to-one matches with the largest sum of overlaps, of which those above the threshold stay.
 
     pairs: with all overlaps above 0. pooled: boxes of all frames of a batch (keys) compete, and pairs
-    are those of pooled_pairs(). Only boxes with several partners are solved in Python: a frame (or batch) whose
-    matrix has at most so many cells at once; another one's links fall into clusters that share no box, and each cluster is
-    solved alone, wherever Spark deals it to. So what a task holds is a frame's list of links, and a matrix of one cluster.
+    are those of pooled_pairs(). The links of a frame (or batch) fall into clusters that share no box; small ones are solved
+    at once, many together, and each with a matrix of more than so many cells alone, wherever Spark deals it to.
+    So what a task holds is a frame's list of links, and a matrix of one cluster.
     """
     on = list(keys) if pooled else [*keys, "frame"]
-    marked = _with_alone(pairs, on)
-    plain, rest = marked.filter("alone").drop("alone"), marked.filter("not alone").drop("alone")
-    cluster = free_column(rest, "cluster")
-    schema = T.StructType([*rest.schema.fields, T.StructField(cluster, T.LongType())])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, gi = np.unique(pdf.gt_id.to_numpy(), return_inverse=True)
-        p, pi = np.unique(pdf.pred_id.to_numpy(), return_inverse=True)
-        gain, row = np.zeros((len(p), len(g))), np.full((len(p), len(g)), -1)
-        gain[pi, gi], row[pi, gi] = pdf.iou.to_numpy(), np.arange(len(pdf))
-        pair = maximum_assignment(gain)
-        kept = row[pair[:, 0], pair[:, 1]]
-        return pdf.iloc[kept[kept >= 0]]
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        (g, left), (p, right) = (np.unique(pdf[c].to_numpy(), return_inverse=True) for c in ("gt_id", "pred_id"))
-        if len(g) * len(p) <= cells:
-            return solve(pdf).assign(**{cluster: -1})
-        return pdf.assign(**{cluster: clusters(left, right)})
-
-    def solve_all(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Clusters come sorted; one may go on in the next batch."""
-        held: pd.DataFrame | None = None
-        for pdf in batches:
-            yield pdf[pdf[cluster] < 0]
-            pdf = pdf[pdf[cluster] >= 0]
-            pdf = pd.concat([held, pdf]) if held is not None else pdf
-            parts = [part for _, part in pdf.groupby([*on, cluster], sort=False, dropna=False)]
-            held = parts.pop() if parts else None
-            yield from map(solve, parts)
-        if held is not None:
-            yield solve(held)
-
-    cut_up = rest.groupBy(*on).applyInPandas(cut, schema)
-    solved = cut_up.repartition(*on, cluster).sortWithinPartitions(*on, cluster).mapInPandas(solve_all, schema).drop(cluster)
-    return plain.unionByName(solved).filter(F.col("iou") > threshold)
+    cluster = free_column(pairs, "cluster")
+    schema = T.StructType([*pairs.schema.fields, T.StructField(cluster, T.LongType())])
+
+    def links(pdf: pd.DataFrame, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's true box and prediction as numbers; those of other groups are others."""
+        ids = (pd.factorize(pdf[c])[0] + 1 for c in ("gt_id", "pred_id"))
+        return tuple(np.unique(group * (int(i.max()) + 1) + i, return_inverse=True)[1] for i in ids)
+
+    def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, group in whole_groups(batches, on):
+            left, right = links(pdf, group)
+            found = clusters(left, right)
+            n, m, _ = sides(left, right, found)
+            large, kept = n * m > cells, np.zeros(len(pdf), bool)
+            small = np.flatnonzero(~large)
+            kept[small] = chosen_links(left[small], right[small], pdf.iou.to_numpy()[small], found[small])
+            yield pdf.assign(**{cluster: np.where(large, found, -1)})[large | kept]
+
+    def solve(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, group in whole_groups(batches, [*on, cluster]):
+            kept = (pdf[cluster] < 0).to_numpy()
+            rest = np.flatnonzero(~kept)
+            if len(rest):
+                left, right = links(pdf.iloc[rest], group[rest])
+                kept[rest] = chosen_links(left, right, pdf.iou.to_numpy()[rest], group[rest])
+            yield pdf[kept]
+
+    cut_up = pairs.repartition(*on).sortWithinPartitions(*on).mapInPandas(cut, schema)
+    solved = cut_up.repartition(*on, cluster).sortWithinPartitions(*on, cluster).mapInPandas(solve, schema).drop(cluster)
+    return solved.filter(F.col("iou") > threshold)
 
 
 def best_overlap(truth: DataFrame, predictions: DataFrame, keys: list[str]) -> DataFrame:
