@@ -1,6 +1,7 @@
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +158,46 @@ def test_state_has_a_row_for_each_live_track_and_time_closes_them(spark, tmp_pat
         assert got == set(range(10)) and q.exception() is None
     finally:
         q.stop()
+
+
+def test_association_of_a_crowd_needs_no_matrix():
+    """30,000 boxes of a frame, whose matrix would have 900 million cells; and a smaller crowd gets the sum that the matrix has."""
+    rng = np.random.default_rng(6)
+    at = np.c_[np.arange(30000) % 200 * 60.0, np.arange(30000) // 200 * 50.0]
+    boxes = np.c_[at, at + [40, 30]]
+    pairs, fresh = tracker.associate(boxes, boxes[::-1] + 1.0, 0.1)
+    assert not len(fresh) and (pairs.sum(axis=1) == 29999).all()
+    for n, wide in ((300, 0), (200, 5)):
+        a, b = (np.c_[x := rng.uniform(0, 900, (n, 2)), x + rng.uniform(5, 90, (n, 2))] for _ in range(2))
+        a[:wide, 2] += 5000
+        of = np.sort(rng.integers(0, 2, n))
+        pairs, fresh = tracker.associate(a, b, 0.1, of, of)
+        for k in (0, 1):
+            here = pairs[of[pairs[:, 0]] == k]
+            gain = tracker.overlaps(a[of == k], b[of == k])
+            best = tracker.maximum_assignment(gain)
+            want = gain[best[:, 0], best[:, 1]]
+            assert np.isclose(tracker.overlap(a[here[:, 0]], b[here[:, 1]]).sum(), want[want >= 0.1].sum())
+            assert len({*here[:, 0]}) == len({*here[:, 1]}) == len(here) and (of[here[:, 1]] == k).all()
+
+
+def test_many_sequences_side_by_side_equal_each_alone(monkeypatch):
+    rng = np.random.RandomState(3)
+    rows = []
+    for v in range(60):
+        for f in range(rng.randint(0, 5), rng.randint(6, 40)):
+            if rng.rand() < 0.8 and f not in range(10, 10 + v % 14):
+                rows += [(v, f, i, x := 25.0 * i + 2 * f + rng.randn(), 5.0 * i, x + 40, 5.0 * i + 30, rng.rand()) for i in range(rng.randint(1, 4))]
+    table = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+    for settings in (Settings(), Settings(max_age=3, min_hits=3)):
+        alone = pd.concat([tracker.run_frames(Tracker(settings), part, ["video"], (v,)) for v, part in table.groupby("video")])
+        for long in (20000, 5):
+            monkeypatch.setattr(tracker, "LONG", long)
+            got = pd.concat(list(tracker._run(["video"], settings)(table.iloc[i : i + 37] for i in range(0, len(table), 37))))
+            key = ["video", "frame", "emit_idx"]
+            pd.testing.assert_frame_equal(got.sort_values(key, ignore_index=True), alone.sort_values(key, ignore_index=True), check_dtype=False)
+    monkeypatch.setattr(tracker, "LONG", 20000)
+    calls = []
+    monkeypatch.setattr(tracker.Trackers, "step", lambda self, *a, step=tracker.Trackers.step: calls.append(1) or step(self, *a))
+    list(tracker._run(["video"], Settings())([table]))
+    assert len(calls) < 60  # a step for all sequences, not one for each
