@@ -5,6 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
+from pyspark.sql import functions as F
 
 from tracklake.sources import coco, json_elements, via
 
@@ -82,3 +85,19 @@ def test_projects_image_by_image(spark, tmp_path):
     large = via.combine_images(via.read_images(spark, str(tmp_path), stretch=40)).select("key", "filename", "regions").collect()
     assert sorted(map(str, large)) == sorted(map(str, plain)) and len(large) == 3
     assert via.read_images(spark, str(tmp_path), "b.json", 40).count() == 2
+
+
+def test_stretches_are_dealt_to_many_tasks_and_read_once(spark, tmp_path, monkeypatch):
+    """Stretches are a few small rows, which Spark puts into one task if it is let; three tables come from one reading."""
+    rows = [{"id": i, "image_id": i, "category_id": 1, "bbox": [1.0, 2.0, 3.0, 4.0], "area": 12.0, "iscrowd": 0} for i in range(3000)]
+    (tmp_path / "a.json").write_text(json.dumps({"images": [{"id": i, "width": 1, "height": 2, "file_name": f'"{i}]'} for i in range(3000)], "annotations": rows, "categories": []}))
+    cut = json_elements.elements(spark, str(tmp_path), 1 << 14)
+    assert cut.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    made = []
+    real = coco.elements
+    monkeypatch.setattr(coco, "elements", lambda *a: made.append(real(*a)) or made[-1])
+    images, annotations, categories = coco.read_large(spark, [str(tmp_path)], 1 << 14)
+    assert (images.count(), annotations.count(), categories.count()) == (3000, 3000, 0)
+    assert annotations.agg(F.sum("image_id")).first()[0] == sum(range(3000)) and len(made) == 1
+    for table in (images, annotations):
+        assert "MapInArrow" not in table._jdf.queryExecution().executedPlan().toString()

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.boxes import area
 from ..functions.ordering import with_row_number
+from ..functions.storage import written
 from .documents import json_text, write_document
 from .json_elements import STRETCH, elements
 
@@ -33,11 +34,12 @@ def read(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame, D
 
 
 def read_large(spark: SparkSession, paths: list[str], stretch: int = STRETCH) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """As read(), for files of any size: each is read by many tasks, element by element."""
+    """As read(), for files of any size: each is read by many tasks, element by element, and once for all three tables."""
     if not paths:
         raise ValueError("no annotation files")
     found = [elements(spark, p, stretch).withColumn("dataset_idx", F.lit(i)) for i, p in enumerate(paths)]
-    whole = functools.reduce(DataFrame.unionByName, found)
+    whole = written(functools.reduce(DataFrame.unionByName, found).select("dataset_idx", "section", "text"), "elements")
+    whole = whole.withColumn("dataset_idx", F.coalesce("dataset_idx", F.lit(0)))  # never null, as in read()
     kinds = {f.name: f.dataType.elementType for f in T.StructType.fromDDL(SCHEMA)}
     part = lambda c: whole.filter(F.col("section") == c).select("dataset_idx", F.from_json("text", kinds[c], {"mode": "FAILFAST"}).alias("x")).select("dataset_idx", "x.*")
     return part("images"), part("annotations"), part("categories")

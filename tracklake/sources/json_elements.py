@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
 from .documents import store_of
 
 #: Bytes of a stretch.
@@ -26,6 +27,8 @@ DELTA[list(b"{[")], DELTA[list(b"}]")] = 1, -1
 def open_quotes(b: np.ndarray, before: int) -> np.ndarray:
     """Places of quotes that end or begin a string; before: backslashes right before the bytes."""
     quotes = np.flatnonzero(b == QUOTE)
+    if not (b == BACKSLASH).any():
+        return quotes[before % 2 :] if len(quotes) and quotes[0] == 0 else quotes
     plain = np.maximum.accumulate(np.r_[-1 - before, np.where(b != BACKSLASH, np.arange(len(b)), -1 - before)])
     return quotes[(quotes - 1 - plain[quotes]) % 2 == 0]
 
@@ -87,8 +90,14 @@ def stretches(spark: SparkSession, path: str | list[str], stretch: int = STRETCH
     return files.filter("length > 0").select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(stretch).cast("long"))).alias("start")).select("file", "start", F.least(F.col("start") + stretch, "length").alias("stop"))
 
 
-def with_state(cut: DataFrame) -> DataFrame:
-    """Adds in_string and depth at the start of each stretch; raises for a document that doesn't end outside of everything."""
+def dealt(cut: DataFrame, tasks: int) -> DataFrame:
+    """Stretches spread over so many tasks; by number, as tables of a few small rows are otherwise put together again."""
+    return cut.repartition(tasks, "file", "start")
+
+
+def with_state(cut: DataFrame, tasks: int) -> DataFrame:
+    """Adds in_string and depth at the start of each stretch, and the least depth in it; raises for a document that doesn't end outside of everything."""
+    fields = ("start", "stop", "odd", "change", "change_inside", "low", "low_inside")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,19 +106,27 @@ def with_state(cut: DataFrame) -> DataFrame:
                 with Source(r["file"], r["start"]) as source:
                     before = source.backslashes()
                     b = source.read(r["stop"] - r["start"])
-                both = [Scan(b, before, state, 0).after for state in (False, True)]
-                rows.append((r["file"], r["start"], r["stop"], int(both[0][0]), both[0][1], both[1][1]))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["file", "start", "stop", "odd", "change", "change_inside"]) if rows else pa.RecordBatch.from_pylist([], schema=pa.schema([("file", pa.string()), *((c, pa.int64()) for c in ("start", "stop", "odd", "change", "change_inside"))]))
-
-    counted = cut.repartition("file", "start").mapInArrow(count, "file string, start long, stop long, odd long, change long, change_inside long")
+                marks = np.zeros(len(b), np.uint8)
+                marks[open_quotes(b, before)] = 1
+                inside = (np.cumsum(marks, dtype=np.uint8) - marks) % 2  # before each byte, if the stretch begins outside
+                total = [np.cumsum(DELTA[b[inside == i]], dtype=np.int64) for i in (0, 1)]
+                ends = [int(t[-1]) if len(t) else 0 for t in total]
+                rows.append((r["file"], r["start"], r["stop"], int(marks.sum(dtype=np.int64) % 2), *ends, *(min(0, int(t.min())) if len(t) else 0 for t in total)))
+            columns = zip(*rows, strict=True) if rows else [[] for _ in range(len(fields) + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i else pa.string()) for i, c in enumerate(columns)], names=["file", *fields])
+
+    counted = dealt(cut, tasks).mapInArrow(count, "file string, " + ", ".join(f"{c} long" for c in fields))
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
     state = counted.withColumn("in_string", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2)
-    state = state.withColumn("own", F.when(F.col("in_string") == 1, F.col("change_inside")).otherwise(F.col("change")))
+    inside = F.col("in_string") == 1
+    state = state.withColumn("own", F.when(inside, F.col("change_inside")).otherwise(F.col("change")))
     state = state.withColumn("depth", F.coalesce(F.sum("own").over(before), F.lit(0)))
+    state = state.withColumn("low", F.col("depth") + F.when(inside, F.col("low_inside")).otherwise(F.col("low")))
+    state = written(state, "stretches")  # so all bytes are counted once
     ends = state.groupBy("file").agg((F.sum("odd") % 2).alias("odd"), F.sum("own").alias("depth")).filter("odd <> 0 or depth <> 0").limit(1).collect()
     if ends:
         raise ValueError(f"malformed JSON: {ends[0].file} ends within a string, an array or an object")
-    return state.select("file", "start", "stop", "in_string", "depth")
+    return state.select("file", "start", "stop", "in_string", "depth", "low")
 
 
 def _runs(start: int, stop: int, in_string: int, depth: int, source: Source, stretch: int) -> Iterator[tuple[int, Scan]]:
@@ -159,13 +176,16 @@ def _key(raw: bytes, at: int) -> str | None:
     return raw[at + 1 : end].decode() if raw[end + 1 :].lstrip()[:1] == b":" else None
 
 
-def with_section(state: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """Adds section, the top-level key before the start of each stretch."""
+def with_section(state: DataFrame, tasks: int) -> DataFrame:
+    """Adds section, the top-level key before the start of each stretch. Only stretches that come down to that level are read."""
 
     def last(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[str | None] = []
             for r in batch.to_pylist():
+                if r["low"] > 1:
+                    found.append(None)
+                    continue
                 with Source(r["file"], r["start"]) as source:
                     name, places, held = None, [], b""
                     for at, scan in _runs(r["start"], r["stop"], r["in_string"], r["depth"], source, 1024):
@@ -180,9 +200,9 @@ def with_section(state: DataFrame, stretch: int = STRETCH) -> DataFrame:
                     found.append(name)
             yield batch.append_column("name", pa.array(found, pa.string()))
 
-    named = state.mapInArrow(last, "file string, start long, stop long, in_string long, depth long, name string")
+    named = dealt(state, tasks).mapInArrow(last, "file string, start long, stop long, in_string long, depth long, low long, name string")
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    return named.withColumn("section", F.last("name", ignorenulls=True).over(before)).drop("name")
+    return named.withColumn("section", F.last("name", ignorenulls=True).over(before)).drop("name", "low")
 
 
 def elements(spark: SparkSession, path: str | list[str], stretch: int = STRETCH) -> DataFrame:
@@ -204,5 +224,6 @@ def elements(spark: SparkSession, path: str | list[str], stretch: int = STRETCH)
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], names=["file", "section", "pos", "text"])
 
-    cut = with_section(with_state(stretches(spark, path, stretch)), stretch)
-    return cut.repartition("file", "start").mapInArrow(run, "file string, section string, pos long, text string")
+    cut = stretches(spark, path, stretch)
+    tasks = max(1, min(cut.count(), max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    return dealt(with_section(with_state(cut, tasks), tasks), tasks).mapInArrow(run, "file string, section string, pos long, text string")
