@@ -3,6 +3,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tracklake.operators import detection_metrics, matching, sampling, tracker
 from tracklake.sources import coco, files, frames, via
@@ -121,3 +122,18 @@ def test_coco_ids_count_regions_of_the_images_before(spark):
             n += 1
             want.append((n, i + 1, float(j)))
     assert sorted((r.id, r.image_id, r.bbox[0]) for r in annotation.collect()) == want
+
+
+def test_masks_of_many_images_are_dealt_in_parts_of_bounded_size(spark, tmp_path, monkeypatch):
+    from tracklake.functions import ordering
+
+    path = str(tmp_path / "masks")
+    spark.range(40000).selectExpr("id div 4 image", "id % 3 id", "id % 4 px", "0 py").write.parquet(path)
+    masks = spark.read.parquet(path)
+    real = ordering.spread
+    monkeypatch.setattr(frames, "spread", lambda df, *c: real(df, *c, size=2000))
+    merged = frames.merged_masks(masks)
+    tasks = merged.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 8 and merged.count() == 40000
+    plan = frames.mask_runs(merged)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # later steps keep the parts

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import spread
+
 FRAMES = "video string, frame int, width int, height int, pixels binary"
 DETECTIONS = "video string, frame int, det_idx int, x1 double, y1 double, x2 double, y2 double, score double, label int"
 PROPERTIES = "video string, n_frames long, width int, height int, fps double"
@@ -134,8 +136,8 @@ def channels(gray: DataFrame, background: DataFrame, moving: DataFrame) -> DataF
 
 
 def merged_masks(masks: DataFrame) -> DataFrame:
-    """masks(image, id, px, py): the larger id where instances overlap."""
-    return masks.groupBy("image", "px", "py").agg(F.max("id").cast("short").alias("id"))
+    """masks(image, id, px, py): the larger id where instances overlap. Images are dealt out in parts of bounded size, which later steps by image keep."""
+    return spread(masks.select("image", "id", "px", "py"), "image").groupBy("image", "px", "py").agg(F.max("id").cast("short").alias("id"))
 
 
 def instances(merged: DataFrame, width: int, height: int) -> DataFrame:
