@@ -4,10 +4,11 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracklake.operators import tracker
 from tracklake.operators.tracker import Settings, Tracker
-from tracklake.streaming.tracker import track_stream
+from tracklake.streaming.tracker import DETECTION, TrackProcessor, track_stream
 
 SCHEMA = "video string, frame int, det_idx int, x1 double, y1 double, x2 double, y2 double, score double"
 
@@ -201,3 +202,65 @@ def test_many_sequences_side_by_side_equal_each_alone(monkeypatch):
     monkeypatch.setattr(tracker.Trackers, "step", lambda self, *a, step=tracker.Trackers.step: calls.append(1) or step(self, *a))
     list(tracker._run(["video"], Settings())([table]))
     assert len(calls) < 60  # a step for all sequences, not one for each
+
+
+class Maps:
+    """A stateful processor's handle in memory."""
+
+    def __init__(self):
+        self.timers = []
+
+    def getMapState(self, name, key, value):  # noqa: N802
+        class State(dict):
+            getValue, updateValue, removeKey, iterator = dict.get, dict.__setitem__, dict.pop, lambda s: iter(list(s.items()))  # noqa: N815
+
+        setattr(self, name, State())
+        return getattr(self, name)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+
+class Now:
+    def __init__(self, at):
+        self.getCurrentProcessingTimeInMs = self.getExpiryTimeInMs = lambda: at
+
+
+def test_streamed_sequences_of_a_group_step_together(monkeypatch):
+    """300 sequences over three batches: as each alone, in as many steps as there are frames, not as many for each sequence."""
+    rng = np.random.RandomState(5)
+    rows = []
+    for v in range(300):
+        for f in range(rng.randint(0, 5), rng.randint(6, 40)):
+            if rng.rand() < 0.8:
+                rows += [(v or None, f, i, x := 25.0 * i + 2 * f + rng.randn(), 5.0 * i, x + 40, 5.0 * i + 30, rng.rand()) for i in range(rng.randint(1, 4))]
+    table = pd.DataFrame(rows, columns=["video", *DETECTION])
+    settings = Settings(max_age=3, min_hits=3)
+    alone = pd.concat([tracker.run_frames(Tracker(settings), part, ["video"], (None if pd.isna(v) else v,)) for v, part in table.groupby("video", dropna=False)])
+    calls, step = [], tracker.Trackers.step
+    monkeypatch.setattr(tracker.Trackers, "step", lambda self, *a: calls.append(1) or step(self, *a))
+    handle = Maps()
+    stream = TrackProcessor([T.StructField("video", T.LongType())], settings, 0, None)
+    stream.init(handle)
+    parts = [table[(table.frame >= lo) & (table.frame < hi)] for lo, hi in ((0, 9), (9, 10), (10, 40))]
+    got = pd.concat([out for part in parts for out in stream.handleInputRows((0,), iter([part.sample(frac=1, random_state=1)]), Now(0))])
+    key = ["video", "frame", "emit_idx"]
+    order = lambda df: df.assign(video=df.video.astype(float)).sort_values(key, ignore_index=True)
+    pd.testing.assert_frame_equal(order(got), order(alone), check_dtype=False)
+    assert len(calls) <= 80
+    assert len(handle.clock) == 300 and len(handle.tracks) == sum(len(c[4]) for c in handle.clock.values())
+
+
+def test_only_idle_sequences_of_a_group_are_closed():
+    handle = Maps()
+    stream = TrackProcessor([T.StructField("video", T.StringType())], Settings(), 2, 500)
+    stream.init(handle)
+    feed = lambda v, lo, hi, at: pd.concat([pd.DataFrame(columns=["frame"]), *stream.handleInputRows((0,), iter([pd.DataFrame([(n, f, 0, 0.0, 0.0, 9.0, 9.0, 1.0) for n in v for f in range(lo, hi)], columns=["video", *DETECTION])]), Now(at))])
+    assert set(feed("ab", 0, 10, 1000).frame) == set(range(8))
+    assert set(feed("b", 10, 12, 1400).frame) == {8, 9} and handle.timers == [1500, 1900]
+    closed = pd.concat(stream.handleExpiredTimer((0,), Now(1500), Now(1500)))
+    assert set(closed.video) == {"a"} and closed.frame.tolist() == [8, 9]
+    assert {k[0] for k in handle.tracks} == {k[0] for k in handle.waiting} == {"b"}
+    assert feed("a", 10, 14, 1600).track_id.tolist() == [2]  # ids go on; a track born late shows from its second box
+    closed = pd.concat(stream.handleExpiredTimer((0,), Now(1900), Now(1900)))
+    assert closed.frame.tolist() == [10, 11] and set(closed.video) == {"b"}
